@@ -1,0 +1,5 @@
+"""Every input of this domain is a finished batch, so there is nothing to stream.
+
+The calendar week used by the surcharge allocation is an ordinary group key;
+see ``dockledger.functions.columns.week_start``.
+"""
