@@ -53,16 +53,16 @@ def clip(x: str | Column, low: Column, high: Column) -> Column:
 
 
 def finite(c: str | Column) -> Column:
-    """NaN and infinities become null."""
+    """NaN (which sorts above every number) and infinities become null."""
     c = col(c)
-    return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
+    return F.when(F.abs(c) < F.lit(float("inf")), c)
 
 
 def numeric_text(c: str | Column) -> Column:
     """Text to number: thousands commas dropped, anything unreadable is null."""
-    text = F.trim(F.regexp_replace(col(c).cast("string"), ",", ""))
+    text = F.trim(F.translate(col(c).cast("string"), ",", ""))
     # a Java number may carry a type suffix (``10d``); here that is not a number
-    return F.when(~text.rlike("[dDfF]$"), finite(text.try_cast("double")))
+    return F.when(~F.right(text, F.lit(1)).isin("d", "D", "f", "F"), finite(text.try_cast("double")))
 
 
 def fill_unknown(c: str | Column) -> Column:
@@ -106,7 +106,7 @@ def job_key_part(c: str | Column, index: int) -> Column:
 
 def parse_time(c: str | Column) -> Column:
     """Text to timestamp, null when unreadable."""
-    return F.try_to_timestamp(col(c).cast("string"))
+    return col(c).cast("string").try_cast("timestamp")
 
 
 def strip_zone(c: str | Column) -> Column:

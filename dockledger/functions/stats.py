@@ -38,11 +38,11 @@ def group_transform(df: DataFrame, keys: Sequence[str], **aggregates: Column) ->
 
 
 def long_values(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """(keys, metric, value) for the given numeric columns, nulls dropped."""
-    pairs = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns]
-    exploded = df.select(*keys, F.inline(F.array(*pairs)))
-    inf = F.lit(float("inf"))
-    return exploded.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < inf))
+    """(keys, metric, value) for the given numeric columns; nulls, NaN and
+    infinities dropped."""
+    pairs = ", ".join(f"struct('{c}' AS metric, CAST(`{c}` AS DOUBLE) AS value)" for c in columns)
+    exploded = df.selectExpr(*[f"`{k}`" for k in keys], f"inline(array({pairs}))")
+    return exploded.filter("value IS NOT NULL AND NOT isnan(value) AND abs(value) < DOUBLE('Infinity')")
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
@@ -53,63 +53,45 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tup
     group over all tasks; the counts per value band then tell in which band each
     wanted rank lies, and only those bands are put in order. Nulls are skipped.
     """
-    keys = list(keys)
-    columns = sorted({c for c, _ in wanted.values()})
-    probs = {c: sorted({p for k, p in wanted.values() if k == c}) for c in columns}
     group = [*keys, "metric"]
+    columns = sorted({c for c, _ in wanted.values()})
+    probs = sorted({float(p) for _, p in wanted.values()})
 
-    counts = long_values(df, keys, columns).groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
-    band = F.signum("value").cast("bigint") * F.floor(F.log1p(F.abs("value")) * BANDS_PER_LOG)
-    counts = counts.withColumn("band", band)
-
-    in_order = Window.partitionBy(*group).orderBy("band").rowsBetween(Window.unboundedPreceding, 0)
+    counts = (
+        long_values(df, keys, columns)
+        .groupBy(*group, "value")
+        .agg(F.expr("count(1) AS n"))
+        .withColumn("band", F.expr(f"CAST(signum(value) AS BIGINT) * floor(log1p(abs(value)) * {BANDS_PER_LOG})"))
+    )
+    whole = Window.partitionBy(*group)
     bands = (
         counts.groupBy(*group, "band")
-        .agg(F.sum("n").alias("band_n"))
-        .withColumn("upto", F.sum("band_n").over(in_order))
-        .withColumn("total", F.sum("band_n").over(Window.partitionBy(*group)))
-        .withColumn("before", F.col("upto") - F.col("band_n"))
+        .agg(F.expr("sum(n) AS band_n"))
+        .withColumns({"upto": F.sum("band_n").over(whole.orderBy("band")), "total": F.sum("band_n").over(whole)})
     )
-
-    def ranks(p: float) -> tuple[Column, Column]:
-        position = F.lit(float(p)) * (F.col("total") - 1)
-        return F.floor(position), F.ceil(position)
-
-    def hit(first: Column, last: Column, metric: str, p: float) -> Column:
-        low, high = ranks(p)
-        inside = ((low >= first) & (low < last)) | ((high >= first) & (high < last))
-        return (F.col("metric") == metric) & inside
-
-    needed = reduce(
-        lambda a, b: a | b,
-        [hit(F.col("before"), F.col("upto"), c, p) for c in columns for p in probs[c]],
+    ranks = f"flatten(transform(array({', '.join(f'{p}D' for p in probs)}), p -> array(floor(p * (total - 1)), ceil(p * (total - 1)))))"
+    chosen = bands.filter(f"exists({ranks}, r -> r >= upto - band_n AND r < upto)").selectExpr(
+        *[f"`{g}`" for g in group], "band", "upto - band_n AS before", "total"
     )
-    chosen = bands.filter(needed).select(*group, "band", "before", "total")
-    inner = Window.partitionBy(*group, "band").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ordered = (
-        join_back(counts, chosen, [*group, "band"], how="inner")
-        .withColumn("last", F.col("before") + F.sum("n").over(inner))
-        .withColumn("first", F.col("last") - F.col("n"))
+    in_band = Window.partitionBy(*group, "band").orderBy("value")
+    ordered = join_back(counts, chosen, [*group, "band"], how="inner").withColumn(
+        "last", F.col("before") + F.sum("n").over(in_band)
     )
 
-    def value_at(rank: Column, metric: str) -> Column:
-        here = (F.col("metric") == metric) & (rank >= F.col("first")) & (rank < F.col("last"))
-        return F.max(F.when(here, F.col("value")))
-
-    aggregates, results = [], []
-    for i, (name, (c, p)) in enumerate(wanted.items()):
-        low, high = ranks(p)
-        share = F.lit(float(p)) * (F.col("total") - 1) - low
-        aggregates += [
-            value_at(low, c).alias(f"__low{i}"),
-            value_at(high, c).alias(f"__high{i}"),
-            F.max(F.when(F.col("metric") == c, share)).alias(f"__share{i}"),
-        ]
-        results.append(
-            (F.col(f"__low{i}") + (F.col(f"__high{i}") - F.col(f"__low{i}")) * F.col(f"__share{i}")).alias(name)
+    # what the value adds to the quantile: 1, or the share of the lower or upper neighbour
+    weights = {}
+    for i, p in enumerate(probs):
+        at = f"({p}D * (total - 1))"
+        low, high = (f"({f}{at} >= last - n AND {f}{at} < last)" for f in ("floor", "ceil"))
+        share = f"({at} - floor{at})"
+        weights[f"__w{i}"] = F.expr(
+            f"CASE WHEN {low} AND {high} THEN 1D WHEN {low} THEN 1 - {share} WHEN {high} THEN {share} END"
         )
-    grouped = ordered.groupBy(*keys) if keys else ordered.groupBy()
-    return grouped.agg(*aggregates).select(*keys, *results)
+    parts = [
+        F.expr(f"sum(CASE WHEN metric = '{c}' THEN value * __w{probs.index(float(p))} END) AS `{name}`")
+        for name, (c, p) in wanted.items()
+    ]
+    return ordered.withColumns(weights).groupBy(*keys).agg(*parts)
 
 
 def average_rank(value: str, keys: Sequence[str]) -> Column:

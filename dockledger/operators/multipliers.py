@@ -12,7 +12,6 @@ from dockledger.functions.stats import group_quantiles, scalars
 
 # The density multiplier enters the geometric mean twice.
 GEO_MEAN_WEIGHTS = {"shipment_multiplier": 1, "density_multiplier": 2}
-MONTH = Window.partitionBy("year", "month")
 
 
 def shipment_multiplier(monthly: DataFrame, value: str = "daily_shipments") -> DataFrame:
@@ -32,7 +31,7 @@ def density_multiplier(monthly: DataFrame, value: str = "avg_miles_per_stop") ->
 
     The table has one row per dock and month, so a window holds one month's docks.
     """
-    baseline = F.median(value).over(MONTH)
+    baseline = F.median(value).over(Window.partitionBy("year", "month"))
     return monthly.withColumn("baseline_miles_per_stop", baseline).withColumn(
         "density_multiplier_raw", fx.safe_div(value, "baseline_miles_per_stop")
     )
@@ -40,7 +39,7 @@ def density_multiplier(monthly: DataFrame, value: str = "avg_miles_per_stop") ->
 
 def winsor_monthly(df: DataFrame, column: str, out: str, low: float = 0.10, high: float = 0.90) -> DataFrame:
     """Clip a dock-month column to the quantiles of its month."""
-    bounds = {f"__p{p}": F.percentile(column, F.lit(p)).over(MONTH) for p in (low, high)}
+    bounds = {f"__p{p}": F.percentile(column, F.lit(p)).over(Window.partitionBy("year", "month")) for p in (low, high)}
     clipped = fx.clip(column, F.col(f"`__p{low}`"), F.col(f"`__p{high}`"))
     return df.withColumns(bounds).withColumn(out, clipped).drop(*bounds)
 

@@ -69,6 +69,7 @@ def modeled_scorecard(
     thresholds: sc.Thresholds = sc.Thresholds(),
     min_groups: int = 20,
     rounds: int = 20,
+    drivers: Sequence[str] = rollups.DRIVERS,
     **boost: object,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Scored markets with model bands, and the hold-out metrics.
@@ -76,7 +77,7 @@ def modeled_scorecard(
     Below ``min_groups`` eligible groups the benchmark bands are used and there
     are no metrics.
     """
-    markets = cut_lineage(rollups.market_groups(rows, keys))
+    markets = cut_lineage(rollups.market_groups(rows, keys, drivers))
     train_all = boosting.train_test_split(sc.model_groups(markets, thresholds), keys)
     numeric, categorical = sc.feature_columns(markets, keys)
     if train_all.count() < min_groups or not (numeric or categorical):

@@ -31,7 +31,7 @@ def query(key: str, sql: str | None = None, plain: str = "", rounded: str = "",
     def shape(df: DataFrame) -> DataFrame:
         return df.select(
             *plain_cols,
-            *[(F.round(F.col(c).cast("double") * 1e6) / F.lit(1e6) + F.lit(0.0)).alias(c) for c in rounded_cols],
+            *[(F.round(F.col(c).cast("double") * 1e6) / F.lit(1e6) + F.lit(0.0)).alias(c.strip("`")) for c in rounded_cols],
             *[F.col(c).cast("string").alias(c) for c in text_cols],
         )
 
