@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dockledger.functions import columns as fx
-from dockledger.functions.stats import group_quantiles, scalars
+from dockledger.functions.stats import scalars
 
 # Workers get the helpers below with the task, wherever the package is installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -75,7 +75,8 @@ def _filled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """``vec`` with missing values at the column median (0 for an empty column)."""
     clean = df.withColumns({f"__f{i}": fx.finite(F.col(c).cast("double")) for i, c in enumerate(features)})
     names = [f"__f{i}" for i in range(len(features))]
-    medians = scalars(group_quantiles(clean, [], {n: (n, 0.5) for n in names}), **{n: F.max(n) for n in names})
+    # one row per market group, so the plain median will do
+    medians = scalars(clean, **{n: F.median(n) for n in names})
     vector = F.array(*[F.coalesce(F.col(n), medians[n], F.lit(0.0)) for n in names])
     return clean.withColumn("__vec", vector).drop(*names)
 
@@ -94,7 +95,7 @@ def isolation_score(
         return df.withColumn("anomaly_score", F.lit(None).cast("double"))
     rows = _filled(df, present)
     total = rows.agg(F.count(F.lit(1))).scalar()
-    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).cast("int").alias("tree")
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
     draw = F.xxhash64(*[F.col(k) for k in keys], F.col("tree"), F.lit(seed))
     position = F.pmod(draw, F.lit(1 << 40)) / F.lit(float(1 << 40))
     drawn = (
