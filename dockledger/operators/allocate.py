@@ -3,7 +3,9 @@
 Charge rows are reduced to one row per stop and per week-stop first, then to one
 row per route and per week; the results are joined back to the rows. A route or
 week that holds a large part of all rows is therefore combined before the
-shuffle, and its rows can be split over tasks in the joins back.
+shuffle, and its rows can be split over tasks in the joins back. The two reduced
+tables are written once, because several of the following steps read them; charge
+rows are read three times (once per reduced table, once for the result).
 
 "First row" means first in load order over all charge types. Spark has no row
 order, so ``order_cols`` names columns that order the rows and identify each row
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from dockledger.functions import columns as fx
 from dockledger.functions.stats import join_back
 from dockledger.operators.prepare import route_stop_keys
+from dockledger.session import cut_lineage
 
 DELIVERY_CHARGES = ("FM", "OV")
 
@@ -86,7 +89,7 @@ def _route_level(stops: DataFrame) -> DataFrame:
 def flag_stops(events: DataFrame, order_cols: Sequence[str], scope: str = "all") -> DataFrame:
     """C1-C3 and the stop counts of C9 on each row, with one join back."""
     events = _with_keys(events)
-    seq_stats = sequence_stats(events, order_cols, scope)
+    seq_stats = cut_lineage(sequence_stats(events, order_cols, scope))
     stops = _stop_level(seq_stats)
     routes = _route_level(stops)
     months = (
@@ -148,11 +151,11 @@ def cost_per_stop(events: DataFrame, order_cols: Sequence[str], basis: str = "ra
 
 def week_stats(events: DataFrame, order_cols: Sequence[str], scope: str = "all") -> tuple[DataFrame, DataFrame]:
     """Surcharge tables per (week, stop) and per week."""
-    stops = events.groupBy("week_key", "stop_id").agg(
+    stops = cut_lineage(events.groupBy("week_key", "stop_id").agg(
         F.min(F.when(_in_scope(scope, DELIVERY_CHARGES), _order(order_cols))).alias("week_first"),
         F.max(_charge(*DELIVERY_CHARGES)).alias("has_delivery"),
         F.sum(F.when(_charge("TS"), fx.units("topside_cost"))).alias("ts_units"),
-    )
+    ))
     weeks = (
         stops.filter(F.col("week_key").isNotNull())
         .groupBy("week_key")

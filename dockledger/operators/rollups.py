@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dockledger.functions import columns as fx
 from dockledger.functions.stats import average_rank, group_quantiles, join_back, scalars
 from dockledger.operators.lookups import keep_top_groups
+from dockledger.session import cut_lineage
 
 COST_PARTS = ["lastmile_base_cost", "lastmile_fuel_cost", "lastmile_misc_cost", "lastmile_total_cost"]
 # Monday-first weekday names.
@@ -358,7 +359,8 @@ def rank_stability(
     """Mean rank correlation of dock medians between neighbouring months."""
     keys = [dock, "year", "month"]
     located = rows.dropna(subset=["year", "month", dock])
-    medians = group_quantiles(located, keys, {m: (m, 0.5) for m in metrics})
+    # one row per dock and month, read three times below
+    medians = cut_lineage(group_quantiles(located, keys, {m: (m, 0.5) for m in metrics}))
     long = (
         medians.withColumn("period", F.col("year") * 12 + F.col("month"))
         .unpivot([dock, "period"], list(metrics), "metric", "value")

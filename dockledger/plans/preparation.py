@@ -12,6 +12,7 @@ from dockledger.operators import allocate, lookups, prepare
 from dockledger.plans import bindings as b
 from dockledger.plans.bindings_sql import ORD, msum, msum0, units
 from dockledger.plans.registry import query
+from dockledger.session import shared_folder
 from dockledger.sources import readers, writers
 
 KEYS = "l_orderkey l_linenumber l_partkey l_suppkey l_extendedprice"
@@ -19,8 +20,7 @@ KEYS = "l_orderkey l_linenumber l_partkey l_suppkey l_extendedprice"
 
 def scratch(spark: SparkSession) -> str:
     """A new folder beside the checkpoints, reachable from every executor."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or "/tmp/dockledger-scratch"
-    return f"{root.rstrip('/')}/dockledger-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/dockledger/{uuid.uuid4().hex}"
 
 
 # ---- sources and sinks ------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockledger.plans.bindings_sql import with_tables
@@ -21,17 +21,30 @@ class Query:
 
 QUERIES: dict[str, Query] = {}
 
+# Doubles are rounded to multiples of 2^-20 (about 1e-6) on both sides. Scaling by
+# a power of two is exact, and decimal amounts do not fall on the ties of this
+# grid, where two engines that differ in the last bit would round apart.
+GRID = 1048576.0
+
+
+def on_grid(c: str) -> Column:
+    """A double rounded for comparison; adding 0 turns -0 into 0."""
+    return F.round(F.col(c).cast("double") * GRID) / GRID + F.lit(0.0)
+
+
+def on_grid_sql(c: str) -> str:
+    return f"ROUND(CAST({c} AS DOUBLE) * {GRID:.0f}e0) / {GRID:.0f}e0 + 0e0"
+
 
 def query(key: str, sql: str | None = None, plain: str = "", rounded: str = "", text: str = "") -> Callable[[Plan], Plan]:
     """Register a plan. Output columns are listed once for both sides: ``plain``
-    as they are, ``rounded`` doubles at six digits, ``text`` as strings. Rounding
-    scales first, so that both engines round the same product."""
+    as they are, ``rounded`` doubles on the common grid, ``text`` as strings."""
     plain_cols, rounded_cols, text_cols = plain.split(), rounded.split(), text.split()
 
     def shape(df: DataFrame) -> DataFrame:
         return df.select(
             *plain_cols,
-            *[(F.round(F.col(c).cast("double") * 1e6) / F.lit(1e6) + F.lit(0.0)).alias(c.strip("`")) for c in rounded_cols],
+            *[on_grid(c).alias(c.strip("`")) for c in rounded_cols],
             *[F.col(c).cast("string").alias(c) for c in text_cols],
         )
 
@@ -43,7 +56,7 @@ def query(key: str, sql: str | None = None, plain: str = "", rounded: str = "",
             if shaped:
                 columns = [
                     *plain_cols,
-                    *[f"ROUND(CAST({c} AS DOUBLE) * 1e6) / 1e6 + 0e0 AS {c}" for c in rounded_cols],
+                    *[f"{on_grid_sql(c)} AS {c}" for c in rounded_cols],
                     *[f"CAST({c} AS VARCHAR) AS {c}" for c in text_cols],
                 ]
                 full = f"SELECT {', '.join(columns)} FROM ({sql.strip()}) result"

@@ -11,7 +11,7 @@ from dockledger.operators import scoring as sc
 from dockledger.plans import bindings as b
 from dockledger.plans import pipelines
 from dockledger.plans.bindings_sql import FEATURES, MIN_N, SCORE_DRIVERS, mavg, msum, q
-from dockledger.plans.registry import query
+from dockledger.plans.registry import on_grid, on_grid_sql, query
 
 KEYS = ["xdock", "carrier_cd"]
 THRESHOLDS = sc.Thresholds(min_group_n=MIN_N)
@@ -148,13 +148,13 @@ _TEXT = {"market_id", "market_name", "carrier", "classification", "confidence",
 
 @query(
     "business_view",
-    "SELECT " + ", ".join(f'{c} AS "{shown}"' if c in _TEXT else f'ROUND({c} * 1e6) / 1e6 + 0e0 AS "{shown}"' for shown, c in _SHOWN.items()) + " FROM sc",
+    "SELECT " + ", ".join(f'{c} AS "{shown}"' if c in _TEXT else f'{on_grid_sql(c)} AS "{shown}"' for shown, c in _SHOWN.items()) + " FROM sc",
 )
 def business_view(spark: SparkSession, sf: str) -> DataFrame:
     view = sc.business_view(scored(spark, sf))
     return view.select(
         *[
-            F.col(f"`{shown}`") if c in _TEXT else (F.round(F.col(f"`{shown}`") * 1e6) / F.lit(1e6) + F.lit(0.0)).alias(shown)
+            F.col(f"`{shown}`") if c in _TEXT else on_grid(f"`{shown}`").alias(shown)
             for shown, c in _SHOWN.items()
         ]
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,12 +28,24 @@ def get_spark(app_name: str = "dockledger", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder the cluster names; only a session without one (a
+    local test) gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="dockledger-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the folder the cluster names; only a session without
-    one (a local test) gets a temporary folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="dockledger-checkpoint-"))
-    return df.checkpoint()
+    """Write ``df`` to a new folder in the shared checkpoint storage and read it
+    back.
+
+    Meant for reduced tables that several later steps read: the steps above run
+    once, whatever columns the later steps prune, lost executors do not repeat
+    them, and the known file size lets Spark decide on broadcasts.
+    """
+    path = f"{shared_folder(df.sparkSession)}/dockledger/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
