@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from dockledger.functions import columns as fx
 from dockledger.functions.stats import join_back
-from dockledger.operators.prepare import route_stop_keys
+from dockledger.operators.prepare import route_stop_keys, stop_key
 from dockledger.session import cut_lineage
 
 DELIVERY_CHARGES = ("FM", "OV")
@@ -53,11 +53,12 @@ def sequence_stats(events: DataFrame, order_cols: Sequence[str], scope: str = "a
     are all built from this reduced table.
     """
     head = F.struct(_order(order_cols).alias("ord"), F.col("charge_type"), F.col("fill_dc"), F.col("year"), F.col("month"))
-    return events.groupBy("route_key", "delivery_seq", "stop_key").agg(
+    stats = events.groupBy("route_key", "delivery_seq").agg(
         F.min(F.when(_in_scope(scope, ("FM",)), head)).alias("head"),
         F.min(F.when(~_charge("TS") & _in_scope(scope, DELIVERY_CHARGES), head)).alias("delivery_head"),
         F.sum(F.when(_charge("RC"), fx.units("total_rate"))).alias("rc_units"),
     )
+    return stats.withColumn("stop_key", stop_key())
 
 
 def _delivers(head: str) -> Column:
@@ -211,19 +212,25 @@ def allocation_audit(events: DataFrame, order_cols: Sequence[str], scope: str =
     """C11: charged against allocated amounts per route and per week."""
     rows = topside_share(flag_stops(events, order_cols, scope), order_cols, scope, charges=events)
     spread = (F.col("rc_total") > 0) & (F.col("fm_count") > 0) & _charge("FM") & (F.col("first_of_stop") == 1)
-    routes = (
-        rows.filter(F.col("route_key").isNotNull())
-        .groupBy(F.lit("route").alias("level"), F.col("route_key").alias("group_key"))
-        .agg(
-            F.max("rc_total").alias("charged"),
-            (F.sum(F.when(spread, 1).otherwise(0)) * F.max(fx.safe_div("rc_total", "fm_count"))).alias("allocated"),
-            F.max("fm_count").cast("bigint").alias("stops"),
+    spread_week = F.col("first_of_week") == 1
+    parts = [
+        # level, key, charged, hits, share, stops
+        ("route", "route_key", "rc_total", spread, fx.safe_div("rc_total", "fm_count"), "fm_count"),
+        ("week", "week_key", "topside_total", spread_week, fx.safe_div("topside_total", "topside_stops"), "topside_stops"),
+    ]
+    # both levels from one pass over the rows
+    entries = [
+        F.struct(
+            F.lit(level).alias("level"), F.col(key).alias("group_key"), F.col(total).alias("charged"),
+            fx.is_true(hit).cast("int").alias("hit"), share.alias("share"), F.col(stops).cast("bigint").alias("stops"),
         )
+        for level, key, total, hit, share, stops in parts
+    ]
+    allocated = F.coalesce(F.sum("hit") * F.max("share"), F.lit(0.0))
+    return (
+        rows.select(F.inline(F.array(*entries)))
+        .filter(F.col("group_key").isNotNull())
+        .groupBy("level", "group_key")
+        .agg(F.max("charged").alias("charged"), allocated.alias("allocated"), F.max("stops").alias("stops"))
+        .withColumn("lost", F.col("charged") - F.col("allocated"))
     )
-    weeks = rows.filter(F.col("week_key").isNotNull()).groupBy(F.lit("week").alias("level"), F.col("week_key").alias("group_key")).agg(
-        F.max("topside_total").alias("charged"),
-        (F.sum("first_of_week") * F.max(fx.safe_div("topside_total", "topside_stops"))).alias("allocated"),
-        F.max("topside_stops").cast("bigint").alias("stops"),
-    )
-    both = routes.unionByName(weeks).withColumn("allocated", F.coalesce("allocated", F.lit(0.0)))
-    return both.withColumn("lost", F.col("charged") - F.col("allocated"))

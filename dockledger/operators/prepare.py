@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dockledger.functions import columns as fx
@@ -187,12 +187,15 @@ def filter_nonblank(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.trim(F.col(column)) != "")
 
 
+def stop_key() -> Column:
+    """``route|dc|yyyyMMdd|stop``, a function of route key and sequence."""
+    return F.concat(F.col("route_key"), F.lit("|"), fx.stop_label("delivery_seq"))
+
+
 def route_stop_keys(df: DataFrame) -> DataFrame:
     """Route-day key and stop key of each charge row."""
     key = fx.route_key("route_id", "dc", "service_date" if "service_date" in df.columns else "delivered_at")
-    return df.withColumn("route_key", key).withColumn(
-        "stop_key", F.concat(F.col("route_key"), F.lit("|"), fx.stop_label("delivery_seq"))
-    )
+    return df.withColumn("route_key", key).withColumn("stop_key", stop_key())
 
 
 def split_job_key(df: DataFrame) -> DataFrame:
