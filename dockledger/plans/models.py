@@ -1,5 +1,5 @@
-"""Registered queries: learned bands and anomaly scores (checked by row counts
-here and by invariants in the tests)."""
+"""Registered queries: learned bands and anomaly scores. Where SQL cannot learn
+them, the tests check what must hold."""
 
 from __future__ import annotations
 
@@ -22,7 +22,17 @@ NUMERIC = ["paid_records", "zero_rate", "median_distance", "median_route_stop_co
 ROW_NUMERIC = ["distance", "route_stop_count", "route_tote_count", "geography_multiplier", "shipment_multiplier", "density_multiplier"]
 
 
-@query("impute_encode", None, "xdock carrier_cd", " ".join(f"x_{c}" for c in NUMERIC) + " x_xdock x_carrier_cd")
+LEARNING = "SELECT * FROM mk WHERE actual_median_cps > 0 AND paid_records >= 20"
+
+
+@query(
+    "impute_encode",
+    f"""WITH g AS ({LEARNING}) SELECT xdock, carrier_cd, DENSE_RANK() OVER (ORDER BY xdock) - 1 AS x_xdock,
+    DENSE_RANK() OVER (ORDER BY carrier_cd) - 1 AS x_carrier_cd,
+    {', '.join(f'COALESCE({c}, (SELECT QUANTILE_CONT({c}, 0.5) FROM g), 0) AS x_{c}' for c in NUMERIC)} FROM g""",
+    "xdock carrier_cd",
+    " ".join(f"x_{c}" for c in NUMERIC) + " x_xdock x_carrier_cd",
+)
 def impute_encode(spark: SparkSession, sf: str) -> DataFrame:
     return boosting.impute_encode(sc.model_groups(markets(spark, sf), LEARN), NUMERIC, KEYS)
 
@@ -85,11 +95,23 @@ def row_scorecard(spark: SparkSession, sf: str) -> DataFrame:
     return rollups.row_scorecard(scored_rows(spark, sf), ["xdock", "month"])
 
 
-@query("residual_month_pivot", None, "xdock", " ".join(f"`{m}`" for m in range(1, 13)))
+MONTHS = range(1, 13)
+
+
+@query(
+    "residual_month_pivot",
+    f"""SELECT xdock, {', '.join(f'MAX(CASE WHEN month = {m} THEN med / p50 - 1 END) AS m{m}' for m in MONTHS)} FROM (
+    SELECT xdock, month, med, (SELECT COALESCE(QUANTILE_CONT(CASE WHEN med > 0 AND paid_records >= 20 THEN med END, 0.5), QUANTILE_CONT(med, 0.5))
+      FROM (SELECT QUANTILE_CONT(CASE WHEN paid THEN cost_per_stop END, 0.5) AS med, COUNT(*) FILTER (WHERE paid) AS paid_records
+            FROM slim GROUP BY xdock, month) e) AS p50
+    FROM (SELECT xdock, month, QUANTILE_CONT(CASE WHEN paid THEN cost_per_stop END, 0.5) AS med FROM slim GROUP BY 1, 2) t) u GROUP BY 1""",
+    "xdock",
+    " ".join(f"m{m}" for m in MONTHS),
+)
 def residual_month_pivot(spark: SparkSession, sf: str) -> DataFrame:
     groups = rollups.market_groups(b.slim_extract(spark, sf), ["xdock", "month"], [])
     banded = sc.residuals(sc.benchmark_bands(cut_lineage(groups), LEARN))
-    return rollups.residual_month_pivot(banded)
+    return rollups.residual_month_pivot(banded).withColumnsRenamed({str(m): f"m{m}" for m in MONTHS})
 
 
 @query("isolation_score", None, "market_id carrier", "anomaly_score")

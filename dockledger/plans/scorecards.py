@@ -321,9 +321,20 @@ def class_detail(spark: SparkSession, sf: str) -> DataFrame:
     return views.class_tops(scored(spark, sf), 50)
 
 
+def _dollars(c: str) -> str:
+    return f"COALESCE('$' || FORMAT('{{:,.2f}}', {c}), 'n/a')"
+
+
 @query(
     "row_narrative",
-    None,
+    f"""SELECT *, 'Signal: ' || classification || ' with ' || confidence || ' confidence. Actual CPS is ' || {_dollars('actual_median_cps')}
+    || ' versus expected CPS of ' || {_dollars('pred_p50')} || ', a gap of ' || CASE WHEN model_residual_pct * 1e2 >= 0 THEN '+' ELSE '' END
+    || FORMAT('{{:,.1f}}', model_residual_pct * 1e2) || '% based on ' || FORMAT('{{:,}}', paid_records) || ' records with CPS.'
+    || CASE WHEN median_normalized_cost IS NULL THEN '' ELSE ' Normalized cost is ' || {_dollars('median_normalized_cost')}
+      || '. Use it as supporting evidence, not the final decision rule.' END
+    || CASE WHEN median_benchmark_conservative IS NULL AND median_benchmark_aggressive IS NULL THEN '' ELSE ' Cleansheet range: conservative '
+      || {_dollars('median_benchmark_conservative')} || ', aggressive ' || {_dollars('median_benchmark_aggressive')} || '.' END
+    || ' Business note: ' || business_note AS narrative FROM sc""",
     ID + " narrative",
 )
 def row_narrative(spark: SparkSession, sf: str) -> DataFrame:
@@ -532,9 +543,22 @@ def rank_stability(spark: SparkSession, sf: str) -> DataFrame:
     return rollups.rank_stability(b.slim_extract(spark, sf))
 
 
-@query("column_profile", None, "column dtype rows non_null", "min max mean std p25 p50 p75")
+PROFILED = {"cost_per_stop": "double", "normalized_cost": "double", "distance": "double", "year": "int"}
+
+
+@query(
+    "column_profile",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS field, '{t}' AS dtype, COUNT(*) AS row_count, COUNT({c}) AS non_null, MIN({c}) AS lowest, MAX({c}) AS highest,
+        AVG({c}) AS mean, STDDEV_SAMP({c}) AS std, {q(c, 0.25)} AS p25, {q(c, 0.5)} AS p50, {q(c, 0.75)} AS p75 FROM slim"""
+        for c, t in PROFILED.items()
+    ),
+    "field dtype row_count non_null",
+    "lowest highest mean std p25 p50 p75",
+)
 def column_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return describe_columns(b.slim_extract(spark, sf), ["cost_per_stop", "normalized_cost", "distance", "year"])
+    profile = describe_columns(b.slim_extract(spark, sf), list(PROFILED))
+    return profile.withColumnsRenamed({"column": "field", "rows": "row_count", "min": "lowest", "max": "highest"})
 
 
 # ---- correlation, trend, similarity -----------------------------------------

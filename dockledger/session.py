@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,14 +29,16 @@ def get_spark(app_name: str = "dockledger", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="dockledger-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder the cluster names; only a session without one (a
     local test) gets a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", "")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="dockledger-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    return (named or _local_folder()).rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
