@@ -93,7 +93,8 @@ def flag_stops(events: DataFrame, order_cols: Sequence[str], scope: str = "all")
     seq_stats = cut_lineage(sequence_stats(events, order_cols, scope))
     stops = _stop_level(seq_stats)
     routes = _route_level(stops)
-    months = (
+    # one row per fill DC and month; with its size known it can be broadcast
+    months = cut_lineage(
         seq_stats.filter(_delivers("delivery_head"))
         .select(*[F.col("delivery_head")[c].alias(c) for c in ("fill_dc", "year", "month")])
         .dropna()
