@@ -7,15 +7,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dockledger.llm import packing
+from dockledger.llm import mixing, packing, quality_rules
 from dockledger.llm.common import table
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Plan] = {"op7_best_fit_packing": op7_best_fit_packing}
-ORACLE_SQL: dict[str, str] = {}
+def op8_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(mixing.sized(table(spark, sf_dir, "documents"))).drop("source")
+
+
+QUERIES: dict[str, Plan] = {f.__name__: f for f in (op2_quality_rules, op7_best_fit_packing, op8_sainte_lague_mixing)}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL}
