@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dockledger.llm import mixing, packing, quality_rules
+from dockledger.llm import mixing, near_dedup, packing, quality_rules
 from dockledger.llm.common import table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    how = near_dedup.Similarity(shingle=2, percent=80)
+    return near_dedup.components(table(spark, sf_dir, "documents"), how).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -26,5 +31,5 @@ def op8_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(mixing.sized(table(spark, sf_dir, "documents"))).drop("source")
 
 
-QUERIES: dict[str, Plan] = {f.__name__: f for f in (op2_quality_rules, op7_best_fit_packing, op8_sainte_lague_mixing)}
+QUERIES: dict[str, Plan] = {f.__name__: f for f in (op2_quality_rules, op6_minhash_near_dedup, op7_best_fit_packing, op8_sainte_lague_mixing)}
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL}
