@@ -11,16 +11,42 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dockledger.llm import packing
+from dockledger.llm import mixing, near_dedup, packing, quality_classifier, quality_rules
 from dockledger.llm.common import table
 from dockledger.session import shared_folder
 
 
-def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality_classifier.keep_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def check_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules of the production policy reject go."""
+    return quality_rules.keep_documents(docs)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return near_dedup.keep_documents(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeat, stop short or go, as their source's target says."""
+    return mixing.mix_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("best-fit packing", pack_stage)]
+STAGES = [
+    ("quality classifier", classify),
+    ("quality rules", check_rules),
+    ("MinHash near-dedup", drop_copies),
+    ("mixing sources", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
 # Token ids cannot be said in SQL; the tests compare with a brute-force version.
 ORACLE_SQL = None

@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dockledger.llm import mixing, near_dedup, packing, quality_rules
+from dockledger.llm import mixing, near_dedup, packing, quality_classifier, quality_rules, samples, toxicity
 from dockledger.llm.common import table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -31,5 +32,16 @@ def op8_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(mixing.sized(table(spark, sf_dir, "documents"))).drop("source")
 
 
-QUERIES: dict[str, Plan] = {f.__name__: f for f in (op2_quality_rules, op6_minhash_near_dedup, op7_best_fit_packing, op8_sainte_lague_mixing)}
+def op9_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", samples.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+QUERIES: dict[str, Plan] = {f.__name__: f for f in (op2_quality_rules, op6_minhash_near_dedup, op7_best_fit_packing, op8_sainte_lague_mixing, op9_ordinal_toxicity, op10_neighbour_quality)}
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL}

@@ -222,3 +222,20 @@ def components(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     linked = full.select("doc_id", "tkey", "n_shingles", "sig", "_row").join(of_class, "sig").drop("sig")
     alone = rows.filter("n_shingles = 0").select("doc_id", "tkey", "n_shingles", "_row", F.col("_row").alias("node"), F.col("_row").alias("root"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def keep_documents(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
+    """The rows of documents without near-duplicates, as they are: of each component one
+    row, with its smallest id. Texts without a set stay, rows repeated in id and text
+    count once. Here a null id stands for itself, so no component is lost."""
+    found = cut_lineage(components(docs, how).select("doc_id", "tkey", "root", "component_id"))
+    key = F.struct("doc_id", "tkey").alias("key")
+    best = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(key).alias("best"))
+    keys = found.select(key, "root").groupBy("root", "key").agg(F.count("*").alias("_n")).join(best, "root")
+    judged = cut_lineage(keys.groupBy("key").agg(F.max(F.col("key").eqNullSafe(F.col("best"))).alias("stays"), F.sum("_n").alias("n")))
+    row = docs.select(F.struct("*").alias("_row"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tkey")).alias("key"))
+    gone = judged.filter("NOT stays").select("key")
+    repeated = judged.filter("stays AND n > 1").select("key")
+    stay = row.join(gone.unionByName(repeated), "key", "leftanti").select("_row.*")
+    once = row.join(repeated, "key", "leftsemi").dropDuplicates(["key"]).select("_row.*")
+    return stay.unionByName(once)
