@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockledger.llm import license_scan, mixing, near_dedup, packing, quality_classifier, quality_rules, samples, sharding, token_counts, toxicity
+from dockledger.llm import hilbert_ann, license_scan, mixing, near_dedup, packing, quality_classifier, quality_rules, samples, sharding, token_counts, toxicity
 from dockledger.llm.common import table
 from dockledger.session import cut_lineage, shared_folder
 
@@ -40,6 +40,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Plan] = {
         op1_token_counts,
         op2_quality_rules,
         op3_license_scan,
+        op4_hilbert_neighbours,
         op5_extendible_sharding,
         op6_minhash_near_dedup,
         op7_best_fit_packing,
