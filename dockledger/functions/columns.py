@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ def col(c: str | Column) -> Column:
 
 
 def units(c: str | Column) -> Column:
-    """A money amount as a whole number of 1/10000 units."""
-    return F.floor(col(c) * F.lit(MONEY_UNITS) + F.lit(0.5))
+    """A money amount as a whole number of 1/10000 units; NaN and infinities are null."""
+    return F.floor(finite(col(c).cast("double")) * F.lit(MONEY_UNITS) + F.lit(0.5))
 
 
 def money_sum(c: str | Column) -> Column:
@@ -29,7 +31,14 @@ def money_sum0(c: str | Column) -> Column:
 
 
 def money_avg(c: str | Column) -> Column:
-    return F.sum(units(c)) / F.count(col(c)) / F.lit(MONEY_UNITS)
+    return F.sum(units(c)) / F.count(units(c)) / F.lit(MONEY_UNITS)
+
+
+def ratio_avg(c: str | Column) -> Column:
+    """Mean of quotients, which are not rounded first. Twelve decimals make the sum
+    independent of the order in which partitions arrive."""
+    exact = finite(col(c).cast("double")).cast("decimal(38,12)")
+    return F.sum(exact).cast("double") / F.count(exact)
 
 
 def safe_div(a: str | Column, b: str | Column) -> Column:
@@ -104,9 +113,21 @@ def job_key_part(c: str | Column, index: int) -> Column:
     return F.trim(part) if index == 4 else normalize_key(part)
 
 
-def parse_time(c: str | Column) -> Column:
-    """Text to timestamp, null when unreadable."""
-    return col(c).cast("string").try_cast("timestamp")
+# Written dates that are read besides ISO ones, month first.
+TIME_FORMATS = ("M/d/yyyy h:mm:ss a", "M/d/yyyy H:mm:ss", "M/d/yyyy h:mm a", "M/d/yyyy H:mm", "M/d/yyyy")
+
+
+def parse_time(c: str | Column, formats: Sequence[str] = TIME_FORMATS) -> Column:
+    """Text to timestamp, null when unreadable. A bare year is no time."""
+    text = F.trim(col(c).cast("string"))
+    iso = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("timestamp"))
+    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+
+
+def unread_times(c: str | Column, formats: Sequence[str] = TIME_FORMATS) -> Column:
+    """Aggregate: how many values that are not blank could not be read."""
+    text = F.trim(col(c).cast("string"))
+    return F.count_if((text != "") & parse_time(c, formats).isNull())
 
 
 def strip_zone(c: str | Column) -> Column:
@@ -148,23 +169,25 @@ def dock_code(origin: str | Column, carrier: str | Column) -> Column:
 
 
 def route_key(route: str | Column, dc: str | Column, day: str | Column) -> Column:
-    """``route|dc|yyyyMMdd``, null without a day."""
-    return F.concat(col(route), F.lit("|"), col(dc), F.lit("|"), F.date_format(col(day), "yyyyMMdd"))
+    """``route|dc|yyyyMMdd``, null without a day. Rows without a route or dock share a
+    key of their own, so that their charges are spread too."""
+    known = [F.coalesce(col(c).cast("string"), F.lit("nan")) for c in (route, dc)]
+    return F.concat(known[0], F.lit("|"), known[1], F.lit("|"), F.date_format(col(day), "yyyyMMdd"))
 
 
 def stop_number(seq: str | Column) -> Column:
     """Whole stop number, 0 for the return leg (0, null or unreadable)."""
-    return F.coalesce(col(seq).cast("string").try_cast("double").cast("bigint"), F.lit(0))
+    return F.coalesce(numeric_text(seq).try_cast("bigint"), F.lit(0))
 
 
 def stop_label(seq: str | Column) -> Column:
-    raw = F.coalesce(col(seq).cast("string").try_cast("double"), F.lit(0.0))
-    return F.when(raw == 0, F.lit("RETURN")).otherwise(raw.cast("bigint").cast("string"))
+    raw = F.coalesce(numeric_text(seq), F.lit(0.0))
+    return F.when(raw == 0, F.lit("RETURN")).otherwise(F.coalesce(raw.try_cast("bigint").cast("string"), F.lit("RETURN")))
 
 
 def is_paid(cost: str | Column) -> Column:
-    """A null cost is not paid."""
-    return F.coalesce(col(cost), F.lit(0.0)) > 0
+    """A null or NaN cost is not paid."""
+    return F.coalesce(finite(col(cost).cast("double")), F.lit(0.0)) > 0
 
 
 def leg_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 3959.0) -> Column:

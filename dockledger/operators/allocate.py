@@ -62,7 +62,7 @@ def sequence_stats(events: DataFrame, order_cols: Sequence[str], scope: str = "a
 
 
 def _delivers(head: str) -> Column:
-    seq = F.col("delivery_seq").cast("string").try_cast("double")
+    seq = fx.numeric_text("delivery_seq")
     return fx.is_true(F.col(head)["charge_type"].isin(*DELIVERY_CHARGES) & (seq > 0))
 
 
@@ -93,8 +93,7 @@ def flag_stops(events: DataFrame, order_cols: Sequence[str], scope: str = "all")
     seq_stats = cut_lineage(sequence_stats(events, order_cols, scope))
     stops = _stop_level(seq_stats)
     routes = _route_level(stops)
-    # one row per fill DC and month; with its size known it can be broadcast
-    months = cut_lineage(
+    months = (
         seq_stats.filter(_delivers("delivery_head"))
         .select(*[F.col("delivery_head")[c].alias(c) for c in ("fill_dc", "year", "month")])
         .dropna()
@@ -110,7 +109,7 @@ def flag_stops(events: DataFrame, order_cols: Sequence[str], scope: str = "all")
     # rows without a service day share the null route; their stop is still ordered
     rows = join_back(events, per_seq, ["route_key", "delivery_seq"])
     order = _order(order_cols)
-    seq = F.col("delivery_seq").cast("string").try_cast("double")
+    seq = fx.numeric_text("delivery_seq")
     delivers = fx.is_true(_charge(*DELIVERY_CHARGES) & (seq > 0) & (order == F.col("seq_first")))
     rows = rows.withColumns(
         {
@@ -125,7 +124,7 @@ def flag_stops(events: DataFrame, order_cols: Sequence[str], scope: str = "all")
     return joined.withColumn("fill_dc_stop_count", F.when(known, F.coalesce("fill_dc_stop_count", F.lit(0))))
 
 
-def route_cost(rate: str = "total_rate", overflow: str = "lastmile_total_cost") -> Column:
+def route_cost(rate: str = "total_rate", overflow: str = "leg_total_cost") -> Column:
     """C4: what one row costs once the route charge is spread."""
     share = F.when(F.col("fm_count") > 0, F.col("rc_total") / F.col("fm_count")).otherwise(0.0)
     first_fm = _charge("FM") & (F.col("first_of_stop") == 1)
@@ -140,7 +139,7 @@ def route_cost(rate: str = "total_rate", overflow: str = "lastmile_total_cost")
 
 
 # The two cost bases, (rate column, overflow column).
-COST_BASES = {"rate": ("total_rate", "lastmile_total_cost"), "base": ("base_cost", "lastmile_misc_cost")}
+COST_BASES = {"rate": ("total_rate", "leg_total_cost"), "base": ("base_cost", "leg_misc_cost")}
 
 
 def cost_per_stop(events: DataFrame, order_cols: Sequence[str], basis: str = "rate", scope: str = "all") -> DataFrame:
@@ -215,23 +214,25 @@ def allocation_audit(events: DataFrame, order_cols: Sequence[str], scope: str =
     spread = (F.col("rc_total") > 0) & (F.col("fm_count") > 0) & _charge("FM") & (F.col("first_of_stop") == 1)
     spread_week = F.col("first_of_week") == 1
     parts = [
-        # level, key, charged, hits, share, stops
-        ("route", "route_key", "rc_total", spread, fx.safe_div("rc_total", "fm_count"), "fm_count"),
-        ("week", "week_key", "topside_total", spread_week, fx.safe_div("topside_total", "topside_stops"), "topside_stops"),
+        # level, key, charged, hits, share, stops, the row's own charge
+        ("route", "route_key", "rc_total", spread, fx.safe_div("rc_total", "fm_count"), "fm_count", F.when(_charge("RC"), F.col("total_rate"))),
+        ("week", "week_key", "topside_total", spread_week, fx.safe_div("topside_total", "topside_stops"), "topside_stops", F.when(_charge("TS"), F.col("topside_cost"))),
     ]
     # both levels from one pass over the rows
     entries = [
         F.struct(
             F.lit(level).alias("level"), F.col(key).alias("group_key"), F.col(total).alias("charged"),
             fx.is_true(hit).cast("int").alias("hit"), share.alias("share"), F.col(stops).cast("bigint").alias("stops"),
+            own.cast("double").alias("own"),
         )
-        for level, key, total, hit, share, stops in parts
+        for level, key, total, hit, share, stops, own in parts
     ]
     allocated = F.coalesce(F.sum("hit") * F.max("share"), F.lit(0.0))
+    # rows without a key share nothing: what they charge is all lost
+    charged = F.when(F.col("group_key").isNull(), fx.money_sum0("own")).otherwise(F.max("charged"))
     return (
         rows.select(F.inline(F.array(*entries)))
-        .filter(F.col("group_key").isNotNull())
         .groupBy("level", "group_key")
-        .agg(F.max("charged").alias("charged"), allocated.alias("allocated"), F.max("stops").alias("stops"))
+        .agg(charged.alias("charged"), allocated.alias("allocated"), F.max("stops").alias("stops"))
         .withColumn("lost", F.col("charged") - F.col("allocated"))
     )

@@ -35,16 +35,21 @@ def previous_stop(stops: DataFrame, chunk: int = 1000) -> DataFrame:
     Stops are ordered by numeric id, then text; ids that are no numbers come
     last. Each route-day is cut into runs of neighbouring ids, so a very long one
     is spread over tasks: inside a run the previous row is a plain lag, and the
-    first row of a run continues from the last stop of the run before it.
+    first row of a run continues from the last stop of the run before it. Text ids
+    are cut by the three characters after what all of the route-day begin with.
     """
-    number = F.col("stop_id").try_cast("double")
-    stops = stops.withColumns(
+    number = fx.numeric_text("stop_id")
+    text = F.when(number.isNull(), F.col("stop_id"))
+    shared = "size(filter(sequence(1, least(length(__low), length(__high))), i -> substring(__low, 1, i) = substring(__high, 1, i)))"
+    named = stops.filter(number.isNull()).groupBy(*ROUTE_DAY).agg(F.min("stop_id").alias("__low"), F.max("stop_id").alias("__high"))
+    skip = named.select(*ROUTE_DAY, F.expr(f"IF(least(length(__low), length(__high)) = 0, 0, {shared})").alias("__skip"))
+    stops = join_back(stops, skip, ROUTE_DAY).withColumns(
         {
             "__num": number,
             "__run_num": F.floor(number / chunk),
-            "__run_text": F.when(number.isNull(), F.substring("stop_id", 1, 2)),
+            "__run_text": F.substring(text, F.col("__skip") + 1, F.lit(3)),
         }
-    )
+    ).drop("__skip")
     run = [*ROUTE_DAY, "__run_num", "__run_text"]
     order: list[Column] = [F.asc_nulls_last("__num"), F.asc("stop_id"), *[F.asc_nulls_last(c) for c in COORDS]]
     within = Window.partitionBy(*run).orderBy(*order)

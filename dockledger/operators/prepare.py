@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from dockledger.functions import columns as fx
 
-# Canonical name -> accepted input names, first present wins.
+# Canonical name -> accepted input names, first present wins. Give
+# ``conform_schema`` a mapping of your own for other headers.
 SCORED_INPUT_NAMES: dict[str, list[str]] = {
     "xdock": ["XDOCK", "XDOCK_x", "XDOCK_y", "DC_CD"],
     "year": ["YEAR", "ROUTE_YEAR", "year"],
@@ -36,10 +37,10 @@ SCORED_INPUT_NAMES: dict[str, list[str]] = {
     "tote_count": ["TOTE_COUNT_VAL"],
     "route_count": ["ROUTE_COUNT_VAL"],
     "distance": ["DISTANCE_VAL"],
-    "lastmile_total_cost": ["LASTMILE_TOTAL_COST"],
-    "lastmile_base_cost": ["LASTMILE_BASE_COST"],
-    "lastmile_fuel_cost": ["LASTMILE_FUEL_COST"],
-    "lastmile_misc_cost": ["LASTMILE_MISC_COST"],
+    "leg_total_cost": ["LEG_TOTAL_COST"],
+    "leg_base_cost": ["LEG_BASE_COST"],
+    "leg_fuel_cost": ["LEG_FUEL_COST"],
+    "leg_misc_cost": ["LEG_MISC_COST"],
     "benchmark_conservative": ["Cleansheet Cost Per Stop Conservative"],
     "benchmark_aggressive": ["Cleansheet Cost Per Stop Aggressive"],
 }
@@ -58,10 +59,10 @@ EVENT_NAMES: dict[str, list[str]] = {
     "total_rate": ["TOTAL_RATE"],
     "topside_cost": ["TOPSIDE_COST"],
     "base_cost": ["BASE_COST"],
-    "lastmile_total_cost": ["LASTMILE_TOTAL_COST"],
-    "lastmile_base_cost": ["LASTMILE_BASE_COST"],
-    "lastmile_fuel_cost": ["LASTMILE_FUEL_COST"],
-    "lastmile_misc_cost": ["LASTMILE_MISC_COST"],
+    "leg_total_cost": ["LEG_TOTAL_COST"],
+    "leg_base_cost": ["LEG_BASE_COST"],
+    "leg_fuel_cost": ["LEG_FUEL_COST"],
+    "leg_misc_cost": ["LEG_MISC_COST"],
     "distance": ["DISTANCE_VAL"],
     "stop_count": ["STOP_COUNT_VAL"],
     "tote_count": ["TOTE_COUNT_VAL"],
@@ -126,6 +127,16 @@ def require_int_period(df: DataFrame) -> DataFrame:
     return df.dropna(subset=[*periods, "xdock"]).withColumns({c: F.col(c).cast("int") for c in periods})
 
 
+def first_row_dedup(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], columns: Sequence[str] = ()) -> DataFrame:
+    """The first row of each key in the order of ``order_cols``, with ``columns``.
+
+    A minimum over the ordering struct combines before the shuffle; a row number
+    would bring all rows of a key into one task.
+    """
+    first = F.min(F.struct(*order_cols, *columns)).alias("__first")
+    return df.groupBy(*keys).agg(first).select(*keys, *[F.col("__first")[c].alias(c) for c in (*order_cols, *columns)])
+
+
 def paid_flags(df: DataFrame, cost: str = "cost_per_stop") -> DataFrame:
     paid = fx.is_paid(cost)
     return df.withColumns({"paid": paid, "zero_cost": ~paid, "paid_cost": F.when(paid, F.col(cost))})
@@ -165,9 +176,10 @@ def filter_period_dc_type(
     customer_types: Sequence[str] = (),
     carriers: Sequence[str] = (),
 ) -> DataFrame:
-    """Optional filters; an empty list does not filter."""
-    if year is not None and month is not None:
-        df = df.filter((F.col("year") == year) & (F.col("month") == month))
+    """Optional filters; what is not given does not filter."""
+    for column, value in (("year", year), ("month", month)):
+        if value is not None:
+            df = df.filter(F.col(column) == value)
     for column, values in (("fill_dc", fill_dcs), ("customer_type", customer_types), ("carrier_cd", carriers)):
         if values:
             df = df.filter(F.col(column).isin(*values))

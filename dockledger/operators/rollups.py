@@ -12,7 +12,7 @@ from dockledger.functions.stats import average_rank, group_quantiles, join_back,
 from dockledger.operators.lookups import keep_top_groups
 from dockledger.session import cut_lineage
 
-COST_PARTS = ["lastmile_base_cost", "lastmile_fuel_cost", "lastmile_misc_cost", "lastmile_total_cost"]
+COST_PARTS = ["leg_base_cost", "leg_fuel_cost", "leg_misc_cost", "leg_total_cost"]
 # Monday-first weekday names.
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 COST_METRICS = [
@@ -50,13 +50,13 @@ def monthly_trend(monthly: DataFrame) -> DataFrame:
     )
 
 
-def mom_change(trend: DataFrame, value: str = "lastmile_total_cost") -> DataFrame:
+def mom_change(trend: DataFrame, value: str = "leg_total_cost") -> DataFrame:
     """Percent change to the previous month present (one row per month)."""
     previous = F.lag(value).over(Window.orderBy("month_start"))
     return trend.withColumn("mom_pct", fx.ratio_gap(F.col(value), previous) * 100.0)
 
 
-def weekday_cost(events: DataFrame, cost: str = "lastmile_total_cost") -> DataFrame:
+def weekday_cost(events: DataFrame, cost: str = "leg_total_cost") -> DataFrame:
     """A2: average and total cost and deliveries per weekday."""
     return (
         events.filter(F.col("delivered_at").isNotNull())
@@ -69,7 +69,7 @@ def weekday_cost(events: DataFrame, cost: str = "lastmile_total_cost") -> DataFr
     )
 
 
-def carrier_weekday_pivot(events: DataFrame, cost: str = "lastmile_total_cost") -> DataFrame:
+def carrier_weekday_pivot(events: DataFrame, cost: str = "leg_total_cost") -> DataFrame:
     """A3: average cost, carrier by weekday, 0 where a carrier has none."""
     return (
         events.filter(F.col("delivered_at").isNotNull() & F.col("carrier_name").isNotNull())
@@ -183,6 +183,11 @@ def dock_month_miles(dock_days: DataFrame) -> DataFrame:
 ROUTE_KEYS = ["fill_dc", "dc", "year", "month", "route_id", "delivery_date"]
 
 
+def _mean(value: str) -> Column:
+    """Normalized costs are quotients, other costs are charged amounts."""
+    return fx.ratio_avg(value) if value.startswith("normalized") else fx.money_avg(value)
+
+
 def route_daily_cost(rows: DataFrame) -> DataFrame:
     """Mean costs, distinct stops and multiplier sum per route and day."""
     return (
@@ -191,7 +196,7 @@ def route_daily_cost(rows: DataFrame) -> DataFrame:
         .groupBy(*ROUTE_KEYS)
         .agg(
             fx.money_avg("cost_per_stop").alias("avg_cost_per_stop"),
-            fx.money_avg("normalized_cost").alias("avg_normalized_cost"),
+            fx.ratio_avg("normalized_cost").alias("avg_normalized_cost"),
             F.count_distinct("stop_id").alias("route_stop_count"),
             F.sum("density_multiplier").alias("sum_density_multiplier"),
         )
@@ -212,7 +217,7 @@ def dock_daily_cost(routes: DataFrame) -> DataFrame:
 def dock_monthly_cost(rows: DataFrame, value: str = "normalized_cost", by_route: bool = False) -> DataFrame:
     """Mean cost per fill DC, month and dock (and route)."""
     keys = ["fill_dc", "year", "month", "dc", *(["route_id"] if by_route else [])]
-    return rows.dropna(subset=keys).groupBy(*keys).agg(fx.money_avg(value).alias(f"avg_{value}"))
+    return rows.dropna(subset=keys).groupBy(*keys).agg(_mean(value).alias(f"avg_{value}"))
 
 
 def docks_per_dc_month(rows: DataFrame) -> DataFrame:
@@ -239,10 +244,10 @@ DRIVERS = [
     "tote_count",
     "route_count",
     "distance",
-    "lastmile_total_cost",
-    "lastmile_base_cost",
-    "lastmile_fuel_cost",
-    "lastmile_misc_cost",
+    "leg_total_cost",
+    "leg_base_cost",
+    "leg_fuel_cost",
+    "leg_misc_cost",
     "benchmark_conservative",
     "benchmark_aggressive",
 ]
@@ -302,7 +307,7 @@ def crossdock_month(rows: DataFrame, year: int, month: int, how: str = "mean") -
     means = [F.avg(c).alias(c) for c in MULTIPLIERS if c in rows.columns]
     if how == "mean":
         return rows.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("shipments"), *[fx.money_avg(c).alias(c) for c in costs], *means
+            F.count(F.lit(1)).alias("shipments"), *[_mean(c).alias(c) for c in costs], *means
         )
     counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("shipments"), *means)
     return join_back(counted, group_quantiles(rows, keys, {c: (c, 0.5) for c in costs}), keys)

@@ -56,10 +56,10 @@ NUMERIC_FEATURES = [
     "median_tote_count",
     "median_route_count",
     "median_distance",
-    "median_lastmile_total_cost",
-    "median_lastmile_base_cost",
-    "median_lastmile_fuel_cost",
-    "median_lastmile_misc_cost",
+    "median_leg_total_cost",
+    "median_leg_base_cost",
+    "median_leg_fuel_cost",
+    "median_leg_misc_cost",
 ]
 CATEGORICAL_FEATURES = ["xdock", "carrier_cd", "fill_dc"]
 

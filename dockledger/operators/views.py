@@ -227,6 +227,32 @@ def row_narrative(scored: DataFrame) -> DataFrame:
     return scored.withColumn("narrative", F.concat_ws(" ", signal, cost, normalized, benchmark, note))
 
 
+def class_narrative(detail: DataFrame, selected_class: str) -> DataFrame:
+    """The text about one class, one row. ``detail`` holds business-view rows of
+    the class; the first is the one with the largest gap. Sentences are fixed values."""
+    gap, benchmark_gap = "CPS Gap vs Expected %", "Gap vs Aggressive Cleansheet %"
+    name = F.coalesce(F.col("Market Name"), F.col("Market / Xdock"), F.lit("n/a"))
+    sentences = F.concat_ws(
+        " ",
+        F.concat(F.lit(f"For {selected_class}, the largest gap is "), name, F.lit(" at "), _percent(gap), F.lit(" versus expected CPS.")),
+        F.concat(
+            F.lit("Top actual CPS is "), _money("Actual CPS"), F.lit(" versus expected CPS of "), _money("Expected CPS"),
+            F.lit("; records with CPS count is "), F.format_number(F.coalesce("Records With CPS", F.lit(0)), 0), F.lit("."),
+        ),
+        F.when(
+            F.col("Cleansheet Aggressive").isNotNull(),
+            F.concat(F.lit("Against aggressive cleansheet, the top group is "), _percent(benchmark_gap), F.lit(" from benchmark.")),
+        ),
+        F.when(
+            F.col("Normalization Sensitivity") > 0.40,
+            F.lit("The top group is sensitive to normalization assumptions, so review the multiplier inputs before making a pricing decision."),
+        ),
+    )
+    rank = F.struct(F.col(gap).isNotNull(), F.col(gap), F.col("Market / Xdock"))
+    best = detail.filter(F.col("Signal / Classification") == selected_class).agg(F.max_by(sentences, rank).alias("text"))
+    return best.select(F.coalesce("text", F.lit(f"No market groups currently fall into {selected_class}.")).alias("narrative"))
+
+
 def class_summary_row(scored: DataFrame) -> DataFrame:
     """The counts used by the summary text."""
 

@@ -63,10 +63,10 @@ def delivery_events(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("l_extendedprice") / 1000).alias("total_rate"),
         F.col("l_quantity").alias("topside_cost"),
         (F.col("l_extendedprice") / 2000).alias("base_cost"),
-        total.alias("lastmile_total_cost"),
-        (total * 0.8).alias("lastmile_base_cost"),
-        (total * 0.15).alias("lastmile_fuel_cost"),
-        (total * 0.05).alias("lastmile_misc_cost"),
+        total.alias("leg_total_cost"),
+        (total * 0.8).alias("leg_base_cost"),
+        (total * 0.15).alias("leg_fuel_cost"),
+        (total * 0.05).alias("leg_misc_cost"),
         F.col("l_quantity").alias("tote_count"),
         F.col("l_linenumber").cast("double").alias("route_count"),
         (F.col("l_partkey") % 40).cast("double").alias("stop_count"),
@@ -179,7 +179,7 @@ def monthly_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Costs and volumes per carrier, route and month."""
     from dockledger.functions import columns as fx
 
-    parts = ["lastmile_base_cost", "lastmile_fuel_cost", "lastmile_misc_cost", "lastmile_total_cost"]
+    parts = ["leg_base_cost", "leg_fuel_cost", "leg_misc_cost", "leg_total_cost"]
     grouped = delivery_events(spark, sf).groupBy("year", "month", "carrier_name", "route_id").agg(
         *[fx.money_sum(c).alias(c) for c in parts],
         fx.money_sum("route_count").alias("routes"),
@@ -187,7 +187,7 @@ def monthly_summary(spark: SparkSession, sf: str) -> DataFrame:
         fx.money_sum("tote_count").alias("totes"),
     )
     return grouped.withColumns(
-        {f"avg_cost_per_{n}": fx.safe_div("lastmile_total_cost", f"{n}s") for n in ("route", "stop", "tote")}
+        {f"avg_cost_per_{n}": fx.safe_div("leg_total_cost", f"{n}s") for n in ("route", "stop", "tote")}
     )
 
 

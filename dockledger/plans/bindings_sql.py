@@ -50,10 +50,10 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
   l_linenumber - 1 AS delivery_seq, l_partkey AS stop_id,
   'C' || CAST(l_suppkey % 6 AS VARCHAR) AS carrier_cd, 'Carrier ' || CAST(l_suppkey % 6 AS VARCHAR) AS carrier_name,
   l_extendedprice / 1e3 AS total_rate, l_quantity AS topside_cost, l_extendedprice / 2e3 AS base_cost,
-  l_extendedprice * (1 - l_discount) / 1e3 AS lastmile_total_cost,
-  l_extendedprice * (1 - l_discount) / 1e3 * 8e-1 AS lastmile_base_cost,
-  l_extendedprice * (1 - l_discount) / 1e3 * 15e-2 AS lastmile_fuel_cost,
-  l_extendedprice * (1 - l_discount) / 1e3 * 5e-2 AS lastmile_misc_cost,
+  l_extendedprice * (1 - l_discount) / 1e3 AS leg_total_cost,
+  l_extendedprice * (1 - l_discount) / 1e3 * 8e-1 AS leg_base_cost,
+  l_extendedprice * (1 - l_discount) / 1e3 * 15e-2 AS leg_fuel_cost,
+  l_extendedprice * (1 - l_discount) / 1e3 * 5e-2 AS leg_misc_cost,
   l_quantity AS tote_count, CAST(l_linenumber AS DOUBLE) AS route_count,
   CAST(l_partkey % 40 AS DOUBLE) AS stop_count, CAST(l_orderkey % 90 AS DOUBLE) AS route_tote_count
 FROM ln"""
@@ -242,8 +242,8 @@ def cost_case(rate: str, overflow: str, rc: str) -> str:
 
 
 CTES["costed"] = f"""
-SELECT *, {cost_case('total_rate', 'lastmile_total_cost', 'rc_total')} AS route_cost,
-  {cost_case('base_cost', 'lastmile_misc_cost', 'rc_base_total')} AS base_basis_cost FROM routed"""
+SELECT *, {cost_case('total_rate', 'leg_total_cost', 'rc_total')} AS route_cost,
+  {cost_case('base_cost', 'leg_misc_cost', 'rc_base_total')} AS base_basis_cost FROM routed"""
 
 CTES["weeks"] = f"""
 SELECT week_key, COALESCE(SUM(CASE WHEN charge_type = 'TS' THEN {units('topside_cost')} END), 0) / 1e4 AS topside_total,
@@ -391,7 +391,7 @@ SELECT *, three_signal_score * LN(1 + paid_records) AS volume_adjusted_score,
 FROM buck0"""
 
 CTES["xmonth"] = f"""
-SELECT fill_dc, xdock, COUNT(*) AS shipments, {mavg('cost_per_stop')} AS cost_per_stop, {mavg('normalized_cost')} AS normalized_cost,
+SELECT fill_dc, xdock, COUNT(*) AS shipments, {mavg('cost_per_stop')} AS cost_per_stop, AVG(normalized_cost) AS normalized_cost,
   {mavg('benchmark_conservative')} AS benchmark_conservative, {mavg('benchmark_aggressive')} AS benchmark_aggressive,
   AVG(geography_multiplier) AS geography_multiplier, AVG(density_multiplier) AS density_multiplier,
   AVG(shipment_multiplier) AS shipment_multiplier, AVG(geo_mean) AS geo_mean
@@ -414,19 +414,19 @@ JOIN (SELECT customer_type, QUANTILE_CONT(actual_cps, 0.5) AS expected_cps FROM
 # ---- exploration --------------------------------------------------------------
 
 CTES["monthly"] = f"""
-SELECT *, lastmile_total_cost / NULLIF(routes, 0) AS avg_cost_per_route, lastmile_total_cost / NULLIF(stops, 0) AS avg_cost_per_stop,
-  lastmile_total_cost / NULLIF(totes, 0) AS avg_cost_per_tote
-FROM (SELECT year, month, carrier_name, route_id, {msum('lastmile_base_cost')} AS lastmile_base_cost,
-  {msum('lastmile_fuel_cost')} AS lastmile_fuel_cost, {msum('lastmile_misc_cost')} AS lastmile_misc_cost,
-  {msum('lastmile_total_cost')} AS lastmile_total_cost, {msum('route_count')} AS routes, CAST(COUNT(*) AS DOUBLE) AS stops,
+SELECT *, leg_total_cost / NULLIF(routes, 0) AS avg_cost_per_route, leg_total_cost / NULLIF(stops, 0) AS avg_cost_per_stop,
+  leg_total_cost / NULLIF(totes, 0) AS avg_cost_per_tote
+FROM (SELECT year, month, carrier_name, route_id, {msum('leg_base_cost')} AS leg_base_cost,
+  {msum('leg_fuel_cost')} AS leg_fuel_cost, {msum('leg_misc_cost')} AS leg_misc_cost,
+  {msum('leg_total_cost')} AS leg_total_cost, {msum('route_count')} AS routes, CAST(COUNT(*) AS DOUBLE) AS stops,
   {msum('tote_count')} AS totes FROM ev GROUP BY year, month, carrier_name, route_id) t"""
 
 CTES["trend"] = f"""
-SELECT MAKE_DATE(year, month, 1) AS month_start, {', '.join(f'{msum0(c)} AS {c}' for c in ('lastmile_base_cost', 'lastmile_fuel_cost', 'lastmile_misc_cost', 'lastmile_total_cost'))},
+SELECT MAKE_DATE(year, month, 1) AS month_start, {', '.join(f'{msum0(c)} AS {c}' for c in ('leg_base_cost', 'leg_fuel_cost', 'leg_misc_cost', 'leg_total_cost'))},
   {msum0('routes')} AS total_routes, {msum0('stops')} AS total_stops, {msum0('totes')} AS total_totes FROM monthly GROUP BY year, month"""
 
 PROFILE = {
-    **{f"avg_{c}": c for c in ("lastmile_base_cost", "lastmile_fuel_cost", "lastmile_misc_cost", "lastmile_total_cost", "routes", "stops", "totes")},
+    **{f"avg_{c}": c for c in ("leg_base_cost", "leg_fuel_cost", "leg_misc_cost", "leg_total_cost", "routes", "stops", "totes")},
 }
 PROFILE_RATIOS = {"avg_cpr": "avg_cost_per_route", "avg_cps": "avg_cost_per_stop", "avg_cpt": "avg_cost_per_tote"}
 

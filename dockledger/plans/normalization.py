@@ -315,7 +315,7 @@ def row_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ROUTE_DAILY = f"""SELECT fill_dc, dc, year, month, route_id, CAST(delivered_at AS DATE) AS delivery_date, {mavg('cost_per_stop')} AS avg_cost_per_stop,
-    {mavg('normalized_cost')} AS avg_normalized_cost, COUNT(DISTINCT stop_id) AS route_stop_count,
+    AVG(normalized_cost) AS avg_normalized_cost, COUNT(DISTINCT stop_id) AS route_stop_count,
     SUM(density_multiplier) AS sum_density_multiplier
     FROM norm WHERE cost_per_stop > 0 AND delivery_seq <> 0 GROUP BY 1, 2, 3, 4, 5, 6"""
 
@@ -363,7 +363,7 @@ def dock_monthly_cost(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "dock_monthly_normalized",
-    f"""SELECT fill_dc, year, month, dc, {mavg('normalized_cost')} AS avg_normalized_cost FROM norm GROUP BY 1, 2, 3, 4""",
+    f"""SELECT fill_dc, year, month, dc, AVG(normalized_cost) AS avg_normalized_cost FROM norm GROUP BY 1, 2, 3, 4""",
     "fill_dc year month dc",
     "avg_normalized_cost",
 )
@@ -393,7 +393,7 @@ def docks_per_dc_month(spark: SparkSession, sf: str) -> DataFrame:
 # ---- windows ----------------------------------------------------------------
 
 
-@query("mom_change", "SELECT *, (lastmile_total_cost / LAG(lastmile_total_cost) OVER (ORDER BY month_start) - 1) * 1e2 AS mom_pct FROM trend", "", "lastmile_total_cost mom_pct", "month_start")
+@query("mom_change", "SELECT *, (leg_total_cost / LAG(leg_total_cost) OVER (ORDER BY month_start) - 1) * 1e2 AS mom_pct FROM trend", "", "leg_total_cost mom_pct", "month_start")
 def mom_change(spark: SparkSession, sf: str) -> DataFrame:
     return rollups.mom_change(rollups.monthly_trend(b.monthly_summary(spark, sf)))
 
@@ -439,7 +439,7 @@ def average_rank_query(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- exploration ------------------------------------------------------------
 
-PARTS = "lastmile_base_cost lastmile_fuel_cost lastmile_misc_cost lastmile_total_cost"
+PARTS = "leg_base_cost leg_fuel_cost leg_misc_cost leg_total_cost"
 
 
 @query("monthly_trend", "SELECT * FROM trend", "", PARTS + " total_routes total_stops total_totes", "month_start")

@@ -33,10 +33,8 @@ def conform_telemetry(telemetry: DataFrame) -> DataFrame:
 
 def kept_telemetry(telemetry: DataFrame, codes: DataFrame) -> DataFrame:
     """Feed rows without distance outliers, with dock codes. The quartiles need
-    the distance only, so the dock code is looked up after the filter. The code
-    table is written first: with its size known it is broadcast, instead of
-    shuffling the feed by a handful of courier names."""
-    return lookups.add_dock_code(multipliers.iqr_filter(conform_telemetry(telemetry), "distance"), cut_lineage(codes))
+    the distance only, so the dock code is looked up after the filter."""
+    return lookups.add_dock_code(multipliers.iqr_filter(conform_telemetry(telemetry), "distance"), codes)
 
 
 def density_multipliers(telemetry: DataFrame, codes: DataFrame) -> DataFrame:
@@ -47,16 +45,15 @@ def density_multipliers(telemetry: DataFrame, codes: DataFrame) -> DataFrame:
 def normalized_rows(rows: DataFrame, geography_table: DataFrame, shipment_table: DataFrame, density_table: DataFrame) -> DataFrame:
     """Allocated rows with the three multipliers and the normalized costs.
 
-    The multiplier tables (one row per dock and month) are written first: their
-    size is then known, and a small one is broadcast without shuffling the rows.
-    """
+    The multiplier tables have one row per dock and month; adaptive execution
+    broadcasts them by the size they turn out to have."""
     out = rows
     for table, value, dock in (
         (geography_table, "geography_multiplier", "origin"),
         (shipment_table, "shipment_multiplier", "xdock"),
         (density_table, "density_multiplier", "xdock"),
     ):
-        out = lookups.join_multiplier(out, cut_lineage(table.select(dock, "year", "month", value)), value, dock)
+        out = lookups.join_multiplier(out, table.select(dock, "year", "month", value), value, dock)
     return multipliers.normalized_costs(multipliers.geo_mean(out))
 
 

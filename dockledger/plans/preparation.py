@@ -12,7 +12,7 @@ from dockledger.operators import allocate, lookups, prepare
 from dockledger.plans import bindings as b
 from dockledger.plans.bindings_sql import ORD, msum, msum0, units
 from dockledger.plans.registry import query
-from dockledger.session import shared_folder
+from dockledger.session import scratch_path
 from dockledger.sources import readers, writers
 
 KEYS = "l_orderkey l_linenumber l_partkey l_suppkey l_extendedprice"
@@ -20,7 +20,7 @@ KEYS = "l_orderkey l_linenumber l_partkey l_suppkey l_extendedprice"
 
 def scratch(spark: SparkSession) -> str:
     """A new folder beside the checkpoints, reachable from every executor."""
-    return f"{shared_folder(spark)}/dockledger/{uuid.uuid4().hex}"
+    return scratch_path(spark)
 
 
 # ---- sources and sinks ------------------------------------------------------
@@ -71,13 +71,13 @@ def resolve_source(spark: SparkSession, sf: str) -> DataFrame:
 MONTHLY = "year month carrier_name route_id"
 
 
-@query("write_parquet", "SELECT * FROM monthly", MONTHLY, "lastmile_total_cost routes stops totes")
+@query("write_parquet", "SELECT * FROM monthly", MONTHLY, "leg_total_cost routes stops totes")
 def write_parquet(spark: SparkSession, sf: str) -> DataFrame:
     path = writers.write_parquet(b.monthly_summary(spark, sf), scratch(spark) + ".parquet")
     return readers.read_parquet(spark, path)
 
 
-@query("write_csv", "SELECT * FROM monthly", MONTHLY, "lastmile_total_cost avg_cost_per_stop")
+@query("write_csv", "SELECT * FROM monthly", MONTHLY, "leg_total_cost avg_cost_per_stop")
 def write_csv(spark: SparkSession, sf: str) -> DataFrame:
     monthly = b.monthly_summary(spark, sf)
     return readers.read_csv(spark, writers.write_csv(monthly, scratch(spark)), schema=monthly.schema)
@@ -448,6 +448,4 @@ def distinct_rows(spark: SparkSession, sf: str) -> DataFrame:
     KEYS + " dc stop_id charge_type",
 )
 def first_row_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    # min over the ordering struct combines before the shuffle; a row number would not
-    first = F.min(F.struct(*b.ORDER_COLS, "charge_type")).alias("first")
-    return b.delivery_events(spark, sf).groupBy("dc", "stop_id").agg(first).select("dc", "stop_id", "first.*")
+    return prepare.first_row_dedup(b.delivery_events(spark, sf), ["dc", "stop_id"], b.ORDER_COLS, ["charge_type"])

@@ -564,8 +564,8 @@ def column_profile(spark: SparkSession, sf: str) -> DataFrame:
 # ---- correlation, trend, similarity -----------------------------------------
 
 CORRELATED = {
-    "Routes": "routes", "Stops": "stops", "Totes": "totes", "Base$": "lastmile_base_cost", "Fuel$": "lastmile_fuel_cost",
-    "Misc$": "lastmile_misc_cost", "Total$": "lastmile_total_cost", "$/Route": "avg_cost_per_route",
+    "Routes": "routes", "Stops": "stops", "Totes": "totes", "Base$": "leg_base_cost", "Fuel$": "leg_fuel_cost",
+    "Misc$": "leg_misc_cost", "Total$": "leg_total_cost", "$/Route": "avg_cost_per_route",
     "$/Stop": "avg_cost_per_stop", "$/Tote": "avg_cost_per_tote",
 }
 _labels = list(CORRELATED)
@@ -586,15 +586,15 @@ def correlation_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "ols_trend",
-    """SELECT REGR_SLOPE(lastmile_total_cost, totes) AS slope, REGR_INTERCEPT(lastmile_total_cost, totes) AS intercept,
-    REGR_R2(lastmile_total_cost, totes) AS r2, CAST(REGR_COUNT(lastmile_total_cost, totes) AS BIGINT) AS n FROM monthly
-    WHERE lastmile_total_cost > 0 AND totes > 0""",
+    """SELECT REGR_SLOPE(leg_total_cost, totes) AS slope, REGR_INTERCEPT(leg_total_cost, totes) AS intercept,
+    REGR_R2(leg_total_cost, totes) AS r2, CAST(REGR_COUNT(leg_total_cost, totes) AS BIGINT) AS n FROM monthly
+    WHERE leg_total_cost > 0 AND totes > 0""",
     "n",
     "slope intercept r2",
 )
 def ols_trend(spark: SparkSession, sf: str) -> DataFrame:
-    rows = prepare.filter_positive_pair(b.monthly_summary(spark, sf), "lastmile_total_cost", "totes")
-    return rollups.ols_trend(rows, "lastmile_total_cost", "totes")
+    rows = prepare.filter_positive_pair(b.monthly_summary(spark, sf), "leg_total_cost", "totes")
+    return rollups.ols_trend(rows, "leg_total_cost", "totes")
 
 
 def profile(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -29,18 +32,51 @@ def get_spark(app_name: str = "dockledger", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
+_WRITTEN: list[str] = []
+
+
 @cache
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="dockledger-")
+    folder = tempfile.mkdtemp(prefix="dockledger-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; only a session without one (a
-    local test) gets a temporary folder."""
+    """The checkpoint folder the cluster names. Only a session whose executors run in
+    the driver's own process may do without one and gets a temporary folder, which is
+    removed at exit; on a cluster each executor would write to its own disk."""
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return (named or _local_folder()).rstrip("/")
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed by ``release_tables``."""
+    path = f"{shared_folder(spark)}/dockledger/{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Remove the intermediate tables this process wrote, once no DataFrame that reads
+    them is needed any more; runs at exit too, if the session still lives. Returns how
+    many were removed."""
+    jvm, gone = spark._jvm, 0
+    while _WRITTEN:
+        place = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        gone += place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return gone
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    active = SparkSession.getActiveSession()
+    if _WRITTEN and active is not None and not active.sparkContext._jsc.sc().isStopped():
+        release_tables(active)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to a new folder in the shared checkpoint storage and read it
     back.
@@ -49,6 +85,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     once, whatever columns the later steps prune, lost executors do not repeat
     them, and the known file size lets Spark decide on broadcasts.
     """
-    path = f"{shared_folder(df.sparkSession)}/dockledger/{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

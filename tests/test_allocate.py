@@ -9,7 +9,7 @@ from dockledger.operators import allocate
 
 SCHEMA = (
     "n int, route_id string, dc string, fill_dc string, delivered_at timestamp, delivery_seq string, charge_type string, "
-    "stop_id string, total_rate double, topside_cost double, lastmile_total_cost double"
+    "stop_id string, total_rate double, topside_cost double, leg_total_cost double"
 )
 MON, SUN, NEXT = dt.datetime(2026, 5, 4, 9), dt.datetime(2026, 5, 10, 9), dt.datetime(2026, 5, 11, 9)
 
@@ -108,3 +108,18 @@ def test_hot_route_and_partitioning_do_not_matter(spark):
     charged = sum(r[6] for r in data if r[4] == "RC" and r[1] == "HOT")
     audit = allocate.allocation_audit(df, ["n"]).filter("group_key LIKE 'HOT%'").first()
     assert audit["charged"] == pytest.approx(charged) and audit["allocated"] == pytest.approx(charged)
+
+
+def test_missing_route_or_dock_still_spreads_its_charge(spark):
+    data = [
+        (1, None, MON, "1", "FM", "s1", 10.0, None),
+        (2, None, MON, "2", "FM", "s2", 10.0, None),
+        (3, None, MON, None, "RC", None, 30.0, None),
+        (4, "Z", None, "1", "FM", "s3", 10.0, None),  # no day, no key: its charge is lost and the audit says so
+        (5, "Z", None, "NaN", "RC", None, 12.0, None),
+    ]
+    df = rows(spark, data)
+    out = costs(allocate.cost_per_stop(df, ["n"]))
+    assert (out[1], out[2], out[3], out[4]) == (25.0, 25.0, 0.0, 10.0)
+    audit = {r["group_key"]: (r["charged"], r["allocated"], r["lost"]) for r in allocate.allocation_audit(df, ["n"]).filter("level = 'route'").collect()}
+    assert audit[None] == (12.0, 0.0, 12.0) and audit["nan|D1|20260504"] == (30.0, 30.0, 0.0)

@@ -83,3 +83,21 @@ def test_prepare_scored(spark):
     known = rows["XD_1_A_B.C"]
     assert (known["year"], known["fill_dc"], known["cost_per_stop"], known["customer_type"]) == (2026, "1", 1000.5, "Unknown")
     assert known["paid"] and rows["Unknown"]["zero_cost"] and rows["Unknown"]["paid_cost"] is None
+
+
+def test_text_numbers_and_missing_values(spark):
+    rows = [("NaN", float("nan")), ("2d", 2.0), ("3", None), (None, 4.0), ("1,200", float("inf")), ("x", -1.0)]
+    df = spark.createDataFrame(rows, "seq string, cost double")
+    got = df.select(fx.stop_number("seq").alias("n"), fx.stop_label("seq").alias("label"), fx.is_paid("cost").alias("paid")).collect()
+    assert [r["n"] for r in got] == [0, 0, 3, 0, 1200, 0]
+    assert [r["label"] for r in got] == ["RETURN", "RETURN", "3", "RETURN", "1200", "RETURN"]
+    assert [r["paid"] for r in got] == [False, True, False, True, False, False]
+    assert df.limit(2).agg(fx.money_avg("cost")).first()[0] == 2.0 and df.limit(2).agg(fx.ratio_avg("cost")).first()[0] == 2.0
+
+
+def test_written_times(spark):
+    texts = ["05/14/2026 08:30:00 AM", "5/1/2026", "5/1/2026 14:05", "2026-05-14 08:30:00", "2026", "31/12/1999", "", None, "soon"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] and r[0].strftime("%Y-%m-%d %H:%M") for r in df.select(fx.parse_time("t")).collect()]
+    assert got == ["2026-05-14 08:30", "2026-05-01 00:00", "2026-05-01 14:05", "2026-05-14 08:30", None, None, None, None, None]
+    assert df.agg(fx.unread_times("t")).first()[0] == 3

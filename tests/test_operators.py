@@ -201,7 +201,7 @@ def test_rank_stability_uses_previous_present_month(spark):
 
 
 def test_mom_change_and_positive_filters(spark):
-    df = spark.createDataFrame([("2026-01-01", 10.0), ("2026-03-01", 15.0)], "month_start string, lastmile_total_cost double")
+    df = spark.createDataFrame([("2026-01-01", 10.0), ("2026-03-01", 15.0)], "month_start string, leg_total_cost double")
     assert [r["mom_pct"] for r in rollups.mom_change(df).orderBy("month_start").collect()] == [None, 50.0]
     seqs = spark.createDataFrame([(1.0, 0), (1.0, None), (1.0, 2), (0.0, 2), (None, 2)], "cost_per_stop double, delivery_seq int")
     assert prepare.filter_paid_deliveries(seqs).count() == 2
@@ -228,3 +228,24 @@ def test_blocked_similarity_matches_brute_force(spark, block_rows):
     top = [(r["a"], r["b"]) for r in profiles.top_similar_pairs(scaled, "carrier", list("abcd"), 6, block_rows).collect()]
     best = sorted(((-round(v, 4), a, b) for (a, b), v in expected.items() if a < b))[:6]
     assert top == [(a, b) for _, a, b in best]
+
+
+def test_text_stop_ids_with_one_prefix_are_split(spark):
+    ids = [f"STOP-{i:05d}" for i in range(3000)]
+    stops = spark.createDataFrame([("R", s, "O", "F", None, float(i), 0.0, -1.0, -1.0) for i, s in enumerate(ids)], "route_id string, stop_id string, origin string, fill_dc string, route_date date, dest_lat double, dest_lon double, origin_lat double, origin_lon double")
+    got = {r["stop_id"]: r["prev_lat"] for r in geography.previous_stop(stops).collect()}
+    assert got == {s: float(i - 1) for i, s in enumerate(ids)}
+
+
+def test_class_narrative(spark):
+    columns = "`Market Name` string, `Market / Xdock` string, `Signal / Classification` string, `CPS Gap vs Expected %` double, `Actual CPS` double, `Expected CPS` double, `Records With CPS` bigint, `Cleansheet Aggressive` double, `Gap vs Aggressive Cleansheet %` double, `Normalization Sensitivity` double"
+    rows = [("Low", "L", "X", 0.1, 11.0, 10.0, 5, None, None, None), (None, "H", "X", 0.5, 1500.0, 1000.0, 1200, 900.0, 0.25, 0.41)]
+    text = views.class_narrative(spark.createDataFrame(rows, columns), "X").first()[0]
+    assert text.startswith("For X, the largest gap is H at +50.0% versus expected CPS. Top actual CPS is $1,500.00 versus")
+    assert "records with CPS count is 1,200. Against aggressive cleansheet, the top group is +25.0% from benchmark. The top group is sensitive" in text
+    assert views.class_narrative(spark.createDataFrame(rows, columns), "Y").first()[0] == "No market groups currently fall into Y."
+
+
+def test_one_part_of_a_period_filters(spark):
+    df = spark.createDataFrame([(2025, 1), (2026, 1), (2026, 2)], "year int, month int")
+    assert prepare.filter_period_dc_type(df, year=2026).count() == 2 and prepare.filter_period_dc_type(df, month=1).count() == 2

@@ -33,3 +33,25 @@ def test_load_order_identifies_rows(spark, tmp_path):
     spark.range(20).repartition(3).write.parquet(str(tmp_path / "p"))
     rows = readers.with_load_order(spark.read.parquet(str(tmp_path / "p"))).select("load_file", "load_row")
     assert rows.distinct().count() == 20
+
+
+def test_intermediate_tables_need_a_shared_folder_and_are_removed(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from dockledger import session
+
+    def with_master(master):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn"):
+        with pytest.raises(RuntimeError):
+            session.shared_folder(with_master(master))
+    assert session.shared_folder(with_master("local[4]")) == session.shared_folder(with_master("local"))
+    monkeypatch.setattr(session, "_WRITTEN", [])
+    kept = session.cut_lineage(spark.range(5))
+    path = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    import os
+
+    assert kept.count() == 5 and os.path.isdir(path)
+    assert session.release_tables(spark) == 1 and not os.path.exists(path)
