@@ -9,12 +9,15 @@ share is concentrated about J.
 
 1. One pass computes set size, set signature and band hashes of every text. Texts with
    the same signature are one class (its members are exact copies as sets).
-2. Classes that share a band meet its head, the smallest of the band. Pairs are
-   verified on the full sets, made anew from the texts. Verified links join classes.
-3. Heads are chosen again among the classes that are not joined with the first head,
-   and verified. Then every pair of classes of one band that is still apart is
-   verified, so heads save work but lose no link. Pairs that are joined already need
-   no check, which is what spares a large group its pairs.
+2. Classes that share a band meet its head, the one of them that shares most bands with
+   others. Pairs are verified on the full sets, made anew from the texts. Verified links
+   join classes.
+3. The classes whose bands have the same head are a family, which holds every pair of
+   one band. Classes of a family that are still apart are compared within tasks, block
+   by block, on their whole sets; a class joined on the way is not compared again with
+   its own kind, so a block gives fewer links than it has rows. These links are verified
+   too. Jaccard distance is a metric, so a class that is x from the head needs no
+   comparison with those nearer to it than x - 0.2. So heads save work but lose no link.
 4. Components by alternating large-star and small-star steps over the links.
 
 With 48 bands of 6 coordinates a pair at the threshold of 0.8 shares no band with
@@ -34,6 +37,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +104,8 @@ def sets(docs: DataFrame, how: Similarity) -> DataFrame:
                 s = text_set(text.as_py(), how.shingle)
                 sizes.append(len(s))
                 sigs.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                bands.append(band_hashes(sketch(s, how.bands * how.rows), how.bands, how.rows).view(np.int64) if len(s) else [])
+                values = sketch(s, how.bands * how.rows) if len(s) else None
+                bands.append([] if values is None else band_hashes(values, how.bands, how.rows).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema
             )
@@ -110,10 +115,12 @@ def sets(docs: DataFrame, how: Similarity) -> DataFrame:
 
 
 PORTION = 128
+KEY_SLOTS = 1 << 20
 
 
 def verify(pairs: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
-    """The pairs (``head``, ``node``) whose sets reach the threshold.
+    """The pairs (``head``, ``node``) with their Jaccard distance and whether they reach
+    the threshold.
 
     ``texts`` has ``node`` and ``text``. A head's text goes with portions of about
     ``PORTION`` partners, in front of them, so a task holds one head's set at a time.
@@ -122,25 +129,104 @@ def verify(pairs: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
     salted = pairs.join(heads, "head").select("head", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / PORTION)).cast("int").alias("salt"))
     first = salted.select("head", "salt").distinct().join(texts.withColumnRenamed("node", "head"), "head")
     rows = first.select("head", "salt", F.lit(None).cast("long").alias("node"), "text").unionByName(salted.join(texts, "node").select("head", "salt", "node", "text"))
-    schema = pa.schema([("head", pa.int64()), ("node", pa.int64())])
+    schema = pa.schema([("head", pa.int64()), ("node", pa.int64()), ("distance", pa.float64()), ("linked", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current = None
         for batch in batches:
-            found: tuple[list, list] = ([], [])
+            found: tuple[list, ...] = ([], [], [], [])
             for head, node, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
                 s = text_set(text.as_py(), how.shingle)
                 if node is None:
                     current = s
                     continue
                 common = len(np.intersect1d(current, s, assume_unique=True))
-                if 100 * common >= how.percent * (len(current) + len(s) - common):
-                    found[0].append(head)
-                    found[1].append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], schema=schema)
+                union = len(current) + len(s) - common
+                for column, value in zip(found, (head, node, 1.0 - common / union, 100 * common >= how.percent * union), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(found, schema, strict=True)], schema=schema)
 
     ordered = rows.repartition("head", "salt").sortWithinPartitions("head", "salt", F.col("node").asc_nulls_first())
-    return ordered.mapInArrow(run, "head long, node long")
+    return ordered.mapInArrow(run, "head long, node long, distance double, linked boolean")
+
+
+BLOCK = 1024
+
+
+def spanning_links(rows: list[tuple], percent: int) -> tuple[list[int], list[int]]:
+    """Links between the rows (side, node, root, n, set of 32-bit hashes) of one pair of
+    blocks, or of one block with itself, that join different components.
+
+    Hashes of 32 bits may miscount by a few, so a link joins its components here only
+    if it holds with one more and one less; the others are reported as well."""
+    left = [i for i, r in enumerate(rows) if r[0] == 0]
+    right = [i for i, r in enumerate(rows) if r[0] == 1]
+    same = not right
+    right = np.array(right or left)
+    sets = [np.frombuffer(r[4], dtype="<u4") for r in rows]
+    vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    own = [ids[starts[i] : starts[i + 1]] for i in range(len(rows))]
+    others = np.concatenate([own[i] for i in right])
+    cut = np.concatenate([[0], np.cumsum([len(own[i]) for i in right])[:-1]])
+    n = np.array([r[3] for r in rows], dtype=np.int64)
+    label = np.array([r[2] for r in rows], dtype=np.int64)
+    mark = np.zeros(len(vocabulary), dtype=bool)
+    found: tuple[list[int], list[int]] = ([], [])
+    for k, i in enumerate(left):
+        sized = 100 * np.minimum(n[i], n[right]) >= percent * np.maximum(n[i], n[right])
+        open_ = sized & (label[right] != label[i])
+        if same:
+            open_[: k + 1] = False
+        if not open_.any():
+            continue
+        mark[own[i]] = True
+        common = np.add.reduceat(mark[others].astype(np.int32), cut)
+        mark[own[i]] = False
+        total = n[i] + n[right]
+        near = open_ & (100 * (common + 1) >= percent * (total - common - 1))
+        sure = 100 * (common - 1) >= percent * (total - common + 1)
+        for j in np.flatnonzero(near):
+            other = right[j]
+            if label[other] == label[i]:
+                continue
+            found[0].append(rows[i][1])
+            found[1].append(rows[other][1])
+            if sure[j]:
+                label[label == label[other]] = label[i]
+    return found
+
+
+def alike(members: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
+    """Pairs (``head``, ``node``) of one family that are likely to be linked and join
+    different components. ``members``: ``head``, ``node``, ``root``, ``n``.
+
+    A family with more than ``BLOCK`` members is cut into blocks, and each pair of blocks
+    is compared by itself. Rows come sorted, so a task holds one pair of blocks."""
+    sizes = members.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_k"), F.min("root").alias("_a"), F.max("root").alias("_b"))
+    several = members.join(sizes.filter("_a <> _b").drop("_a", "_b"), "head").join(texts, "node")
+    kept = pa.schema([("head", pa.int64()), ("_k", pa.int32()), ("node", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("set", pa.binary())])
+
+    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique((text_set(t.as_py(), how.shingle) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch.column(5)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found, pa.binary())], schema=kept)
+
+    rows = several.select("head", "_k", "node", "root", "n", "text").mapInArrow(with_sets, "head long, _k int, node long, root long, n long, set binary")
+    own = F.pmod(F.xxhash64("node"), F.col("_k")).cast("int")
+    placed = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    sides = placed.select("head", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), F.when(F.col("_own") <= F.col("_other"), 0).otherwise(1).alias("side"), "node", "root", "n", "set")
+    schema = pa.schema([("head", pa.int64()), ("node", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, group in groupby(each, key=lambda r: r[:3]):
+            found = spanning_links([r[3:] for r in group], how.percent)
+            if found[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], schema=schema)
+
+    ordered = sides.repartition("head", "i", "j").sortWithinPartitions("head", "i", "j", "side", "node")
+    return ordered.mapInArrow(run, "head long, node long").distinct()
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -176,45 +262,47 @@ def components(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     full = rows.filter("n_shingles > 0")
     classes = cut_lineage(full.groupBy("sig").agg(F.min("_row").alias("node"), F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n")))
 
-    # Bands that more than one class has, with the class's set size.
+    # Bands that more than one class has, dealt out once for the counts and the join.
     reps = full.join(classes.select(F.col("node").alias("_row")), "_row", "leftsemi")
-    spread = reps.select(F.col("_row").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.count("*").alias("c"), F.min("node").alias("head")).filter("c > 1").drop("c")
+    spread = reps.select(F.explode("bands").alias("band"), F.col("_row").alias("node")).repartition("band")
+    shared = spread.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1")
     buckets = cut_lineage(spread.join(shared, "band"))
-    keys = reps.select(F.col("_row").alias("node"), "tkey", F.col("n_shingles").alias("n"))
-    wanted = buckets.select("node").distinct()
-    named = keys.join(wanted, "node", "leftsemi")
+    weight = buckets.groupBy("node").agg(F.sum("c").alias("w"))
+    weighed = cut_lineage(buckets.select("band", "node").join(weight, "node"))
+    heads = weighed.join(weighed.groupBy("band").agg(F.max("w").alias("w")), ["band", "w"]).groupBy("band").agg(F.min("node").alias("head"))
+    family = cut_lineage(weighed.select("band", "node").join(heads, "band").select("head", "node").distinct())
+
+    # Texts of classes in no family stay where they are: a table of at most KEY_SLOTS
+    # slots of text hashes, broadcast, sorts out most of them before the join.
+    named = cut_lineage(reps.select(F.col("_row").alias("node"), "tkey").join(weight.select("node"), "node", "leftsemi"))
+    slot = F.pmod(F.col("tkey"), F.lit(KEY_SLOTS)).cast("int").alias("slot")
     found = docs.select(F.col("text").cast("string").alias("text")).withColumn("tkey", F.xxhash64("text"))
-    texts = named.join(found.join(named.select("tkey"), "tkey", "leftsemi").dropDuplicates(["tkey"]), "tkey").select("node", "text")
-    texts = cut_lineage(texts)
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow the threshold, each once."""
-        sizes = F.least("n", "head_n") * 100 >= F.greatest("n", "head_n") * how.percent
-        return pairs.filter(sizes).select("head", "node").distinct()
-
-    size_of = classes.select(F.col("node").alias("head"), F.col("n").alias("head_n"))
-    first = near(buckets.filter("node <> head").select("head", "node", "n").distinct().join(size_of, "head"))
-    links = cut_lineage(verify(first, texts, how).select(F.col("head").alias("a"), F.col("node").alias("b")))
-    roots = connected(links)
-
-    # Second heads: the smallest class of a band that is not joined with the first.
-    heads = _labelled(shared.select(F.col("head").alias("node"), "band"), roots).select("band", F.col("root").alias("head_root"))
-    apart = cut_lineage(_labelled(buckets, roots).join(heads, "band").filter("root <> head_root").select("band", "node", "n", "root"))
-    again = apart.join(apart.groupBy("band").agg(F.min("node").alias("head")), "band").filter("node <> head")
-    second = near(again.select("head", "node", "n").distinct().join(size_of, "head"))
-    more = cut_lineage(verify(second, texts, how).select(F.col("head").alias("a"), F.col("node").alias("b")))
-    links = links.unionByName(more)
-    roots = connected(links)
-
-    # What is still apart within a band: every such pair, once.
-    mixed = _labelled(apart.select("band").distinct().join(buckets, "band"), roots).select("band", "node", "n", "root", "head")
-    mixed = cut_lineage(mixed)
-    other = mixed.select("band", F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("root").alias("head_root"))
-    left = mixed.drop("head").join(other, "band").filter("root <> head_root AND head < node")
-    rest = cut_lineage(near(left))
-    last = cut_lineage(verify(rest, texts, how).select(F.col("head").alias("a"), F.col("node").alias("b")))
-    roots = connected(links.unionByName(last))
+    found = found.withColumn("slot", slot).join(F.broadcast(named.select(slot).distinct()), "slot", "leftsemi").drop("slot")
+    texts = cut_lineage(named.join(found.join(named.select("tkey"), "tkey", "leftsemi").dropDuplicates(["tkey"]), "tkey").select("node", "text"))
+
+    size_of = classes.select("node", "n")
+    head_size = size_of.withColumnsRenamed({"node": "head", "n": "head_n"})
+    with_sizes = family.join(size_of, "node").join(head_size, "head")
+    possible = F.least("n", "head_n") * 100 >= F.greatest("n", "head_n") * how.percent
+    first = cut_lineage(verify(with_sizes.filter(possible & (F.col("head") != F.col("node"))).select("head", "node"), texts, how))
+
+    def links_of(checked: DataFrame) -> DataFrame:
+        return checked.filter("linked").select(F.col("head").alias("a"), F.col("node").alias("b"))
+
+    roots = connected(links_of(first))
+
+    # Who may still be linked with whom: a pair whose sizes exclude a link with the head
+    # is at least that far from it.
+    at_least = F.coalesce("distance", 1 - F.least("n", "head_n") / F.greatest("n", "head_n"))
+    placed = _labelled(with_sizes.filter("head <> node"), roots).join(first.select("head", "node", "distance"), ["head", "node"], "left").withColumn("at_least", at_least)
+    root_of_head = _labelled(family.select(F.col("head").alias("node")).distinct(), roots).select(F.col("node").alias("head"), F.col("root").alias("head_root"))
+    placed = cut_lineage(placed.join(root_of_head, "head").select("head", "node", "root", "n", "distance", "at_least", (F.col("root") != F.col("head_root")).alias("apart")))
+    nearest = placed.filter("apart").groupBy("head").agg(F.min("at_least").alias("least"))
+    reach = F.col("least") - (1 - how.percent / 100) - 1e-9
+    members = placed.join(nearest, "head").filter(F.col("apart") | F.coalesce(F.col("distance") >= reach, F.lit(True)))
+    rest = cut_lineage(alike(members.select("head", "node", "root", "n"), texts, how))
+    last = cut_lineage(verify(rest, texts, how))
+    roots = connected(links_of(first).unionByName(links_of(last)))
 
     labelled = cut_lineage(_labelled(classes, roots))
     least = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
