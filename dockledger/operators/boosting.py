@@ -85,7 +85,8 @@ def impute_encode(df: DataFrame, numeric: Sequence[str], categorical: Sequence[s
 
 def train_test_split(df: DataFrame, keys: Sequence[str], test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """M3: ``is_test`` by a hash of the key, the same on any partitioning."""
-    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(10000))
+    name = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    bucket = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("bigint") % 10000
     return df.withColumn("is_test", bucket < round(test_share * 10000))
 
 

