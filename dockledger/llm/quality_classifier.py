@@ -104,13 +104,24 @@ def fit(docs: DataFrame, labels: DataFrame, how: Voting = Voting(), target: str
     got = sorted(sample.mapInArrow(count, "doc_id long, label int, counts binary").collect())
     if not got:
         return Model(np.ones(how.features + STYLE, np.float32), np.zeros((how.features + STYLE, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), how)
-    counts = np.stack([np.frombuffer(r.counts, dtype="<u2") for r in got]).astype(np.float32)
     y = np.array([r.label for r in got], dtype=np.float64)
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1.0
-    x = unit(np.sqrt(counts) * idf)
-    values, basis = np.linalg.eigh((x.T @ x).astype(np.float64))
+    raw = [r.counts for r in got]
+    del got
+
+    def blocks() -> Iterator[np.ndarray]:
+        """The sample in parts, so that the driver never holds it as floats."""
+        for i in range(0, len(raw), BLOCK):
+            yield np.stack([np.frombuffer(c, dtype="<u2") for c in raw[i : i + BLOCK]]).astype(np.float32)
+
+    found = sum((b > 0).sum(axis=0) for b in blocks())
+    idf = np.log((1 + len(raw)) / (1 + found)).astype(np.float32) + 1.0
+    gram = np.zeros((len(idf), len(idf)))
+    for b in blocks():
+        x = unit(np.sqrt(b) * idf)
+        gram += x.T @ x
+    _, basis = np.linalg.eigh(gram)
     model = Model(idf, np.ascontiguousarray(basis[:, ::-1][:, : how.dims]).astype(np.float32), np.zeros((0, 1), np.float32), y, how)
-    return Model(idf, model.basis, model.latent(counts), y, how)
+    return Model(idf, model.basis, np.concatenate([model.latent(b) for b in blocks()]), y, how)
 
 
 BLOCK = 256
