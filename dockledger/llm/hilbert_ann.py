@@ -3,8 +3,8 @@
 Equal vectors are one class. Each of ``curves`` orderings projects the classes to
 ``dims`` coordinates (random orthonormal directions), shifts and cuts them to ``bits``
 bits and takes the Hilbert key. Spark range-partitions all (curve, key) rows; within a
-sorted partition each query is compared with the ``window`` neighbours on either side
-(at the edge of a partition or curve with the nearest 2 x ``window``). Rows carry one
+sorted partition each query is compared with its neighbours on either side (at the edge of a partition
+or curve with the nearest of twice as many). Rows carry one
 signed byte per dimension, enough to keep the ``keep`` best of a window; the windows
 of a query merge, and its best ``rerank`` classes are measured exactly, in double
 precision, on the original vectors.
@@ -13,9 +13,10 @@ A class lists its k + 1 smallest ids, which is all that a result of k can need o
 so a vector that a third of all rows share is one row among the candidates. Nothing
 is collected but per-dimension moments.
 
-Windows are the same at every size. What they find of the true neighbours depends on
-the intrinsic dimension: for vectors spread evenly over all 64 dimensions recall falls
-slowly as the table grows, and more curves make up for it.
+Windows follow the number of classes n: ``window`` + n / ``share`` neighbours on either
+side. What they find of the true neighbours depends on the intrinsic dimension: for
+vectors spread evenly over all 64 dimensions no fixed window keeps its recall as the
+table grows, so the comparisons of a query grow with the table.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components
 take no part, nor do those of another length than the most common (the longest of
@@ -44,6 +45,7 @@ class Curves:
     dims: int = 16
     bits: int = 2
     window: int = 256
+    share: int = 400
     keep: int = 20
     rerank: int = 50
     seed: int = 5
@@ -115,6 +117,7 @@ def search(vectors: DataFrame, is_query: Column, how: Curves = Curves()) -> Data
     listed = listed.join(kinds.select("h1", "h2", "cid"), ["h1", "h2"]).groupBy("cid").agg(F.collect_list("vec_id").alias("ids"))
 
     count = kinds.count()
+    side = how.window + count // how.share
     moments = classes.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).collect()
     mean = np.zeros(length)
     spread = np.zeros(length)
@@ -138,13 +141,13 @@ def search(vectors: DataFrame, is_query: Column, how: Curves = Curves()) -> Data
                 key = hilbert_keys(np.clip(cells, 0, (1 << how.bits) - 1).astype(np.uint64), how.bits)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c, np.int32)), pa.array(key.astype(np.int64)), batch.column(0), batch.column(2), codes], names=["curve", "key", "cid", "asks", "code"])
 
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), count * how.curves // (16 * how.window)))
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), count * how.curves // (16 * side)))
     placed = classes.select("cid", "embedding", "asks").mapInArrow(keyed, "curve int, key long, cid long, asks boolean, code binary")
     placed = placed.repartitionByRange(parts, "curve", "key", "cid").sortWithinPartitions("curve", "key", "cid")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Holds 2 x window rows and the batch at hand."""
-        w = how.window
+        """Holds 4 x side rows and the batch at hand."""
+        w = side
         curve, cid, asks = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, bool)
         code = np.empty((0, length), np.int8)
 

@@ -135,6 +135,27 @@ def test_neighbours_recall(spark):
     assert hits / total >= 0.9
 
 
+def recall(spark, x, ask, how):
+    """Share of the ten nearest, by brute force, that ``search`` finds for rows ``ask``."""
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in hilbert_ann.search(table, F.col("vec_id").isin(ask), how).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in ask:
+        d = ((x - x[q]).astype(np.float64) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & got[q])
+    return hits / (10 * len(ask))
+
+
+def test_neighbours_do_not_fade_as_the_table_grows(spark):
+    how = hilbert_ann.Curves(window=8)
+    for n in (2000, 20000):
+        x = np.random.default_rng(n).standard_normal((n, 24)).astype(np.float32)
+        assert recall(spark, x, list(range(0, n, n // 40)), how) >= 0.9, n
+
+
 def test_hilbert_order_is_a_walk():
     side = 8
     cells = np.array([(a, b) for a in range(side) for b in range(side)])
