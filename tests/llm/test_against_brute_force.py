@@ -149,6 +149,14 @@ def recall(spark, x, ask, how):
     return hits / (10 * len(ask))
 
 
+def test_neighbours_in_a_group_of_near_copies(spark):
+    r = np.random.default_rng(7)
+    x = r.standard_normal((3000, 32)).astype(np.float32)
+    x[::3] = x[0] + 1e-3 * r.standard_normal((1000, 32))
+    ask = list(range(0, 3000, 60))  # all of the group
+    assert recall(spark, x, ask, hilbert_ann.Curves(window=24)) >= 0.9
+
+
 def test_neighbours_do_not_fade_as_the_table_grows(spark):
     how = hilbert_ann.Curves(window=8)
     for n in (2000, 20000):
@@ -156,6 +164,16 @@ def test_neighbours_do_not_fade_as_the_table_grows(spark):
         assert recall(spark, x, list(range(0, n, n // 40)), how) >= 0.9, n
 
 
+def test_fine_keys_refine_the_walk():
+    side = 16
+    cells = np.array([(a, b) for a in range(side) for b in range(side)])
+    fine = hilbert_ann.fine_keys(cells, 4)
+    order = sorted(range(len(cells)), key=lambda i: fine[i].tobytes())
+    assert order == np.argsort(hilbert_ann.hilbert_keys(cells, 4)).tolist()
+    coarse = hilbert_ann.hilbert_keys(cells // 4, 2)[order]
+    assert (np.diff(coarse.astype(np.int64)) >= 0).all()
+
+
 def test_hilbert_order_is_a_walk():
     side = 8
     cells = np.array([(a, b) for a in range(side) for b in range(side)])
