@@ -6,8 +6,10 @@ of gram + window - 1 words keeps a common fingerprint. The inverted index maps
 fingerprints to template places. A document's own winnowed fingerprints look up the
 index; hits near one diagonal that are a ``least_hits`` share of the template's make a
 candidate, and a local alignment within ``band`` words of the diagonal gives the
-matched words, the coverage of the template and the span in the document. Of matches
-that overlap the one with more matched words stays.
+matched words, the coverage of the template and the span in the document. Words that
+tell a licence from its siblings must be among the matched: in a template of at most
+``short`` words all but the phrases of any notice (``COMMON``), in a longer one the
+version numbers. Of matches that overlap the one with more matched words stays.
 
 Documents are scanned whole in one pass without a shuffle. The index is broadcast: it
 is bounded by ``block_words`` template words, and more templates make more passes.
@@ -20,6 +22,7 @@ id and text are ignored.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -31,6 +34,16 @@ from pyspark.sql import functions as F
 
 from dockledger.llm.common import mix, word_bytes
 
+# Creative Commons licences by what their names add.
+CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+GNU = {"GPL": ("General", "2", "3"), "LGPL": ("Lesser General", "2.1", "3"), "AGPL": ("Affero General", "3")}
+DISCLAIMER = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def spdx(name: str, version: str) -> str:
+    return f"{name}-{version}" if "." in version else f"{name}-{version}.0"
+
+
 # Common notices (fixed values).
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -39,12 +52,39 @@ TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("all-rights-reserved", "All rights reserved."),
+    *((name, f"Released under the {name} License.") for name in ("BSD", "ISC")),
+    *((f"Apache-{v}", f"Licensed under the Apache License, Version {v}.") for v in ("1.0", "1.1")),
+    *((f"MPL-{v}", f"Licensed under the Mozilla Public License, Version {v}.") for v in ("1.1", "2.0")),
+    *((spdx(name, v), f"This work is licensed under the GNU {title} Public License, version {v}.") for name, (title, *versions) in GNU.items() for v in versions if (name, v) != ("GPL", "3")),
+    *((f"CC-{name}-{v}", f"Licensed under CC {name} {v}.") for name in CC for v in ("4.0", "3.0") if (name, v) != ("BY-NC", "4.0")),
+    *((f"CC-{name}-{v}", f"This work is licensed under a Creative Commons {title} {v} {scope} License.") for name, title in CC.items() for v, scope in (("4.0", "International"), ("3.0", "Unported")) if (name, v) != ("BY", "4.0")),
+    *((name, f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {title} Public License") for name, (title, *_) in GNU.items() if name != "GPL"),
+    *(
+        (spdx(name, v), f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {title} Public License as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version.")
+        for name, (title, *versions) in GNU.items()
+        for v in versions
+    ),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + DISCLAIMER,
+    ),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    (
+        "BSD",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
 )
+# Words of short templates that any notice may have.
+COMMON = frozenset(b"a the this work is released licensed under license version international unported".split())
+VERSION = re.compile(rb"\d+(\.\d+)*")
 
 
 @dataclass(frozen=True)
@@ -54,6 +94,7 @@ class Scan:
     band: int = 8
     least_hits: float = 0.25
     coverage: float = 0.7
+    short: int = 14
     block_words: int = 200_000
 
 
@@ -87,35 +128,44 @@ def winnowed(ids: np.ndarray, how: Scan) -> tuple[np.ndarray, np.ndarray]:
     return at, value[at]
 
 
+def telling(found: Sequence[bytes], how: Scan) -> np.ndarray:
+    """Which words of a template must be matched."""
+    if len(found) <= how.short:
+        return np.array([w not in COMMON for w in found], dtype=bool)
+    return np.array([VERSION.fullmatch(w) is not None for w in found], dtype=bool)
+
+
 class Index:
     """The templates of one block."""
 
     def __init__(self, templates: Sequence[tuple[int, str, str]], how: Scan) -> None:
         self.how, self.vocabulary = how, {}
-        self.templates: list[tuple[int, str, np.ndarray]] = []
+        self.templates: list[tuple[int, str, np.ndarray, np.ndarray]] = []
         self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.counts: list[int] = []
         for number, name, text in templates:
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in normalized(text)], dtype=np.int64)
+            found = normalized(text)
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found], dtype=np.int64)
             at, values = winnowed(ids, how)
             for p, v in zip(at.tolist(), values.tolist(), strict=True):
                 self.postings[v].append((len(self.templates), p))
-            self.templates.append((number, name, ids))
+            self.templates.append((number, name, ids, telling(found, how)))
             self.counts.append(len(at))
         self.values = np.array(sorted(self.postings), dtype=np.uint64)
 
-    def align(self, ids: np.ndarray, template: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-        """Matched words, first and one past the last document word of the best local
-        alignment within the band (+2 a match, -1 a mismatch or gap)."""
+    def align(self, ids: np.ndarray, template: np.ndarray, must: np.ndarray, diagonal: int) -> tuple[int, int, int, int]:
+        """Matched words, how many of them must be, first and one past the last document
+        word of the best local alignment within the band (+2 a match, -1 a mismatch or
+        gap)."""
         band = self.how.band
-        best = (0, 0, 0, 0)
-        before: dict[int, tuple[int, int, int]] = {}
-        for t, word in enumerate(template.tolist()):
-            row: dict[int, tuple[int, int, int]] = {}
+        best = (0, 0, 0, 0, 0)
+        before: dict[int, tuple[int, int, int, int]] = {}
+        for t, (word, told) in enumerate(zip(template.tolist(), must.tolist(), strict=True)):
+            row: dict[int, tuple[int, int, int, int]] = {}
             for d in range(max(0, t + diagonal - band), min(len(ids), t + diagonal + band + 1)):
-                score, matched, start = before.get(d - 1, (0, 0, d))
+                score, matched, needed, start = before.get(d - 1, (0, 0, 0, d))
                 same = ids[d] == word
-                options = [(score + 2, matched + 1, start) if same else (score - 1, matched, start)]
+                options = [(score + 2, matched + 1, needed + told, start) if same else (score - 1, matched, needed, start)]
                 if d in before:
                     options.append((before[d][0] - 1, *before[d][1:]))
                 if d - 1 in row:
@@ -124,8 +174,8 @@ class Index:
                 if cell[0] <= 0:
                     continue
                 row[d] = cell
-                if same and (cell[0], cell[1]) > best[:2]:
-                    best = (cell[0], cell[1], cell[2], d + 1)
+                if same and cell[:3] > best[:3]:
+                    best = (*cell, d + 1)
             before = row
         return best[1:]
 
@@ -143,11 +193,11 @@ class Index:
                     near[t, lane].add(q)
         found = set()
         for (t, lane), places in near.items():
-            number, name, template = self.templates[t]
+            number, name, template, must = self.templates[t]
             if len(places) < max(1, self.how.least_hits * self.counts[t]):
                 continue
-            matched, start, end = self.align(ids, template, lane * self.how.band)
-            if matched >= self.how.coverage * len(template):
+            matched, needed, start, end = self.align(ids, template, must, lane * self.how.band)
+            if matched >= self.how.coverage * len(template) and needed == must.sum():
                 found.add((matched, matched / len(template), -number, name, start, end))
         kept: list[tuple[int, str, float, int, int, int]] = []
         for matched, share, minus, name, start, end in sorted(found, reverse=True):

@@ -179,6 +179,35 @@ def test_license_scan(docs, spark):
     assert sorted((r.doc_id, r.license) for r in blocks.collect()) == [g[:2] for g in got]
 
 
+def test_licences_are_told_from_their_siblings(spark):
+    mit = next(t for n, t in reversed(license_scan.TEMPLATES) if n == "MIT")
+    gnu = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    cases = [
+        ("Released under the BSD License.", ["BSD"]),
+        ("Released under the MIT License.", ["MIT"]),
+        ("Released under the Moon License.", []),
+        ("Licensed under CC BY 4.0.", ["CC-BY-4.0"]),
+        ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
+        ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+        ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0"]),
+        ("This work is licensed under the GNU General Public License, version 7.", []),
+        ("Licensed under the Apache License, Version 1.1", ["Apache-1.1"]),
+        ("Licensed under the Apache License, Version 2.0", ["Apache-2.0"]),
+        ("Licensed under the Apache License, Version 9.9", []),
+        ("Licensed under the Apache License 2.0", ["Apache-2.0"]),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"]),
+        (gnu.format("General", "2"), ["GPL-2.0"]),
+        (gnu.format("General", "3"), ["GPL-3.0"]),
+        (gnu.format("Lesser General", "2.1"), ["LGPL-2.1"]),
+        ("intro " + mit + " end", ["MIT"]),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {i: [] for i in range(len(cases))}
+    for r in license_scan.scan(rows).collect():
+        got[r.doc_id].append(r.license)
+    assert [(cases[i][0], found) for i, found in got.items()] == cases
+
+
 def test_toxicity(docs, labels):
     model = toxicity.fit(docs, labels)
     got = toxicity.score(docs, model).collect()
