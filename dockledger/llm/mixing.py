@@ -3,7 +3,8 @@
 1. Sources are ordered by code point (null last) and weigh 5, 2, 1, repeating. They
    share ``share`` times all tokens by weight; a target stops at ``most`` times its
    source's size and the excess is shared again by weight until none is above.
-2. The total is cut into blocks of equal size. A source's quota is the number of its
+2. The total is cut into blocks of equal size, ``block`` words or the smallest positive
+   target if that is less, so that each source can come near its target. A source's quota is the number of its
    quotients target / (2k + 1) among the highest, which for one divisor d is
    round(target / d); the divisor that gives the wanted number is found by bisection
    over sums, so no list of quotients is made.
@@ -124,7 +125,10 @@ def plan(
     units = cut_lineage(rows.groupBy("source", "doc_id", "size").agg(F.count("*").alias("_rows")))
     tokens = F.col("size") * F.col("_rows")
     sources = units.groupBy("source").agg(F.sum(tokens).alias("source_size"))
-    quotas = source_quotas(source_targets(sources, share, most, weights), block)
+    targets = cut_lineage(source_targets(sources, share, most, weights))
+    least = targets.filter("target > 0").agg(F.min("target")).first()[0]
+    block = max(1, min(block, int(least or block)))
+    quotas = source_quotas(targets, block)
     quotas = quotas.withColumn("_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens)).cast("int"))
 
     named = quotas.select(F.col("source").alias("_source"), "_shards", "source_size", "quota")

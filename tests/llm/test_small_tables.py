@@ -127,6 +127,17 @@ def test_mixing(docs):
     assert mixing.mix_documents(docs.limit(0)).count() == 0
 
 
+def test_small_sources_stay_in_the_mix(spark):
+    """With the blocks of production: a long tail of sources below half a block."""
+    made = [(i, "w " * 20, f"tail{i:02}") for i in range(30)] + [(100 + i, "w " * 500, "main") for i in range(10)]
+    rows = mixing.mix(mixing.sized(spark.createDataFrame(made, "doc_id long, text string, source string"))).collect()
+    taken, target = {}, {r.source: r.target for r in rows}
+    for r in rows:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    least = min(target.values())
+    assert all(abs(taken[s] - t) <= least for s, t in target.items()) and all(taken.values())
+
+
 def test_sharding(docs):
     rows = sharding.assign(docs, limit=1000).collect()
     assert len(rows) == len(ROWS)
