@@ -157,8 +157,9 @@ def spanning_links(rows: list[tuple], percent: int) -> tuple[list[int], list[int
     """Links between the rows (side, node, root, n, set of 32-bit hashes) of one pair of
     blocks, or of one block with itself, that join different components.
 
-    Hashes of 32 bits may miscount by a few, so a link joins its components here only
-    if it holds with one more and one less; the others are reported as well."""
+    Hashes of 32 bits may miscount by as many as collide among those of both sets, so a
+    link joins its components here only if it holds with that many more and less; the
+    others are reported as well."""
     left = [i for i, r in enumerate(rows) if r[0] == 0]
     right = [i for i, r in enumerate(rows) if r[0] == 1]
     same = not right
@@ -184,8 +185,10 @@ def spanning_links(rows: list[tuple], percent: int) -> tuple[list[int], list[int
         common = np.add.reduceat(mark[others].astype(np.int32), cut)
         mark[own[i]] = False
         total = n[i] + n[right]
-        near = open_ & (100 * (common + 1) >= percent * (total - common - 1))
-        sure = 100 * (common - 1) >= percent * (total - common + 1)
+        expected = total.astype(np.float64) ** 2 / 2**33
+        slack = 1 + np.floor(expected + 6 * np.sqrt(expected)).astype(np.int64)
+        near = open_ & (100 * (common + slack) >= percent * (total - common - slack))
+        sure = 100 * (common - slack) >= percent * (total - common + slack)
         for j in np.flatnonzero(near):
             other = right[j]
             if label[other] == label[i]:

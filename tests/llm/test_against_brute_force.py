@@ -107,6 +107,15 @@ def test_strays_of_a_large_group(spark, monkeypatch):
     assert got == components(made, 2, 80)
 
 
+def test_collisions_of_very_long_texts_are_allowed_for():
+    """Two sets exactly at 80 %: eight of their 240,000 common hashes miscounted."""
+    n, common = 270_000, 240_000 - 8
+    a = np.arange(n, dtype="<u4")
+    b = np.arange(n - common, 2 * n - common, dtype="<u4")
+    rows = [(0, 1, 1, n, a.tobytes()), (0, 2, 2, n, b.tobytes())]
+    assert near_dedup.spanning_links(rows, 80) == ([1], [2])
+
+
 def test_sketch_fills_and_estimates():
     r = np.random.default_rng(1)
     pool = r.integers(0, 2**63, 3000, dtype=np.uint64)
