@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockledger.llm import hilbert_ann, license_scan, mixing, near_dedup, packing, quality_classifier, quality_rules, samples, sharding, token_counts, toxicity
+from dockledger.llm import divergence, hilbert_ann, license_scan, merkle, mixing, near_dedup, packing, quality_classifier, quality_rules, samples, sharding, simhash, token_counts, toxicity
 from dockledger.llm.common import table
 from dockledger.session import cut_lineage, shared_folder
 
@@ -72,6 +72,18 @@ def op10_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", samples.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Plan] = {
     f.__name__: f
     for f in (
@@ -85,6 +97,9 @@ QUERIES: dict[str, Plan] = {
         op8_sainte_lague_mixing,
         op9_ordinal_toxicity,
         op10_neighbour_quality,
+        op11_merkle_manifest,
+        op12_simhash_near_dedup,
+        op13_source_divergence,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL, "op5_extendible_sharding": sharding.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL, "op5_extendible_sharding": sharding.SQL, "op11_merkle_manifest": merkle.SQL, "op13_source_divergence": divergence.SQL}

@@ -27,10 +27,10 @@ def run(spark, name):
 
 def test_queries_are_registered():
     names = [n for n in entry_points.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry_points.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry_points.queries()
 
 
-@pytest.mark.parametrize("name", ["op2_quality_rules", "op5_extendible_sharding"])
+@pytest.mark.parametrize("name", ["op2_quality_rules", "op5_extendible_sharding", "op11_merkle_manifest", "op13_source_divergence"])
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
