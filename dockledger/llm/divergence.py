@@ -3,7 +3,7 @@ inverted index built by single-pass in-memory indexing.
 
 1. Index: a task reads texts once and keeps block postings in memory, for each (language,
    source) the occurrences and documents of each term. When the block is full it is
-   spilled as one run, sorted by term, and a new block begins.
+   spilled as term-sorted runs, one for each group, and a new block begins.
 2. Merge: runs go to hash shards of (language, term). Within a shard they are merged in
    term order; Spark's external sort does that with a heap over its sorted spills, so
    a shard needs no memory for its runs. One streaming pass adds equal neighbours and
@@ -53,7 +53,7 @@ class Audit:
 
     min_docs: int = 30
     top: int = 50
-    block_postings: int = 300_000
+    block_postings: int = 600_000
     block_bytes: int = 64 << 20
     sources: int = 256
     shard_postings: int = 200_000
@@ -88,16 +88,14 @@ class Block:
         counts.update(found)
         docs.update(distinct)
 
-    def run(self) -> Iterator[pa.RecordBatch]:
-        """The block as one run sorted by language, term and source."""
-        order = sorted((lang, term, source) for (lang, source), (_, docs) in self.groups.items() for term in docs)
-        for at in range(0, len(order), EMIT):
-            part = order[at : at + EMIT]
-            found = [self.groups[lang, source] for lang, _, source in part]
-            n = [counts[term] for (counts, _), (_, term, _) in zip(found, part, strict=True)]
-            docs = [docs[term] for (_, docs), (_, term, _) in zip(found, part, strict=True)]
-            langs, names, sources = zip(*part, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((langs, sources, names, n, docs), _POSTING, strict=True)], schema=_POSTING)
+    def runs(self) -> Iterator[pa.RecordBatch]:
+        """The block as one run for each group, sorted by term."""
+        for (lang, source), (counts, docs) in self.groups.items():
+            order = sorted(docs)
+            for at in range(0, len(order), EMIT):
+                part = order[at : at + EMIT]
+                sums = [pa.array(list(map(c.__getitem__, part)), pa.int64()) for c in (counts, docs)]
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(part)), pa.repeat(pa.scalar(source, pa.string()), len(part)), pa.array(part, pa.binary()), *sums], schema=_POSTING)
 
 
 def runs(docs: DataFrame, how: Audit) -> DataFrame:
@@ -109,9 +107,9 @@ def runs(docs: DataFrame, how: Audit) -> DataFrame:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 block.add(lang, source, text.as_py())
                 if block.postings >= how.block_postings or block.bytes >= how.block_bytes:
-                    yield from block.run()
+                    yield from block.runs()
                     block = Block()
-        yield from block.run()
+        yield from block.runs()
 
     def plain(c: str) -> Column:
         return F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
