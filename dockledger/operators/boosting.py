@@ -1,31 +1,33 @@
-"""Gradient-boosted quantile regression on Spark ML trees (M2-M7).
+"""Gradient-boosted quantile regression by histograms (M2-M7).
 
-Spark's own boosted trees know squared and absolute loss only. Here every round
-fits one ``DecisionTreeRegressor`` per quantile to the sign of the residual and
-then sets each leaf to that quantile of its residuals. Only the model (trees and
-leaf values) passes through the driver.
+Spark's own boosted trees know squared and absolute loss only. Here trees grow on
+histograms of byte codes (``histogram_trees``), the quantiles side by side in tasks of
+their own. Only the model passes through the driver; scoring covers all rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+import sys
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dockledger.functions import columns as fx
 from dockledger.functions.stats import join_back, scalars
+from dockledger.operators import histogram_trees as ht
 from dockledger.session import cut_lineage
 
+# Workers get the helpers below with the task, wherever the package is installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 THREE_QUANTILES = (0.10, 0.50, 0.90)
 FIVE_QUANTILES = (0.10, 0.25, 0.50, 0.75, 0.90)
-# Leaf quantiles weight rows by a whole number: hundredths of the weight.
-WEIGHT_STEPS = 100
-ROUNDS_PER_CHECKPOINT = 5
 
 
 def band_name(q: float) -> str:
@@ -112,120 +114,144 @@ def row_model_sample(
 
 # ---- model ------------------------------------------------------------------
 
+MOST_BINS = 255
+MOST_ROWS = 90_000
+
 
 @dataclass
 class QuantileBoost:
-    """M4: start value per quantile, then (tree, leaf values) per round."""
+    """M4: value cuts of each feature, start value and trees of each quantile."""
 
     features: list[str]
-    rate: float
+    cuts: list[np.ndarray]
     start: dict[float, float]
-    rounds: dict[float, list[tuple[DecisionTreeRegressionModel, dict[float, float]]]]
+    trees: dict[float, list[ht.Tree]]
+
+    def codes(self, columns: Sequence[np.ndarray]) -> np.ndarray:
+        return np.stack([np.searchsorted(c, np.asarray(x, dtype=np.float64), side="left") for c, x in zip(self.cuts, columns, strict=True)])
+
+    def ensemble(self) -> ht.Ensemble:
+        return ht.Ensemble([len(c) + 1 for c in self.cuts], list(self.start.values()), list(self.trees.values()))
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """``pred_pNN`` on the training scale for each quantile."""
-        keep = df.columns
-        out = _assemble(df, self.features)
-        sums: dict[float, Column] = {q: F.lit(s) for q, s in self.start.items()}
-        for q, steps in self.rounds.items():
-            for i, (tree, leaves) in enumerate(steps):
-                leaf = f"__leaf_{band_name(q)}_{i}"
-                out = _leaves(tree, out, leaf)
-                sums[q] = sums[q] + F.lit(self.rate) * _leaf_value(leaf, leaves)
-        return out.select(*keep, *[c.alias(band_name(q)) for q, c in sums.items()])
+        """``pred_pNN`` on the training scale for each quantile: one vectorized function
+        over the flattened trees, whatever the number of rounds."""
+        names = [band_name(q) for q in self.start]
+        shared = df.sparkSession.sparkContext.broadcast((self.codes, self.ensemble()))
 
+        @F.pandas_udf(", ".join(f"{n} double" for n in names))
+        def bands(*columns: pd.Series) -> pd.DataFrame:
+            codes, trees = shared.value
+            return pd.DataFrame(trees.scores(codes([c.to_numpy(dtype=np.float64) for c in columns])), columns=names)
 
-def _assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="__features").transform(df)
+        scored = df.withColumn("__bands", bands(*[F.col(c).cast("double") for c in self.features]))
+        return scored.select(*df.columns, *[F.col("__bands")[n].alias(n) for n in names])
 
 
-def _leaves(tree: DecisionTreeRegressionModel, df: DataFrame, leaf: str) -> DataFrame:
-    return tree.setLeafCol(leaf).setPredictionCol("__p").transform(df).drop("__p")
+def value_cuts(train: DataFrame, features: Sequence[str]) -> list[np.ndarray]:
+    """At most ``MOST_BINS`` - 1 values of each feature, evenly spread over its rows: all
+    of them but the largest where there are that few. A mergeable sketch of fixed size."""
+    probs = F.array(*[F.lit(i / MOST_BINS) for i in range(1, MOST_BINS)])
+    found = train.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, 20_000).alias(f"c{i}") for i, c in enumerate(features)], *[F.max(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(features)]).first()
+    return [np.array(sorted({v for v in found[f"c{i}"] or [] if v < found[f"m{i}"]})) for i in range(len(features))]
 
 
-def _leaf_value(leaf: str, values: dict[float, float]) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in sorted(values.items()) for x in kv])
-    return F.coalesce(table[F.col(leaf)], F.lit(0.0))
+_TREE = pa.schema([("round", pa.int32()), ("quantile", pa.int32()), *[(c, pa.list_(pa.int64())) for c in ("feature", "bin", "left", "right")], ("value", pa.list_(pa.float64()))])
 
 
 def fit_quantile_boost(
     train: DataFrame,
     features: Sequence[str],
     quantiles: Sequence[float] = THREE_QUANTILES,
-    rounds: int = 20,
-    rate: float = 0.2,
-    depth: int = 5,
-    min_leaf: int = 5,
-    seed: int = 42,
+    rounds: int = 160,
+    rate: float = 0.06,
+    leaves: int = 31,
+    depth: int | None = None,
+    min_leaf: int = 20,
+    l2: float = 0.05,
+    max_rows: int = MOST_ROWS,
 ) -> QuantileBoost:
     """Fit on columns ``target``, ``weight`` and the feature columns.
 
-    Twenty rounds at rate 0.2 stand for a few hundred at 0.06: a distributed
-    round costs several jobs, so fewer and larger steps are taken.
+    The model is defined on at most ``max_rows`` rows (the row-level model's sample, or
+    one row per market group); of a larger table those with the smallest hash. They are
+    binned to one byte a value, so a task holds ``max_rows`` times the number of features
+    in bytes. The quantiles do not depend on each other and are fitted in a task each,
+    which runs all rounds: a round needs about ten sums over all rows one after the
+    other, and these are cheaper in memory than as ten exchanges of a cluster.
     """
-    quantiles = list(quantiles)
-    frequency = F.greatest(F.round(F.col("weight") * WEIGHT_STEPS), F.lit(1.0)).cast("bigint").alias("freq")
-    data = _assemble(train, features).select("__features", "target", "weight", frequency)
-    first = data.agg(F.percentile("target", F.array(*[F.lit(q) for q in quantiles]), F.col("freq"))).first()[0]
-    model = QuantileBoost(list(features), rate, dict(zip(quantiles, first)), {q: [] for q in quantiles})
-    score = {q: f"__score_{band_name(q)}" for q in quantiles}
-    data = cut_lineage(data.select("*", *[F.lit(model.start[q]).alias(score[q]) for q in quantiles]))
-
-    def fit_tree(q: float) -> DecisionTreeRegressionModel:
-        slope = F.lit(q) - (F.col("target") < F.col(score[q])).cast("double")
-        learner = DecisionTreeRegressor(
-            featuresCol="__features", labelCol="__slope", weightCol="weight", maxDepth=depth,
-            minInstancesPerNode=min_leaf, seed=seed,
-        )
-        return learner.fit(data.withColumn("__slope", slope))
-
-    for i in range(rounds):
-        # the quantiles do not depend on each other: their jobs run side by side
-        with ThreadPoolExecutor(len(quantiles)) as pool:
-            fitted = dict(zip(quantiles, pool.map(fit_tree, quantiles)))
-        current = data
-        for q in quantiles:
-            current = _leaves(fitted[q], current, f"__leaf_{band_name(q)}")
-        leaf_values = _leaf_quantiles(current, quantiles, score)
-        for q in quantiles:
-            model.rounds[q].append((fitted[q], leaf_values[q]))
-            step = F.lit(rate) * _leaf_value(f"__leaf_{band_name(q)}", leaf_values[q])
-            current = current.withColumn(score[q], F.col(score[q]) + step).drop(f"__leaf_{band_name(q)}")
-        data = cut_lineage(current) if (i + 1) % ROUNDS_PER_CHECKPOINT == 0 and i + 1 < rounds else current
+    quantiles, how = list(quantiles), ht.Growth(leaves, depth, min_leaf, l2)
+    named = train.select(F.col("target").cast("double"), F.col("weight").cast("double"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)])
+    count = named.count()
+    if not count:
+        raise ValueError("no rows to learn from")
+    if count > max_rows:
+        named = named.orderBy(F.xxhash64(*named.columns)).limit(max_rows)
+    model = QuantileBoost(list(features), value_cuts(named, [f"x{i}" for i in range(len(features))]), {}, {q: [] for q in quantiles})
+    step = _training(model, quantiles, how, rate, rounds)
+    each = F.explode(F.array(*[F.lit(k) for k in range(len(quantiles))])).alias("quantile")
+    # the order of the rows decides the last bits of sums: it is fixed
+    dealt = named.select(each, "*").repartitionByRange(len(quantiles), "quantile").sortWithinPartitions("quantile", *named.columns)
+    for r in sorted(dealt.mapInArrow(step, "round int, quantile int, feature array<long>, bin array<long>, left array<long>, right array<long>, value array<double>").collect(), key=lambda r: (r["round"], r["quantile"])):
+        q = quantiles[r["quantile"]]
+        if r["round"] < 0:
+            model.start[q] = r["value"][0]
+        else:
+            model.trees[q].append(ht.Tree(*[np.array(r[c]) for c in ("feature", "bin", "left", "right", "value")]))
     return model
 
 
-def _leaf_quantiles(data: DataFrame, quantiles: list[float], score: dict[float, str]) -> dict[float, dict[float, float]]:
-    """The quantile of the residuals in each leaf, for all quantiles in one job.
-    The result is part of the model: one number per leaf."""
-    rows = [
-        F.struct(
-            F.lit(k).alias("k"), F.col(f"__leaf_{band_name(q)}").alias("leaf"), (F.col("target") - F.col(score[q])).alias("r")
-        )
-        for k, q in enumerate(quantiles)
-    ]
-    probs = F.array(*[F.lit(q) for q in quantiles])
-    values = (
-        data.select("freq", F.inline(F.array(*rows)))
-        .groupBy("k", "leaf")
-        .agg(F.percentile("r", probs, F.col("freq")).alias("values"))
-        .select("k", "leaf", F.get("values", F.col("k")).alias("value"))
-    )
-    out: dict[float, dict[float, float]] = {q: {} for q in quantiles}
-    for row in values.collect():
-        out[quantiles[row["k"]]][row["leaf"]] = row["value"]
-    return out
+def _training(model: QuantileBoost, quantiles: list[float], how: ht.Growth, rate: float, rounds: int) -> Callable:
+    bins = [len(c) + 1 for c in model.cuts]
+
+    def fit(k: int, codes: np.ndarray, target: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+        rows = ht.Rows(codes, bins, target, weight)
+        start = ht.group_values(target, weight, np.zeros(len(target), dtype=np.int64), 1, quantiles[k])
+        score = np.full(len(target), start[0])
+        out = [(-1, k, [], [], [], [], start.tolist())]
+        for i in range(rounds):
+            t = ht.boost(rows, quantiles[k], score, how, rate)
+            out.append((i, k, *[a.tolist() for a in (t.feature, t.bin, t.left, t.right, t.value)]))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _TREE, strict=True)], schema=_TREE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list] = {}
+        for batch in batches:
+            which = batch.column(0).to_numpy()
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
+            codes = model.codes(columns[2:]).astype(np.uint8)
+            for k in np.unique(which).tolist():
+                own = which == k
+                parts.setdefault(k, []).append((codes[:, own], columns[0][own], columns[1][own]))
+        for k, got in parts.items():
+            yield fit(k, np.concatenate([g[0] for g in got], axis=1), *[np.concatenate([g[i] for g in got]) for i in (1, 2)])
+
+    return run
 
 
 # ---- use --------------------------------------------------------------------
 
+# The features of the row-level model, those of them that are present.
+ROW_NUMERIC = [
+    "route_stop_count", "route_tote_count", "stop_count", "tote_count", "route_count", "distance",
+    "geography_multiplier", "shipment_multiplier", "density_multiplier", "geo_mean", "year", "month",
+]
+ROW_CATEGORICAL = ["dc", "carrier_cd", "delivery_type", "charge_type", "charge_description"]
+MIN_TRAINING_ROWS = 200
+
+
+def row_features(rows: DataFrame) -> tuple[list[str], list[str]]:
+    return [c for c in ROW_NUMERIC if c in rows.columns], [c for c in ROW_CATEGORICAL if c in rows.columns]
+
+
+def bands_in_cost(df: DataFrame, bands: Sequence[str], eligible: Column) -> DataFrame:
+    """Log-scale bands as cost, never negative, null where a row is not eligible."""
+    return df.withColumns({b: F.when(eligible, F.greatest(F.lit(0.0), F.expm1(b))) for b in bands})
+
 
 def score_bands(df: DataFrame, model: QuantileBoost, actual: str = "actual_median_cps") -> DataFrame:
     """M7: predictions as cost, never negative, only where there is a cost."""
-    bands = [band_name(q) for q in model.start]
-    out = model.predict(df)
-    has_cost = F.col(actual) > 0
-    return out.withColumns({b: F.when(has_cost, F.greatest(F.lit(0.0), F.expm1(b))) for b in bands})
+    return bands_in_cost(model.predict(df), [band_name(q) for q in model.start], F.col(actual) > 0)
 
 
 def model_metrics(predicted: DataFrame, expected: str = "pred_p50") -> DataFrame:
@@ -239,3 +265,50 @@ def model_metrics(predicted: DataFrame, expected: str = "pred_p50") -> DataFrame
         F.median("__error").alias("median_abs_error_cost"),
         (1.0 - fx.safe_div(F.sum("__squared"), F.var_pop("target") * F.count(F.lit(1)))).alias("r2_log_target"),
     )
+
+
+def model_report(metrics: DataFrame | None, spark: SparkSession, status: str, **counts: int) -> DataFrame:
+    """One row: ``model_status``, counts, and the hold-out errors (null without any)."""
+    known = spark.range(1).select(F.lit(status).alias("model_status"), *[F.lit(v).cast("long").alias(c) for c, v in counts.items()])
+    errors = ["mae_cost", "median_abs_error_cost", "r2_log_target"]
+    if metrics is None:
+        return known.withColumns({c: F.lit(None).cast("double") for c in errors})
+    return known.join(metrics.select(*errors), F.lit(True))
+
+
+@dataclass(frozen=True)
+class RowModel:
+    encoder: Encoder
+    model: QuantileBoost
+    report: DataFrame
+
+
+def fit_row_model(
+    rows: DataFrame, keys: Sequence[str], cost: str = "cost_per_stop", quantiles: Sequence[float] = FIVE_QUANTILES,
+    rounds: int = 240, max_rows: int = MOST_ROWS, min_rows: int = MIN_TRAINING_ROWS, test_share: float = 0.2, **boost: object,
+) -> RowModel:
+    """M5: the row-level model of paid rows, identified by ``keys``.
+
+    It sees a sample of at most ``max_rows`` of them and keeps a share of it from
+    training; the report tells how far off it is on those. Fewer than ``min_rows`` paid
+    rows, or no feature, are an error."""
+    numeric, categorical = row_features(rows)
+    if not numeric and not categorical:
+        raise ValueError("no usable model features")
+    paid = rows.filter(F.col(cost) > 0).count()
+    if paid < min_rows:
+        raise ValueError(f"{paid} paid rows; a model needs {min_rows}")
+    sample = cut_lineage(train_test_split(row_model_sample(rows, keys, max_rows, cost=cost), keys, test_share))
+    encoder = fit_encoder(sample.filter(~F.col("is_test")), numeric, categorical)
+    data = cut_lineage(encoder.apply(sample).select("is_test", "target", "weight", *encoder.features))
+    model = fit_quantile_boost(data.filter(~F.col("is_test")), encoder.features, quantiles, rounds, max_rows=max_rows, **boost)
+    metrics = model_metrics(model.predict(data.filter("is_test")))
+    report = model_report(metrics, rows.sparkSession, "model", paid_rows_total=paid, model_rows_used=data.count(), feature_count=len(encoder.features))
+    return RowModel(encoder, model, report)
+
+
+def score_rows(rows: DataFrame, fitted: RowModel, cost: str = "cost_per_stop") -> DataFrame:
+    """Every row with its bands, in order; rows without a cost or any feature have none."""
+    known = fx.is_true(F.col(cost) > 0) & F.coalesce(*[F.col(c).cast("string") for c in (*fitted.encoder.numeric, *fitted.encoder.categorical)]).isNotNull()
+    banded = fitted.model.predict(fitted.encoder.apply(rows)).drop(*fitted.encoder.features)
+    return bands_in_cost(banded, [band_name(q) for q in fitted.model.start], known)

@@ -229,6 +229,7 @@ def docks_per_dc_month(rows: DataFrame) -> DataFrame:
 # ---- market groups ----------------------------------------------------------
 
 QUANTILES = {"actual_median_cps": 0.5, "actual_p75_cps": 0.75, "actual_p90_cps": 0.9}
+# The driver columns whose medians a market carries.
 DRIVERS = [
     "normalized_cost",
     "normalized_cost_geography",
@@ -504,8 +505,8 @@ def row_scorecard(scored_rows: DataFrame, keys: Sequence[str], cost: str = "cost
         {
             "model_residual": actual - F.col("pred_p50"),
             "model_residual_pct": fx.ratio_gap("actual_median_cps", "pred_p50"),
-            "above_p90": actual > F.col("pred_p90"),
-            "below_p10": actual < F.col("pred_p10"),
+            **{f"above_{b[5:]}": actual > F.col(b) for b in bands if b in ("pred_p75", "pred_p90")},
+            **{f"below_{b[5:]}": actual < F.col(b) for b in bands if b in ("pred_p10", "pred_p25")},
         }
     )
 

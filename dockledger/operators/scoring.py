@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from dockledger.functions import columns as fx
 from dockledger.functions.stats import scalars
+from dockledger.operators.rollups import DRIVERS
 
 # Class names, confidence levels and notes.
 NORMAL = "Normal / inside expected band"
@@ -41,26 +42,11 @@ class Thresholds:
     max_sensitivity: float = 0.40
 
 
-NUMERIC_FEATURES = [
-    "paid_records",
-    "records",
-    "zero_rate",
-    "paid_rate",
-    "median_geography_multiplier",
-    "median_shipment_multiplier",
-    "median_density_multiplier",
-    "median_geo_mean",
-    "median_route_stop_count",
-    "median_route_tote_count",
-    "median_stop_count",
-    "median_tote_count",
-    "median_route_count",
-    "median_distance",
-    "median_leg_total_cost",
-    "median_leg_base_cost",
-    "median_leg_fuel_cost",
-    "median_leg_misc_cost",
+# Group features: counts, and the medians of the drivers that are no cost to be explained.
+NUMERIC_FEATURES = ["paid_records", "records", "zero_rate", "paid_rate"] + [
+    f"median_{c}" for c in DRIVERS if not c.startswith(("normalized_", "benchmark_"))
 ]
+# Categories that may be features.
 CATEGORICAL_FEATURES = ["xdock", "carrier_cd", "fill_dc"]
 
 

@@ -75,28 +75,39 @@ def modeled_scorecard(
     keys: Sequence[str],
     thresholds: sc.Thresholds = sc.Thresholds(),
     min_groups: int = 20,
-    rounds: int = 20,
+    rounds: int = 160,
     drivers: Sequence[str] = rollups.DRIVERS,
     **boost: object,
-) -> tuple[DataFrame, DataFrame | None]:
-    """Scored markets with model bands, and the hold-out metrics.
+) -> tuple[DataFrame, DataFrame]:
+    """Scored markets with model bands, and the model report.
 
-    Below ``min_groups`` eligible groups the benchmark bands are used and there
-    are no metrics.
+    Below ``min_groups`` eligible groups the benchmark bands are used; the report says
+    so in ``model_status`` and has no errors then.
     """
     markets = cut_lineage(rollups.market_groups(rows, keys, drivers))
     train_all = boosting.train_test_split(sc.model_groups(markets, thresholds), keys)
     numeric, categorical = sc.feature_columns(markets, keys)
-    if train_all.count() < min_groups or not (numeric or categorical):
-        return sc.score_markets(sc.benchmark_bands(markets, thresholds), keys, thresholds), None
+    counts = {"groups_total": markets.count(), "model_groups": train_all.count(), "feature_count": len(numeric) + len(categorical)}
+    if counts["model_groups"] < min_groups or not counts["feature_count"]:
+        report = boosting.model_report(None, rows.sparkSession, "fallback benchmark", **counts)
+        return sc.score_markets(sc.benchmark_bands(markets, thresholds), keys, thresholds), report
     encoder = boosting.fit_encoder(train_all.filter(~F.col("is_test")), numeric, categorical)
     quantiles = boosting.FIVE_QUANTILES if thresholds.five_bands else boosting.THREE_QUANTILES
     train = cut_lineage(encoder.apply(train_all))
     model = boosting.fit_quantile_boost(train.filter(~F.col("is_test")), encoder.features, quantiles, rounds, **boost)
-    metrics = boosting.model_metrics(model.predict(train.filter(F.col("is_test"))))
+    report = boosting.model_report(boosting.model_metrics(model.predict(train.filter(F.col("is_test")))), rows.sparkSession, "model", **counts)
     banded = boosting.score_bands(encoder.apply(markets), model).drop(*encoder.features)
     banded = sc.monotone_bands(banded, [boosting.band_name(q) for q in quantiles])
     for b in sc.BANDS:
         if b not in banded.columns:
             banded = banded.withColumn(b, F.lit(None).cast("double"))
-    return sc.score_markets(banded, keys, thresholds), metrics
+    return sc.score_markets(banded, keys, thresholds), report
+
+
+def modeled_rows(rows: DataFrame, order_cols: Sequence[str], cost: str = "cost_per_stop", **model: object) -> tuple[DataFrame, DataFrame]:
+    """Rows with the bands of the row-level model and their residuals, and its report."""
+    measured = multipliers.row_sensitivity(rows, cost)
+    fitted = boosting.fit_row_model(measured, order_cols, cost, **model)
+    banded = boosting.score_rows(measured, fitted, cost)
+    banded = sc.monotone_bands(banded, [boosting.band_name(q) for q in fitted.model.start])
+    return sc.residuals(banded, cost, "pred_p50", prefix="row"), fitted.report

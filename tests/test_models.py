@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dockledger.operators import anomaly, boosting
+from dockledger.plans import pipelines
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +29,92 @@ def test_quantile_boost_covers_its_share(training):
     assert boosting.model_metrics(out).first()["r2_log_target"] > 0.8
 
 
+def plain_boost(x, y, w, q, rounds, rate, leaves, min_leaf, l2):
+    """The same model without histograms: every split of every leaf is tried by itself."""
+
+    def low_quantile(v, weight):
+        order = np.argsort(v)
+        at = np.searchsorted(np.cumsum(weight[order]), q * weight.sum() * (1 - 1e-12))
+        return v[order][at]
+
+    def best(rows, g):
+        def part(own):
+            return g[own].sum() ** 2 / (w[own].sum() + l2)
+
+        found = (1e-9, None, None)
+        for f in range(x.shape[1]):
+            for cut in np.unique(x[rows, f])[:-1]:
+                left, right = rows[x[rows, f] <= cut], rows[x[rows, f] > cut]
+                if min(len(left), len(right)) >= min_leaf:
+                    gain = part(left) + part(right) - part(rows)
+                    if gain > found[0]:
+                        found = (gain, left, right)
+        return found
+
+    score = np.full(len(y), low_quantile(y, w))
+    for _ in range(rounds):
+        g = w * np.where(y < score, 1 - q, -q)
+        ends = [(np.arange(len(y)), best(np.arange(len(y)), g))]
+        while len(ends) < leaves:
+            i = max(range(len(ends)), key=lambda k: ends[k][1][0])
+            if ends[i][1][1] is None:
+                break
+            _, left, right = ends.pop(i)[1]
+            ends += [(side, best(side, g)) for side in (left, right)]
+        for rows, _ in ends:
+            score[rows] += rate * low_quantile((y - score)[rows], w[rows])
+    return score
+
+
+def test_boost_equals_a_plain_version(spark):
+    rng = np.random.default_rng(5)
+    n = 240
+    x = np.column_stack([rng.integers(0, 30, n), rng.integers(0, 4, n), rng.integers(0, 9, n)]).astype(float)
+    y = 1 + 0.1 * x[:, 0] + 0.7 * x[:, 1] + rng.normal(0, 0.4, n)
+    for w in (np.ones(n), np.sqrt(rng.integers(1, 50, n))):
+        rows = [(i, *map(float, v), float(t), float(u)) for i, (v, t, u) in enumerate(zip(x, y, w))]
+        df = spark.createDataFrame(rows, "id int, a double, b double, c double, target double, weight double").repartition(3)
+        model = boosting.fit_quantile_boost(df, ["a", "b", "c"], (0.1, 0.5), rounds=8, rate=0.3, leaves=7, min_leaf=11, l2=0.05)
+        assert all((t.feature < 0).sum() == 7 for trees in model.trees.values() for t in trees)
+        got = {r["id"]: r for r in model.predict(df).collect()}
+        for q in (0.1, 0.5):
+            expected = plain_boost(x, y, w, q, 8, 0.3, 7, 11, 0.05)
+            assert np.allclose([got[i][boosting.band_name(q)] for i in range(n)], expected, atol=1e-9)
+
+
+def test_full_model_covers_held_out_rows(spark):
+    """The production rounds: shares of rows below the bands on rows never trained on."""
+    rng = np.random.default_rng(12)
+    n = 6000
+    a, g = rng.uniform(0, 10, n), rng.integers(0, 5, n)
+    cost = np.exp(2 + 0.1 * a + 0.2 * g + rng.normal(0, 0.25, n)) - 1
+    rows = [(i, float(v), f"k{k}", float(c)) for i, (v, k, c) in enumerate(zip(a, g, cost))]
+    df = spark.createDataFrame(rows, "id int, distance double, dc string, cost_per_stop double")
+    fitted = boosting.fit_row_model(df, ["id"])
+    report = fitted.report.first()
+    assert (report["model_status"], report["paid_rows_total"], report["model_rows_used"], report["feature_count"]) == ("model", n, n, 2)
+    assert report["r2_log_target"] > 0.4 and {len(t) for t in fitted.model.trees.values()} == {240}
+    held = boosting.train_test_split(boosting.score_rows(df, fitted), ["id"]).filter("is_test")
+    names = {q: boosting.band_name(q) for q in boosting.FIVE_QUANTILES}
+    row = held.agg(*[F.avg((F.col("cost_per_stop") <= F.col(b)).cast("double")).alias(b) for b in names.values()]).first()
+    assert all(abs(row[b] - q) < 0.05 for q, b in names.items()), row
+    with pytest.raises(ValueError, match="needs 200"):
+        boosting.fit_row_model(df.limit(150), ["id"])
+
+
+def test_plan_does_not_grow_with_rounds(spark):
+    df = spark.createDataFrame([(float(i % 7), float(i % 11), 1.0) for i in range(200)], "a double, target double, weight double")
+    plans = [boosting.fit_quantile_boost(df, ["a"], rounds=r).predict(df)._jdf.queryExecution().optimizedPlan().toString() for r in (1, 9)]
+    assert plans[0].count("\n") == plans[1].count("\n")
+
+
+def test_few_groups_fall_back_to_the_benchmark(spark):
+    rows = [(f"d{i % 4}", f"c{i % 3}", 10.0 + i % 13, 5.0) for i in range(600)]
+    df = spark.createDataFrame(rows, "xdock string, carrier_cd string, cost_per_stop double, distance double")
+    scored, report = pipelines.modeled_scorecard(df, ["xdock", "carrier_cd"])
+    assert report.first()[:] == ("fallback benchmark", 12, 12, 7, None, None, None) and scored.count() == 12
+
+
 def test_encoder_fills_and_marks_unseen(spark, training):
     encoder = boosting.fit_encoder(training, ["a"], ["g"])
     other = spark.createDataFrame([(None, "k1"), (0.5, "new"), (0.5, None)], "a double, g string")
