@@ -82,7 +82,7 @@ class Block:
         counts, docs = self.groups.setdefault((lang, source), (Counter(), Counter()))
         distinct = set(found)
         distinct.add(b"")
-        new = distinct.difference(docs)
+        new = [term for term in distinct if term not in docs]
         self.postings += len(new)
         self.bytes += sum(map(len, new))
         counts.update(found)
