@@ -3,7 +3,6 @@ production parameters, to its whole table."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dockledger.llm import divergence, hilbert_ann, license_scan, merkle, mixing, near_dedup, packing, quality_classifier, quality_rules, samples, sharding, simhash, token_counts, toxicity
 from dockledger.llm.common import table
-from dockledger.session import cut_lineage, shared_folder
+from dockledger.session import cut_lineage, scratch_path
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -24,7 +23,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = cut_lineage(token_counts.count_tokens(docs))
     lowered = token_counts.count_tokens(docs.filter(part == 1).withColumn("text", F.lower("text")))
     changes = token_counts.signed(counts.filter(part == 0), -1).unionByName(token_counts.revised(counts.filter(part == 1), lowered))
-    ledger = token_counts.Ledger(spark, f"{shared_folder(spark)}/token-ledger/{uuid.uuid4().hex}")
+    ledger = token_counts.Ledger(spark, scratch_path(spark))
     ledger.commit("inserts", token_counts.signed(counts, 1))
     ledger.commit("changes", changes)
     ledger.commit("changes", changes)

@@ -23,6 +23,7 @@ id and text are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -199,11 +200,12 @@ class Index:
             matched, needed, start, end = self.align(ids, template, must, lane * self.how.band)
             if matched >= self.how.coverage * len(template) and needed == must.sum():
                 found.add((matched, matched / len(template), -number, name, start, end))
-        kept: list[tuple[int, str, float, int, int, int]] = []
+        kept: list[tuple[int, str, float, int, int, int]] = []  # spans that do not meet, by where they start
         for matched, share, minus, name, start, end in sorted(found, reverse=True):
-            if all(end <= k[4] or k[5] <= start for k in kept):
-                kept.append((-minus, name, share, matched, start, end))
-        return sorted(kept, key=lambda k: k[4])
+            at = bisect_left(kept, start, key=lambda k: k[4])
+            if (at == len(kept) or end <= kept[at][4]) and (at == 0 or kept[at - 1][5] <= start):
+                kept.insert(at, (-minus, name, share, matched, start, end))
+        return kept
 
 
 RESULT = "doc_id long, template int, license string, coverage double, matched long, start_word long, end_word long"

@@ -157,10 +157,10 @@ def pack_documents(docs: DataFrame, cap: Capacity = Capacity(), path: str | None
     return pack(tokenized(docs, cap.tokens, path), cap, group_rows)
 
 
-def sequences(packed: DataFrame, with_ids: DataFrame) -> DataFrame:
-    """The sequences themselves: token ids in order and where each document starts.
-    ``with_ids`` holds the pieces of the same documents with their ids. One sequence
-    has at most the capacity's tokens, so gathering it is bounded."""
-    joined = packed.join(with_ids.select("doc_id", "piece", "ids_crc32", "ids").dropDuplicates(["doc_id", "piece", "ids_crc32"]), ["doc_id", "piece", "ids_crc32"])
-    gathered = joined.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "piece", "ids"))).alias("_parts"))
+def sequences(docs: DataFrame, cap: Capacity = Capacity(), path: str | None = None, group_rows: int = 16_384) -> DataFrame:
+    """The sequences themselves: token ids in order, and where and which each document's
+    pieces start. Ids go along with their pieces, so repeated and null document ids are
+    no matter; one sequence has at most the capacity's tokens, so gathering is bounded."""
+    packed = pack(tokenized(docs, cap.tokens, path, with_ids=True), cap, group_rows)
+    gathered = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "piece", "ids"))).alias("_parts"))
     return gathered.select("sequence_id", F.flatten("_parts.ids").alias("ids"), F.col("_parts.offset").alias("starts"), F.col("_parts.doc_id").alias("doc_ids"))

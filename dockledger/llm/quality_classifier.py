@@ -67,6 +67,16 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest values of each row; ties go to the earlier column."""
+    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(cosine, near, axis=1).min(axis=1, keepdims=True)
+    for row in np.flatnonzero((cosine >= least).sum(axis=1) > k):
+        reach = np.flatnonzero(cosine[row] >= least[row])
+        near[row] = reach[np.argsort(-cosine[row, reach], kind="stable")[:k]]
+    return near
+
+
 @dataclass(frozen=True)
 class Model:
     idf: np.ndarray
@@ -84,7 +94,7 @@ class Model:
             return np.full(len(counts), prior)
         cosine = self.latent(counts) @ self.vectors.T
         k = min(self.how.neighbours, cosine.shape[1])
-        near = np.argsort(-cosine, axis=1, kind="stable")[:, :k] if cosine.shape[1] <= k else np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        near = nearest(cosine, k)
         weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0.0).astype(np.float64)
         total = weight.sum(axis=1)
         vote = (weight * self.labels[near]).sum(axis=1)
@@ -97,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, how: Voting = Voting(), target: str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [np.minimum(text_counts(t.as_py(), how.features), 65535).astype("<u2").tobytes() for t in batch.column(2)]
+            counts = [text_counts(t.as_py(), how.features).astype("<u4").tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.binary())], schema=schema)
 
     sample = labelled(docs, labels, target, how.sample_rows).select("doc_id", "label", "text")
@@ -111,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, how: Voting = Voting(), target: str
     def blocks() -> Iterator[np.ndarray]:
         """The sample in parts, so that the driver never holds it as floats."""
         for i in range(0, len(raw), BLOCK):
-            yield np.stack([np.frombuffer(c, dtype="<u2") for c in raw[i : i + BLOCK]]).astype(np.float32)
+            yield np.stack([np.frombuffer(c, dtype="<u4") for c in raw[i : i + BLOCK]]).astype(np.float32)
 
     found = sum((b > 0).sum(axis=0) for b in blocks())
     idf = np.log((1 + len(raw)) / (1 + found)).astype(np.float32) + 1.0

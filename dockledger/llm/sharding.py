@@ -20,6 +20,7 @@ an empty table gives no rows; columns other than the id and the text are ignored
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,10 +47,11 @@ def _depths(cells: DataFrame, limit: int, known: int, depth: int) -> DataFrame:
     return cells.select("cell").join(met.groupBy("cell").agg(F.min("d").alias("depth")), "cell", "left")
 
 
-def assign(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``bytes``, ``shard`` (its prefix as text), ``depth``, ``oversized``."""
+def assign(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id``, ``bytes``, ``shard`` (its prefix as text), ``depth``, ``oversized``; narrow
+    columns to ``carry`` along follow."""
     size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("bytes"), F.monotonically_increasing_id().alias("_row"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("bytes"), F.monotonically_increasing_id().alias("_row"), *carry)
     left = rows = cut_lineage(rows)
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     address = F.concat(bits_of(F.col("doc_id")), bits_of(F.col("_row")))
@@ -61,15 +63,15 @@ def assign(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col
         cells = celled.groupBy("cell").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("rows"))
         found = cut_lineage(_depths(cut_lineage(cells), limit, known, depth))
         placed = celled.join(found, "cell")
-        done.append(placed.filter("depth IS NOT NULL").select("doc_id", "bytes", F.expr("substring(cell, 1, depth)").alias("shard"), "depth"))
+        done.append(placed.filter("depth IS NOT NULL").select("doc_id", "bytes", F.expr("substring(cell, 1, depth)").alias("shard"), "depth", *carry))
         if depth == 2 * ID_BITS or found.filter("depth IS NULL").isEmpty():
             break
-        left = cut_lineage(placed.filter("depth IS NULL").select("doc_id", "bytes", "_row"))
+        left = cut_lineage(placed.filter("depth IS NULL").select("doc_id", "bytes", "_row", *carry))
         known, width = depth, 8
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.withColumn("oversized", F.col("bytes") > limit)
+    return out.select("doc_id", "bytes", "shard", "depth", (F.col("bytes") > limit).alias("oversized"), *carry)
 
 
 def directory(assigned: DataFrame) -> DataFrame:
@@ -80,10 +82,13 @@ def directory(assigned: DataFrame) -> DataFrame:
     return shards.withColumn("entries", F.pow(F.lit(2.0), F.lit(deepest) - F.col("depth")))
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """Documents with unique ids, one folder for each shard."""
-    placed = docs.join(assigned.select("doc_id", F.concat(F.lit("s"), "shard").alias("shard")), "doc_id")
-    placed.repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
+    """Whole rows of documents, one folder for each shard of ``assign``. Rows are numbered
+    once and found again by that number, so repeated and null ids are written as often as
+    they occur. The column names ``shard`` and ``_write_row`` are taken."""
+    kept = cut_lineage(docs.withColumn("_write_row", F.monotonically_increasing_id()))
+    placed = assign(kept, limit, carry=["_write_row"]).select("_write_row", F.concat(F.lit("s"), "shard").alias("shard"))
+    kept.join(placed, "_write_row").drop("_write_row").repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 # The same shards in DuckDB's SQL, for unique ids.

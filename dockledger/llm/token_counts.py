@@ -7,8 +7,11 @@ version and committed to the ledger folder under its id; totals are sums over th
 committed batches. Sums are combined before the shuffle, so a hot source is one row
 per task.
 
-Commits are idempotent: a batch whose folder has its success marker is never written
-again, and a folder without it (a lost attempt) is written anew and not read.
+Commits are idempotent: a batch is written to a folder of its own attempt, whose name
+becomes the batch's in one step at the end. A batch that is there is never written again,
+of two that commit one id at a time only one gets the name, and what a lost attempt left
+is not read. Compaction puts the totals and the ids of all batches behind them into one
+batch, so a compacted ledger still refuses what it has counted.
 
 Defined results: null and empty texts count 0 tokens; null sources and languages are
 groups of their own; repeated rows count each; an empty batch commits no rows; groups
@@ -18,6 +21,7 @@ those named are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -82,23 +86,46 @@ class Ledger:
             raise ValueError(f"batch id {batch_id!r}: letters, digits, - and _ only")
         return f"{self.folder}/batch-{batch_id}"
 
+    def _compacted_ids(self) -> list[str]:
+        return [f"{p}/_batches" for p in self.batches() if p.rsplit("/", 1)[1].startswith("batch-compacted")]
+
     def committed(self, batch_id: str) -> bool:
-        fs, marker = self._file(f"{self._batch(batch_id)}/_SUCCESS")
-        return fs.exists(marker)
+        fs, place = self._file(self._batch(batch_id))
+        if fs.exists(place):
+            return True
+        behind = self._compacted_ids()
+        return bool(behind) and not self.spark.read.text(behind).filter(F.col("value") == batch_id).isEmpty()
+
+    def _publish(self, attempt: str, batch_id: str) -> bool:
+        """Gives an attempt its name unless another one has it."""
+        jvm = self.spark._jvm
+        fs, made = self._file(attempt)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(made.toUri(), self.spark._jsc.hadoopConfiguration())
+        plain = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(made, self._file(self._batch(batch_id))[1], plain)
+        except Exception:
+            fs.delete(made, True)
+            if not self.committed(batch_id):
+                raise
+            return False
+        return True
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Adds a batch once; whether this call did it."""
+        self._batch(batch_id)
         if self.committed(batch_id):
             return False
-        deltas(changes).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(self._batch(batch_id))
-        return True
+        attempt = f"{self.folder}/attempt-{uuid.uuid4().hex}"
+        deltas(changes).write.parquet(attempt)
+        return self._publish(attempt, batch_id)
 
     def batches(self) -> list[str]:
         fs, top = self._file(self.folder)
         if not fs.exists(top):
             return []
         found = [s.getPath().toString() for s in fs.listStatus(top) if s.isDirectory()]
-        return sorted(p for p in found if p.rsplit("/", 1)[1].startswith("batch-") and fs.exists(self._file(f"{p}/_SUCCESS")[1]))
+        return sorted(p for p in found if p.rsplit("/", 1)[1].startswith("batch-"))
 
     def totals(self) -> DataFrame:
         paths = self.batches()
@@ -108,8 +135,16 @@ class Ledger:
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def compact(self, folder: str) -> "Ledger":
-        """A new ledger with the totals as one batch, empty groups left out."""
+        """A new ledger with the totals as one batch, empty groups left out, that knows
+        every batch counted here."""
         other = Ledger(self.spark, folder)
-        kept = self.totals().filter("n_docs <> 0 OR n_tokens <> 0")
-        kept.write.mode("overwrite").parquet(other._batch("compacted"))
+        name = f"compacted-{uuid.uuid4().hex}"
+        attempt = f"{other.folder}/attempt-{uuid.uuid4().hex}"
+        own = [p.rsplit("/batch-", 1)[1] for p in self.batches()]
+        ids = self.spark.createDataFrame([(i,) for i in own], "value string")
+        for p in self._compacted_ids():
+            ids = ids.unionByName(self.spark.read.text(p))
+        self.totals().filter("n_docs <> 0 OR n_tokens <> 0").write.parquet(attempt)
+        ids.distinct().write.text(f"{attempt}/_batches")
+        other._publish(attempt, name)
         return other

@@ -3,13 +3,15 @@
 The vocabulary file is the one of the ``tokenizers`` library. If its merges come in
 the order of their ids (checked), the same vocabulary is given to ``tiktoken``, which
 yields the same ids several times faster. Texts that hold a special token's string go
-through ``tokenizers`` itself, which gives that token's id for it.
+through ``tokenizers`` itself, which gives that token's id for it, and so do texts with
+very long runs of white space.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from functools import cache
 
 import numpy as np
@@ -49,6 +51,11 @@ def rank_encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
+# The pattern's look-ahead backtracks over a run of white space, and the fast path's
+# stack ends at somewhat below a million of it. Texts with such a run go the other way.
+LONG_BLANK = re.compile(r"\s{50000}")
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -62,7 +69,7 @@ class Encoder:
         """Ids as little-endian unsigned 32-bit numbers; none for null."""
         if not text:
             ids = []
-        elif self.ranks is None or any(s in text for s in self.special):
+        elif self.ranks is None or any(s in text for s in self.special) or LONG_BLANK.search(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             ids = self.ranks.encode_ordinary(text)

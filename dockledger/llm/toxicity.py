@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from dockledger.llm.common import mix, word_bytes, word_hashes
 from dockledger.llm.samples import labelled
+from dockledger.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -74,19 +75,12 @@ class Model:
         return 1.0 / (1.0 + np.exp(np.clip(self.thresholds - self.weights[columns].sum(), -60, 60)))
 
 
-def graded(sample: list[tuple[np.ndarray, int]], features: int) -> np.ndarray:
-    """Grades 0, 1, 2 from labels 0 and 1."""
-    y = np.array([min(max(int(label), 0), 1) for _, label in sample])
+def graded(labels: np.ndarray, markers: np.ndarray) -> np.ndarray:
+    """Grades 0, 1, 2 from labels 0 and 1 and each text's number of marker words."""
+    y = np.clip(labels, 0, 1)
     if not y.any() or y.all():
         return y
-    every, high = (np.zeros(features) for _ in range(2))
-    for (c, _), g in zip(sample, y, strict=True):
-        every[c] += 1
-        high[c] += g
-    share = y.mean()
-    marker = (high >= 5) & (high > 5 * share * every)
-    hits = np.array([marker[c].sum() for c, _ in sample])
-    return y + ((y == 1) & (hits > np.median(hits[y == 1])))
+    return y + ((y == 1) & (markers > np.median(markers[y == 1])))
 
 
 def _minimize(f, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
@@ -175,21 +169,37 @@ def fit_rows(sample: list[tuple[np.ndarray, int]], how: Ordinal) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, how: Ordinal = Ordinal(), target: str = "toxic") -> Model:
-    """The sample comes to the driver as word columns of at most ``sample_rows`` texts."""
-    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("columns", pa.binary())])
+    """The sample's columns are counted in Spark. To the driver come, for at most
+    ``sample_rows`` texts, only the columns that tell toxic from clean, however long the
+    texts are."""
+    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("columns", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features_of(t.as_py(), how.features).astype("<i4").tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], schema=schema)
+            found = [features_of(t.as_py(), how.features) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], schema=schema)
 
     sample = labelled(docs, labels, target, how.sample_rows).select("doc_id", "label", "text")
-    got = sorted(sample.mapInArrow(run, "doc_id long, label int, columns binary").collect())
-    rows = [(np.frombuffer(r.columns, dtype="<i4"), r.label) for r in got]
-    if not rows:
+    rows = cut_lineage(sample.mapInArrow(run, "doc_id long, label int, columns array<int>"))
+    n, least, most = rows.agg(F.count("*"), F.min("label"), F.max("label")).first()
+    if not n:
         return Model(np.zeros(how.features), np.zeros(0), how)
-    grades = graded(rows, how.features) if max(g for _, g in rows) <= 1 else np.array([g for _, g in rows])
-    return fit_rows([(c, int(g)) for (c, _), g in zip(rows, grades, strict=True)], how)
+    binary = most <= 1
+    high = F.col("label") > (F.lit(0) if binary else F.lit(least))
+    share = rows.agg(F.avg(high.cast("int"))).first()[0]
+    pairs = rows.select("doc_id", high.cast("long").alias("high"), F.explode("columns").alias("column"))
+    counts = pairs.groupBy("column").agg(F.count("*").alias("n"), F.sum("high").alias("high"))
+    # a little wider than telling(), which decides; markers are counted, not collected
+    z = F.abs(F.col("high") - F.col("n") * share) / F.sqrt(F.greatest(F.col("n") * (share * (1 - share)), F.lit(1e-9)))
+    told = (z >= how.least_z - 1e-6) & (F.col("n") >= how.least_texts)
+    marker = (F.col("high") >= 5) & (F.col("high") > 5 * share * F.col("n"))
+    chosen = counts.select("column", told.alias("told"), marker.alias("marker")).filter("told OR marker")
+    own = pairs.join(chosen, "column").groupBy("doc_id").agg(F.collect_list(F.when(F.col("told"), F.col("column"))).alias("columns"), F.count_if("marker").alias("markers"))
+    got = sorted(rows.select("doc_id", "label").join(own, "doc_id", "left").collect(), key=lambda r: r.doc_id)
+    found = [np.sort(np.array(r.columns or [], dtype=np.int32)) for r in got]
+    y = np.array([r.label for r in got])
+    grades = graded(y, np.array([r.markers or 0 for r in got])) if binary else y
+    return fit_rows([(c, int(g)) for c, g in zip(found, grades, strict=True)], how)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
