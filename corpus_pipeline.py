@@ -2,18 +2,17 @@
 near-duplicates, mixing to target weights, packing.
 
 Each stage takes the session, the documents its predecessor kept and the table folder;
-``run`` applies all of them, writing and rereading each stage's result.
+``run`` applies all of them, writing and rereading each stage's result; the folders go
+with ``session.release_tables``.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from dockledger.llm import mixing, near_dedup, packing, quality_classifier, quality_rules
 from dockledger.llm.common import table
-from dockledger.session import shared_folder
+from dockledger.session import cut_lineage
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +53,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/corpus_pipeline/{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{i}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
     return docs
