@@ -67,6 +67,7 @@ def terms(text: bytes) -> list[bytes]:
 
 POSTING = "lang string, source string, term binary, n long, docs long"
 _POSTING = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64()), ("docs", pa.int64())])
+_MERGED = pa.schema([_POSTING.field(c) for c in ("lang", "term", "source", "n", "docs")])
 EMIT = 65_536
 
 
@@ -130,40 +131,37 @@ def merged(found: DataFrame) -> DataFrame:
     source that holds its totals over the sources."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list | None = None  # the posting that may go on in the next batch
-        total = [0, 0]
+        held = None  # the posting that may go on in the next batch
+        total = np.zeros(2, dtype=np.int64)  # what came before it of its term
         for batch in batches:
             if not batch.num_rows:
                 continue
+            batch = batch if held is None else pa.concat_batches([held, batch])
             starts = np.concatenate([[0], np.flatnonzero(_changes(batch, 3)) + 1])
-            sums = [np.add.reduceat(batch.column(c).to_numpy(), starts).tolist() for c in (3, 4)]
-            keys = [batch.column(c).take(pa.array(starts)).to_pylist() for c in range(3)]
-            out: list[tuple] = []
-            for lang, term, source, n, docs in zip(*keys, *sums, strict=True):
-                if last and last[:3] == [lang, term, source]:
-                    last[3] += n
-                    last[4] += docs
-                    continue
-                if last:
-                    out.append(tuple(last))
-                    total[0] += last[3]
-                    total[1] += last[4]
-                    if last[:2] != [lang, term]:
-                        out.append((last[0], last[1], None, *total))
-                        total = [0, 0]
-                last = [lang, term, source, n, docs]
-            yield _merged_batch(out)
-        if last:
-            yield _merged_batch([tuple(last), (last[0], last[1], None, total[0] + last[3], total[1] + last[4])])
+            sums = [np.add.reduceat(batch.column(c).to_numpy(), starts) for c in (3, 4)]
+            added = pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(starts)) for c in range(3)], *map(pa.array, sums)], schema=_MERGED)
+            done, held = added.slice(0, len(starts) - 1), added.slice(len(starts) - 1)
+            yield done
+            running = np.stack([np.concatenate([[0], np.cumsum(s[:-1])]) for s in sums])
+            ends = np.flatnonzero(_changes(added, 2)) + 1
+            if len(ends):
+                sums = np.diff(running[:, np.concatenate([[0], ends])])
+                sums[:, 0] += total
+                yield _totals(added, ends - 1, sums)
+                total = running[:, -1] - running[:, ends[-1]]
+            else:
+                total = total + running[:, -1]
+        if held is not None:
+            yield held
+            yield _totals(held, np.array([0]), total[:, None] + np.array([[held.column(c)[0].as_py()] for c in (3, 4)]))
 
     ordered = found.select("lang", "term", "source", "n", "docs").repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
     return ordered.mapInArrow(add, "lang string, term binary, source string, n long, docs long").withColumn("term", F.col("term").cast("string"))
 
 
-def _merged_batch(rows: list[tuple]) -> pa.RecordBatch:
-    schema = pa.schema([_POSTING.field(c) for c in ("lang", "term", "source", "n", "docs")])
-    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+def _totals(postings: pa.RecordBatch, at: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    lang, term = (postings.column(c).take(pa.array(at)) for c in range(2))
+    return pa.RecordBatch.from_arrays([lang, term, pa.nulls(len(at), pa.string()), *map(pa.array, sums)], schema=_MERGED)
 
 
 def share(n: str, total: str, kept: str) -> Column:
