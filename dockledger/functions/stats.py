@@ -8,8 +8,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Width of the value bands used by group_quantiles: bands per unit of ln(1+|x|).
+from dockledger.session import cut_lineage
+
+# Value bands of the first pass of group_quantiles: bands per unit of ln|x|. The offset
+# keeps the numbers of positive values above 0 and of negative ones below, down to 1e-308.
 BANDS_PER_LOG = 512
+BAND_OFFSET = 400_000
+# Later passes cut an interval of values into so many parts, until it has few rows.
+PARTS = 1024
+INTERVAL_ROWS = 20_000
 
 
 def scalars(df: DataFrame, **aggregates: Column) -> Column:
@@ -45,38 +52,67 @@ def long_values(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> D
     return exploded.filter("value IS NOT NULL AND NOT isnan(value) AND abs(value) < DOUBLE('Infinity')")
 
 
+def _holding_ranks(counted: DataFrame, group: Sequence[str], within: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Of counted value intervals (``lo``, ``hi``, ``n``, ``skip`` rows before the first
+    of them and, but for the first pass, ``total``) those that hold a wanted rank."""
+    part = Window.partitionBy(*group, *within)
+    placed = counted.withColumn("upto", F.col("skip") + F.sum("n").over(part.orderBy("lo")))
+    if "total" not in counted.columns:
+        placed = placed.withColumn("total", F.sum("n").over(part))
+    ranks = f"flatten(transform(array({', '.join(f'{p}D' for p in probs)}), p -> array(floor(p * (total - 1)), ceil(p * (total - 1)))))"
+    kept = placed.filter(f"exists({ranks}, r -> r >= upto - n AND r < upto)")
+    return kept.select(*group, "lo", "hi", "n", (F.col("upto") - F.col("n")).alias("before"), "total")
+
+
+def _in_intervals(long: DataFrame, group: Sequence[str], intervals: DataFrame) -> DataFrame:
+    """The values that lie in an interval of their group, with it as ``at``. A group has
+    at most two intervals for each wanted probability, and they do not meet."""
+    own = intervals.groupBy(*group).agg(F.collect_list(F.struct("lo", "hi", "before", "total")).alias("own"))
+    met = join_back(long, own, group, how="inner")
+    return met.withColumn("at", F.expr("get(filter(own, i -> value >= i.lo AND value <= i.hi), 0)")).filter("at IS NOT NULL").drop("own")
+
+
+def quantile_intervals(long: DataFrame, group: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Value intervals that hold the wanted ranks of each group: ``lo``, ``hi``, ``n`` rows,
+    ``before`` rows below, ``total`` rows. Each is a single value or has at most
+    ``INTERVAL_ROWS`` rows.
+
+    A selection by digits: a pass counts rows by (group, digit), which combines before
+    the shuffle, and only the digits that hold a wanted rank are cut further. The first
+    digit is a band of ln|x|; within a band the next ones are equal parts of what its
+    values span, so doubles are told apart after a few passes."""
+    band = F.expr(f"CASE WHEN value = 0 THEN 0 ELSE CAST(signum(value) AS BIGINT) * ({BAND_OFFSET} + floor(ln(abs(value)) * {BANDS_PER_LOG})) END")
+    ends = [F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")]
+    bands = long.groupBy(*group, band.alias("band")).agg(*ends).drop("band").withColumn("skip", F.lit(0).cast("long"))
+    chosen = cut_lineage(_holding_ranks(bands, group, [], probs))
+    wide = (F.col("lo") < F.col("hi")) & (F.col("n") > INTERVAL_ROWS)
+    while not chosen.filter(wide).isEmpty():
+        rows = _in_intervals(long, group, chosen.filter(wide))
+        part = F.least(F.floor((F.col("value") - F.col("at.lo")) / (F.col("at.hi") - F.col("at.lo")) * PARTS), F.lit(PARTS - 1))
+        parts = rows.groupBy(*group, F.col("at.lo").alias("from"), F.col("at.before").alias("skip"), F.col("at.total").alias("total"), part.alias("part")).agg(*ends)
+        chosen = cut_lineage(chosen.filter(~wide).unionByName(_holding_ranks(parts.drop("part"), group, ["from"], probs)))
+    return chosen
+
+
 def group_quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
     """Exact linear-interpolated quantiles of raw columns per group.
 
     ``wanted`` maps an output name to ``(column, probability)``. Meant for groups
-    of any size: values are first counted per (group, value), which spreads a hot
-    group over all tasks; the counts per value band then tell in which band each
-    wanted rank lies, and only those bands are put in order. Nulls are skipped.
+    of any size and values of any distribution: the needed columns are written once,
+    ``quantile_intervals`` narrows down where the wanted ranks lie, and only the few
+    rows there are put in order. Nulls are skipped.
     """
     group = [*keys, "metric"]
     columns = sorted({c for c, _ in wanted.values()})
     probs = sorted({float(p) for _, p in wanted.values()})
-
-    counts = (
-        long_values(df, keys, columns)
-        .groupBy(*group, "value")
-        .agg(F.expr("count(1) AS n"))
-        .withColumn("band", F.expr(f"CAST(signum(value) AS BIGINT) * floor(log1p(abs(value)) * {BANDS_PER_LOG})"))
-    )
-    whole = Window.partitionBy(*group)
-    bands = (
-        counts.groupBy(*group, "band")
-        .agg(F.expr("sum(n) AS band_n"))
-        .withColumns({"upto": F.sum("band_n").over(whole.orderBy("band")), "total": F.sum("band_n").over(whole)})
-    )
-    ranks = f"flatten(transform(array({', '.join(f'{p}D' for p in probs)}), p -> array(floor(p * (total - 1)), ceil(p * (total - 1)))))"
-    chosen = bands.filter(f"exists({ranks}, r -> r >= upto - band_n AND r < upto)").selectExpr(
-        *[f"`{g}`" for g in group], "band", "upto - band_n AS before", "total"
-    )
-    in_band = Window.partitionBy(*group, "band").orderBy("value")
-    ordered = join_back(counts, chosen, [*group, "band"], how="inner").withColumn(
-        "last", F.col("before") + F.sum("n").over(in_band)
-    )
+    long = long_values(cut_lineage(df.select(*dict.fromkeys([*keys, *columns]))), keys, columns)
+    intervals = quantile_intervals(long, group, probs)
+
+    single = intervals.filter("lo = hi").select(*group, F.col("lo").alias("value"), "n", (F.col("before") + F.col("n")).alias("last"), "total")
+    counts = _in_intervals(long, group, intervals.filter("lo < hi")).groupBy(*group, "at", "value").agg(F.count(F.lit(1)).alias("n"))
+    within = Window.partitionBy(*group, "at.lo").orderBy("value")
+    several = counts.select(*group, "value", "n", (F.col("at.before") + F.sum("n").over(within)).alias("last"), F.col("at.total").alias("total"))
+    ordered = single.unionByName(several)
 
     # what the value adds to the quantile: 1, or the share of the lower or upper neighbour
     weights = {}

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from dockledger.functions import stats
 from dockledger.functions.stats import average_rank, describe_columns, group_quantiles, group_transform
 
 
@@ -34,6 +35,29 @@ def test_group_quantiles_match_pandas(spark, seed):
     assert "empty" not in got
 
 
+def test_crowded_values_are_cut_until_they_are_few(spark, monkeypatch):
+    """One band of the first pass holds a whole group: around 1e9, below 0.001, powers
+    down to 1e-300, one value repeated, negative ones."""
+    monkeypatch.setattr(stats, "INTERVAL_ROWS", 500)
+    n = 60_000
+    i = F.col("id")
+    made = {
+        "far": 1e9 + (i * 7919 % n) / 1000.0,
+        "near": (i * 7919 % n) / (n * 1000.0),
+        "powers": F.pow(F.lit(10.0), -(i % 300).cast("double")),
+        "same": F.lit(3.25),
+        "below": -1e-7 * (1 + (i * 31 % n)),
+    }
+    df = spark.range(n).select(F.lit("g").alias("k"), *[c.cast("double").alias(name) for name, c in made.items()])
+    wanted = {f"{c}_{int(p * 1000)}": (c, p) for c in made for p in (0.001, 0.25, 0.5, 0.9)}
+    row = group_quantiles(df, ["k"], wanted).first()
+    pdf = df.toPandas()
+    for name, (c, p) in wanted.items():
+        assert row[name] == pytest.approx(pdf[c].quantile(p), rel=1e-12), name
+    long = stats.long_values(df, ["k"], list(made))
+    assert stats.quantile_intervals(long, ["k", "metric"], [0.5]).filter("lo < hi AND n > 500").count() == 0
+
+
 def test_global_quantiles_ignore_nan_and_infinity(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (float("nan"),), (float("inf"),), (None,)], "x double")
     assert group_quantiles(df, [], {"m": ("x", 0.5)}).first()["m"] == 2.0
