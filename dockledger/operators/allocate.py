@@ -1,15 +1,15 @@
 """Spreading route charges and weekly surcharges over stops.
 
-Charge rows are reduced to one row per stop and per week-stop first, then to one
-row per route and per week; the results are joined back to the rows. A route or
-week that holds a large part of all rows is therefore combined before the
-shuffle, and its rows can be split over tasks in the joins back. The two reduced
-tables are written once, because several of the following steps read them; charge
-rows are read three times (once per reduced table, once for the result).
-
-"First row" means first in load order over all charge types. Spark has no row
-order, so ``order_cols`` names columns that order the rows and identify each row
-within its stop.
+"First row" means first in load order over all charge types. Spark has no row order, so
+``order_cols`` names columns that order the rows. The charge rows are numbered and
+written once. Narrow rows (number, order, keys, charge) are range-partitioned by the
+order and numbered again, so that the place of a row in load order is one whole number,
+unique even among rows that are equal in every column. "First row of a stop" is then the
+least number of the stop; with the kind of the charge in its lowest bits it also says
+what the first row charges. Such minima and sums are hash aggregates that combine before
+the shuffle: a route or week that holds a large part of all rows is one row per task.
+What they yield is joined to the narrow rows, whose hot keys can be split, and those
+once to the charge rows.
 """
 
 from __future__ import annotations
@@ -31,14 +31,14 @@ def _charge(*types: str) -> Column:
     return F.col("charge_type").isin(*types)
 
 
-def _order(order_cols: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c) for c in order_cols])
-
-
 def _with_keys(events: DataFrame) -> DataFrame:
     return events if "stop_key" in events.columns else route_stop_keys(events)
 
 
+def with_week_key(events: DataFrame) -> DataFrame:
+    return events.withColumn("week_key", fx.week_key("dc", "delivered_at"))
+
+
 def _in_scope(scope: str, types: Sequence[str]) -> Column:
     """Rows that compete for "first": all of them, or only the eligible charges."""
     if scope not in ("all", "eligible"):
@@ -46,82 +46,90 @@ def _in_scope(scope: str, types: Sequence[str]) -> Column:
     return F.lit(True) if scope == "all" else _charge(*types)
 
 
-def sequence_stats(events: DataFrame, order_cols: Sequence[str], scope: str = "all") -> DataFrame:
-    """One row per (route, raw sequence) with everything C1-C4 and C9 need.
+# What the lowest three bits of a place say about the row's charge.
+KINDS = {"FM": 1, "OV": 2}
 
-    The stop key is a function of these two, so the stop, route and month levels
-    are all built from this reduced table.
-    """
-    head = F.struct(_order(order_cols).alias("ord"), F.col("charge_type"), F.col("fill_dc"), F.col("year"), F.col("month"))
-    stats = events.groupBy("route_key", "delivery_seq").agg(
-        F.min(F.when(_in_scope(scope, ("FM",)), head)).alias("head"),
-        F.min(F.when(~_charge("TS") & _in_scope(scope, DELIVERY_CHARGES), head)).alias("delivery_head"),
-        F.sum(F.when(_charge("RC"), fx.units("total_rate"))).alias("rc_units"),
-    )
-    return stats.withColumn("stop_key", stop_key())
 
+def _is_kind(place: str, *types: str) -> Column:
+    return fx.is_true(F.pmod(F.col(place), F.lit(8)).isin(*[KINDS[t] for t in types]))
 
-def _delivers(head: str) -> Column:
-    seq = fx.numeric_text("delivery_seq")
-    return fx.is_true(F.col(head)["charge_type"].isin(*DELIVERY_CHARGES) & (seq > 0))
 
+def numbered(events: DataFrame) -> DataFrame:
+    """Charge rows with ``__row``, written once so that the numbers stay."""
+    return cut_lineage(events.withColumn("__row", F.monotonically_increasing_id()))
 
-def _stop_level(seq_stats: DataFrame) -> DataFrame:
-    return seq_stats.groupBy("route_key", "stop_key").agg(
-        F.min("head").alias("head"),
-        F.sum("rc_units").alias("rc_units"),
-        F.sum(F.when(_delivers("delivery_head"), 1).otherwise(0)).alias("deliveries"),
+
+def placed(rows: DataFrame, order_cols: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Narrow rows with ``__place``, ascending in load order."""
+    narrow = rows.select("__row", *dict.fromkeys(["charge_type", *order_cols, *columns]))
+    ordered = narrow.repartitionByRange(*order_cols, "__row").sortWithinPartitions(*order_cols, "__row")
+    kind = F.coalesce(*[F.when(_charge(t), F.lit(k)) for t, k in KINDS.items()], F.lit(0))
+    place = F.monotonically_increasing_id() * 8 + kind
+    # order columns have served unless they are keys as well
+    kept = [c for c in narrow.columns if c in (*columns, "__row", "charge_type")]
+    return cut_lineage(ordered.withColumn("__place", place).select(*kept, "__place"))
+
+
+ROUTE_COLUMNS = ["route_key", "delivery_seq", "stop_key", "fill_dc", "year", "month", "total_rate"]
+WEEK_COLUMNS = ["week_key", "stop_id", "topside_cost"]
+
+
+def sequence_stats(narrow: DataFrame, scope: str = "all") -> DataFrame:
+    """One row per (route, raw sequence) with everything C1-C4 and C9 need.
+
+    The stop key is a function of these two, so the stop and route levels are built from
+    this reduced table.
+    """
+    place = F.col("__place")
+    stats = narrow.groupBy("route_key", "delivery_seq").agg(
+        F.min(F.when(_in_scope(scope, ("FM",)), place)).alias("head"),
+        F.min(F.when(~_charge("TS") & _in_scope(scope, DELIVERY_CHARGES), place)).alias("delivery_head"),
+        F.sum(F.when(_charge("RC"), fx.units("total_rate"))).alias("rc_units"),
     )
+    delivers = fx.is_true(_is_kind("delivery_head", *DELIVERY_CHARGES) & (fx.numeric_text("delivery_seq") > 0))
+    return stats.withColumns({"stop_key": stop_key(), "delivery_head": F.when(delivers, F.col("delivery_head"))})
 
 
-def _route_level(stops: DataFrame) -> DataFrame:
-    first_is_fm = fx.is_true(F.col("head")["charge_type"] == "FM")
-    return (
+def route_flags(narrow: DataFrame, scope: str = "all") -> DataFrame:
+    """C1-C3 and the stop counts of C9 for each ``__row``."""
+    sequences = cut_lineage(sequence_stats(narrow, scope))
+    stops = sequences.groupBy("route_key", "stop_key").agg(
+        F.min("head").alias("head"), F.sum("rc_units").alias("rc_units"), F.count("delivery_head").alias("deliveries")
+    )
+    routes = (
         stops.filter(F.col("route_key").isNotNull())
         .groupBy("route_key")
         .agg(
             (F.coalesce(F.sum("rc_units"), F.lit(0)) / F.lit(fx.MONEY_UNITS)).alias("rc_total"),
-            F.sum(F.when(first_is_fm, 1).otherwise(0)).alias("fm_count"),
+            F.count_if(_is_kind("head", "FM")).alias("fm_count"),
             F.sum("deliveries").alias("route_stop_count"),
         )
     )
+    per_stop = join_back(stops.select("route_key", "stop_key", F.col("head").alias("stop_head")), routes, ["route_key"])
+    # rows without a service day share the null route; their stop is still ordered
+    per_sequence = join_back(sequences.select("route_key", "delivery_seq", "stop_key", "delivery_head"), per_stop.drop("route_key"), ["stop_key"]).drop("stop_key")
+    place = F.col("__place")
+    rows = join_back(narrow.select("__row", "__place", "route_key", "delivery_seq", "fill_dc", "year", "month"), per_sequence, ["route_key", "delivery_seq"])
+    flagged = cut_lineage(
+        rows.select(
+            "__row", "fill_dc", "year", "month", "route_stop_count",
+            F.coalesce("rc_total", F.lit(0.0)).alias("rc_total"),
+            F.coalesce("fm_count", F.lit(0)).alias("fm_count"),
+            fx.is_true(place == F.col("stop_head")).cast("int").alias("first_of_stop"),
+            fx.is_true(place == F.col("delivery_head")).cast("int").alias("delivery_stop"),
+        )
+    )
+    month = ["fill_dc", "year", "month"]
+    months = flagged.filter("delivery_stop = 1").dropna(subset=month).groupBy(*month).agg(F.count(F.lit(1)).alias("fill_dc_stop_count"))
+    known = F.col("fill_dc").isNotNull() & F.col("year").isNotNull()
+    joined = join_back(flagged, months, month, null_safe=False)
+    return joined.withColumn("fill_dc_stop_count", F.when(known, F.coalesce("fill_dc_stop_count", F.lit(0)))).drop(*month)
 
 
 def flag_stops(events: DataFrame, order_cols: Sequence[str], scope: str = "all") -> DataFrame:
-    """C1-C3 and the stop counts of C9 on each row, with one join back."""
-    events = _with_keys(events)
-    seq_stats = cut_lineage(sequence_stats(events, order_cols, scope))
-    stops = _stop_level(seq_stats)
-    routes = _route_level(stops)
-    months = (
-        seq_stats.filter(_delivers("delivery_head"))
-        .select(*[F.col("delivery_head")[c].alias(c) for c in ("fill_dc", "year", "month")])
-        .dropna()
-        .groupBy("fill_dc", "year", "month")
-        .agg(F.count(F.lit(1)).alias("fill_dc_stop_count"))
-    )
-    per_stop = join_back(stops.select("route_key", "stop_key", F.col("head")["ord"].alias("stop_first")), routes, ["route_key"])
-    per_seq = join_back(
-        seq_stats.select("route_key", "delivery_seq", "stop_key", F.col("delivery_head")["ord"].alias("seq_first")),
-        per_stop.drop("route_key"),
-        ["stop_key"],
-    ).drop("stop_key")
-    # rows without a service day share the null route; their stop is still ordered
-    rows = join_back(events, per_seq, ["route_key", "delivery_seq"])
-    order = _order(order_cols)
-    seq = fx.numeric_text("delivery_seq")
-    delivers = fx.is_true(_charge(*DELIVERY_CHARGES) & (seq > 0) & (order == F.col("seq_first")))
-    rows = rows.withColumns(
-        {
-            "first_of_stop": fx.is_true(order == F.col("stop_first")).cast("int"),
-            "delivery_stop": delivers.cast("int"),
-            "rc_total": F.coalesce("rc_total", F.lit(0.0)),
-            "fm_count": F.coalesce("fm_count", F.lit(0)),
-        }
-    ).drop("stop_first", "seq_first")
-    joined = join_back(rows, months, ["fill_dc", "year", "month"], null_safe=False)
-    known = F.col("fill_dc").isNotNull() & F.col("year").isNotNull()
-    return joined.withColumn("fill_dc_stop_count", F.when(known, F.coalesce("fill_dc_stop_count", F.lit(0))))
+    """C1-C3 and the stop counts of C9 on each row."""
+    rows = numbered(_with_keys(events))
+    return join_back(rows, route_flags(placed(rows, order_cols, ROUTE_COLUMNS), scope), ["__row"], null_safe=False).drop("__row")
 
 
 def route_cost(rate: str = "total_rate", overflow: str = "leg_total_cost") -> Column:
@@ -142,18 +150,22 @@ def route_cost(rate: str = "total_rate", overflow: str = "leg_total_cost") -> Co
 COST_BASES = {"rate": ("total_rate", "leg_total_cost"), "base": ("base_cost", "leg_misc_cost")}
 
 
+def _on_basis(events: DataFrame, basis: str) -> DataFrame:
+    return events if basis == "rate" else events.withColumn("total_rate", F.col(COST_BASES[basis][0]))
+
+
 def cost_per_stop(events: DataFrame, order_cols: Sequence[str], basis: str = "rate", scope: str = "all") -> DataFrame:
     """C1-C4 (and C10 with ``basis='base'``): rows with ``cost_per_stop``."""
-    rate, overflow = COST_BASES[basis]
-    if basis != "rate":
-        events = events.withColumn("total_rate", F.col(rate))
-    return flag_stops(events, order_cols, scope).withColumn("cost_per_stop", route_cost("total_rate", overflow))
+    flagged = flag_stops(_on_basis(events, basis), order_cols, scope)
+    return flagged.withColumn("cost_per_stop", route_cost("total_rate", COST_BASES[basis][1]))
 
 
-def week_stats(events: DataFrame, order_cols: Sequence[str], scope: str = "all") -> tuple[DataFrame, DataFrame]:
-    """Surcharge tables per (week, stop) and per week."""
+def week_stats(events: DataFrame, scope: str = "all", first: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Surcharge tables per (week, stop) and per week. ``first`` is the column whose
+    minimum tells the first row of a week and stop."""
+    extra = [] if first is None else [F.min(F.when(_in_scope(scope, DELIVERY_CHARGES), first)).alias("week_first")]
     stops = cut_lineage(events.groupBy("week_key", "stop_id").agg(
-        F.min(F.when(_in_scope(scope, DELIVERY_CHARGES), _order(order_cols))).alias("week_first"),
+        *extra,
         F.max(_charge(*DELIVERY_CHARGES)).alias("has_delivery"),
         F.sum(F.when(_charge("TS"), fx.units("topside_cost"))).alias("ts_units"),
     ))
@@ -168,32 +180,34 @@ def week_stats(events: DataFrame, order_cols: Sequence[str], scope: str = "all")
     return stops, weeks
 
 
-def with_week_key(events: DataFrame) -> DataFrame:
-    return events.withColumn("week_key", fx.week_key("dc", "delivered_at"))
+def week_flags(narrow: DataFrame, scope: str = "all") -> DataFrame:
+    """C5-C7 for each ``__row``."""
+    stops, weeks = week_stats(narrow, scope, F.col("__place"))
+    per_stop = join_back(stops.select("week_key", "stop_id", "week_first"), weeks, ["week_key"])
+    rows = join_back(narrow.select("__row", "__place", "week_key", "stop_id"), per_stop, ["week_key", "stop_id"])
+    first = fx.is_true(_is_kind("__place", *DELIVERY_CHARGES) & (F.col("__place") == F.col("week_first")))
+    share = F.when(F.col("topside_stops") > 0, F.col("topside_total") / F.col("topside_stops")).otherwise(0.0)
+    return rows.select(
+        "__row",
+        first.cast("int").alias("first_of_week"),
+        F.coalesce("topside_total", F.lit(0.0)).alias("topside_total"),
+        F.coalesce("topside_stops", F.lit(0)).alias("topside_stops"),
+        F.when(first, share).otherwise(0.0).alias("topside_share"),
+    )
 
 
-def topside_share(
-    events: DataFrame, order_cols: Sequence[str], scope: str = "all", charges: DataFrame | None = None
-) -> DataFrame:
-    """Each row with its share of the week's surcharge.
+def topside_share(events: DataFrame, order_cols: Sequence[str], scope: str = "all") -> DataFrame:
+    """Each row with its share of the week's surcharge."""
+    rows = numbered(with_week_key(events))
+    return join_back(rows, week_flags(placed(rows, order_cols, WEEK_COLUMNS), scope), ["__row"], null_safe=False).drop("__row")
 
-    ``charges`` is the table the weekly totals come from; give the plain charge
-    rows when ``events`` already went through joins, to keep those out of it.
-    """
-    events = with_week_key(events)
-    stops, weeks = week_stats(events if charges is None else with_week_key(charges), order_cols, scope)
-    per_stop = join_back(stops.select("week_key", "stop_id", "week_first"), weeks, ["week_key"])
-    rows = join_back(events, per_stop, ["week_key", "stop_id"])
-    first = fx.is_true(_charge(*DELIVERY_CHARGES) & (_order(order_cols) == F.col("week_first")))
-    share = F.when(F.col("topside_stops") > 0, F.col("topside_total") / F.col("topside_stops")).otherwise(0.0)
-    return rows.withColumns(
-        {
-            "first_of_week": first.cast("int"),
-            "topside_total": F.coalesce("topside_total", F.lit(0.0)),
-            "topside_stops": F.coalesce("topside_stops", F.lit(0)),
-            "topside_share": F.when(first, share).otherwise(0.0),
-        }
-    ).drop("week_first")
+
+def flag_all(events: DataFrame, order_cols: Sequence[str], scope: str = "all") -> DataFrame:
+    """``flag_stops`` and ``topside_share`` in one: one numbering, one join back."""
+    rows = numbered(with_week_key(_with_keys(events)))
+    narrow = placed(rows, order_cols, ROUTE_COLUMNS + WEEK_COLUMNS)
+    flags = join_back(route_flags(narrow, scope), week_flags(narrow, scope), ["__row"], null_safe=False)
+    return join_back(rows, flags, ["__row"], null_safe=False).drop("__row")
 
 
 def drop_topside_rows(events: DataFrame) -> DataFrame:
@@ -203,14 +217,14 @@ def drop_topside_rows(events: DataFrame) -> DataFrame:
 
 def allocate_costs(events: DataFrame, order_cols: Sequence[str], basis: str = "rate", scope: str = "all") -> DataFrame:
     """The whole allocation: route charges, weekly surcharges, stop counts."""
-    rows = topside_share(cost_per_stop(events, order_cols, basis, scope), order_cols, scope, charges=events)
-    rows = rows.withColumn("cost_per_stop", F.col("cost_per_stop") + F.col("topside_share"))
-    return drop_topside_rows(rows)
+    rows = flag_all(_on_basis(events, basis), order_cols, scope)
+    cost = route_cost("total_rate", COST_BASES[basis][1]) + F.col("topside_share")
+    return drop_topside_rows(rows.withColumn("cost_per_stop", cost))
 
 
 def allocation_audit(events: DataFrame, order_cols: Sequence[str], scope: str = "all") -> DataFrame:
     """C11: charged against allocated amounts per route and per week."""
-    rows = topside_share(flag_stops(events, order_cols, scope), order_cols, scope, charges=events)
+    rows = flag_all(events, order_cols, scope)
     spread = (F.col("rc_total") > 0) & (F.col("fm_count") > 0) & _charge("FM") & (F.col("first_of_stop") == 1)
     spread_week = F.col("first_of_week") == 1
     parts = [

@@ -374,12 +374,12 @@ def cost_per_stop(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("topside_total", "SELECT week_key, topside_total FROM weeks", "week_key", "topside_total")
 def topside_total(spark: SparkSession, sf: str) -> DataFrame:
-    return allocate.week_stats(allocate.with_week_key(reg_events(spark, sf)), b.ORDER_COLS)[1]
+    return allocate.week_stats(allocate.with_week_key(reg_events(spark, sf)))[1]
 
 
 @query("topside_stop_count", "SELECT week_key, topside_stops FROM weeks", "week_key topside_stops")
 def topside_stop_count(spark: SparkSession, sf: str) -> DataFrame:
-    return allocate.week_stats(allocate.with_week_key(reg_events(spark, sf)), b.ORDER_COLS)[1]
+    return allocate.week_stats(allocate.with_week_key(reg_events(spark, sf)))[1]
 
 
 @query("topside_share", "SELECT * FROM shared", KEYS + " first_of_week", "topside_share")

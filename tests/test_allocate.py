@@ -123,3 +123,20 @@ def test_missing_route_or_dock_still_spreads_its_charge(spark):
     assert (out[1], out[2], out[3], out[4]) == (25.0, 25.0, 0.0, 10.0)
     audit = {r["group_key"]: (r["charged"], r["allocated"], r["lost"]) for r in allocate.allocation_audit(df, ["n"]).filter("level = 'route'").collect()}
     assert audit[None] == (12.0, 0.0, 12.0) and audit["nan|D1|20260504"] == (30.0, 30.0, 0.0)
+
+
+def test_repeated_rows_share_the_charge_once(spark):
+    """Two rows equal in every column: one of them is the first."""
+    data = [(1, "A", MON, "1", "FM", "s1", 10.0, None)] * 2 + [(2, "A", MON, "0", "RC", None, 30.0, None), (3, "A", MON, None, "TS", None, 0.0, 8.0)]
+    df = rows(spark, data)
+    out = sorted(r["cost_per_stop"] for r in allocate.allocate_costs(df, ["n"]).filter("n = 1").collect())
+    assert out == [0.0, 48.0]
+    audit = {r["level"]: (r["charged"], r["allocated"]) for r in allocate.allocation_audit(df, ["n"]).filter("charged > 0").collect()}
+    assert audit == {"route": (30.0, 30.0), "week": (8.0, 8.0)}
+
+
+def test_charge_rows_are_hashed_not_sorted(events):
+    narrow = allocate.placed(allocate.numbered(allocate.with_week_key(allocate._with_keys(events))), ["n"], allocate.ROUTE_COLUMNS + allocate.WEEK_COLUMNS)
+    for stats in (allocate.sequence_stats(narrow), narrow.groupBy("week_key", "stop_id").agg(F.min("__place"), F.max(F.col("charge_type") == "FM"))):
+        plan = stats._jdf.queryExecution().sparkPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
