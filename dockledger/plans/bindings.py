@@ -7,7 +7,7 @@ as SQL for the cross-check.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ORDER_COLS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
@@ -85,10 +85,32 @@ def _order_customers(spark: SparkSession, sf: str) -> DataFrame:
     return orders.join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
 
 
-def job_events(spark: SparkSession, sf: str) -> DataFrame:
+def dirty_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Charge rows as feeds deliver them: rows without route, dock, day, stop or sequence,
+    rates that are no number, and rows that come twice."""
+    key = F.col("l_orderkey")
+
+    def lost(every: int, *columns: str) -> dict[str, Column]:
+        return {c: F.when(key % every != 0, F.col(c)) for c in columns}
+
+    rows = delivery_events(spark, sf).withColumns(
+        {
+            **lost(71, "route_id"),
+            **lost(73, "dc", "xdock"),
+            **lost(79, "service_date", "delivered_at", "year", "month"),
+            **lost(67, "delivery_seq"),
+            **lost(61, "stop_id"),
+            "total_rate": F.when(key % 83 == 0, float("nan")).when(key % 89 == 0, None).otherwise(F.col("total_rate")),
+        }
+    )
+    return rows.unionByName(rows.filter(key % 5 == 0))
+
+
+def job_events(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
     """Charge rows with the compound job key instead of customer columns."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    joined = delivery_events(spark, sf).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    events = delivery_events(spark, sf) if events is None else events
+    joined = events.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     job = F.concat_ws(
         "-", "fill_dc", F.concat(F.lower("route_id"), F.lit(" ")), F.col("delivery_seq").cast("string"),
         F.col("o_custkey").cast("string"), F.date_format("delivered_at", "yyyy-MM-dd"),

@@ -480,6 +480,65 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
 FROM ln"""
 
 
+# ---- the same tables from other charge rows ------------------------------------
+
+
+def again(prefix: str, names: str, **swapped: str) -> None:
+    """Repeats tables under ``prefix`` + name, each reading the repeated ones, with tables
+    of other names swapped."""
+    new = {n: prefix + n for n in names.split()} | swapped
+    for n in names.split():
+        text = CTES[n]
+        for old, name in new.items():
+            text = re.sub(rf"((?:FROM|JOIN|,)\s+){old}\b(?!\s*\()", rf"\g<1>{name}", text)
+            text = re.sub(rf"(?<![\w.]){old}\.", f"{name}.", text)
+        CTES[prefix + n] = text
+
+
+# All of the dataflow, from charge rows with distances and job keys.
+again("w_", "jobs job_parts job_cust", ev="evd")
+again("w_", "reg flag routed costed weeks shared alloc norm0 norm", ev="w_job_cust")
+# a charge row met by two customers is told apart by their names
+CTES["w_flag"] = CTES["w_flag"].replace(ORD, f"{ORD}, customer_name")
+CTES["w_slim"] = """
+SELECT n.*, b.benchmark_conservative, b.benchmark_aggressive, COALESCE(cost_per_stop, 0) > 0 AS paid
+FROM w_norm n LEFT JOIN bench b ON n.dc = b.distribution_center AND n.year = b.year AND n.month = b.month"""
+again("w_", "mk band sens conf cls noted sc", slim="w_slim")
+
+# Dirty charge rows: keys of rows without route or dock, and no key without a day.
+CTES["dirty0"] = """
+SELECT * REPLACE (
+  CASE WHEN l_orderkey % 71 <> 0 THEN route_id END AS route_id, CASE WHEN l_orderkey % 73 <> 0 THEN dc END AS dc,
+  CASE WHEN l_orderkey % 73 <> 0 THEN xdock END AS xdock, CASE WHEN l_orderkey % 79 <> 0 THEN service_date END AS service_date,
+  CASE WHEN l_orderkey % 79 <> 0 THEN delivered_at END AS delivered_at, CASE WHEN l_orderkey % 79 <> 0 THEN year END AS year,
+  CASE WHEN l_orderkey % 79 <> 0 THEN month END AS month, CASE WHEN l_orderkey % 67 <> 0 THEN delivery_seq END AS delivery_seq,
+  CASE WHEN l_orderkey % 61 <> 0 THEN stop_id END AS stop_id,
+  CASE WHEN l_orderkey % 83 = 0 OR l_orderkey % 89 = 0 THEN NULL ELSE total_rate END AS total_rate) FROM ev"""
+CTES["dirty"] = """
+SELECT *, row_number() OVER () AS copy FROM (SELECT * FROM dirty0 UNION ALL SELECT * FROM dirty0 WHERE l_orderkey % 5 = 0) t"""
+CTES["d_reg"] = """
+SELECT *, route_key || '|' || CASE WHEN COALESCE(delivery_seq, 0) = 0 THEN 'RETURN' ELSE CAST(delivery_seq AS VARCHAR) END AS stop_key
+FROM (SELECT *, COALESCE(route_id, 'nan') || '|' || COALESCE(dc, 'nan') || '|' || STRFTIME(service_date, '%Y%m%d') AS route_key,
+  dc || '|' || COALESCE(STRFTIME(DATE_TRUNC('week', delivered_at), '%Y-%m-%d'), 'NaT') AS week_key
+  FROM dirty WHERE delivery_type = 'REG' AND charge_type IN ('FM', 'RC', 'OV', 'TS')) t"""
+again("d_", "flag", reg="d_reg")
+# rows that are equal in all columns have one order in both windows
+CTES["d_flag"] = CTES["d_flag"].replace(ORD, f"{ORD}, copy")
+again("d0_", "routed", flag="d_flag")
+CTES["d_routed"] = """
+SELECT * REPLACE (CASE WHEN route_key IS NULL THEN 0 ELSE rc_total END AS rc_total, CASE WHEN route_key IS NULL THEN 0 ELSE fm_count END AS fm_count,
+  CASE WHEN route_key IS NOT NULL THEN route_stop_count END AS route_stop_count,
+  CASE WHEN fill_dc IS NOT NULL AND year IS NOT NULL THEN fill_dc_stop_count END AS fill_dc_stop_count) FROM d0_routed"""
+again("d_", "costed weeks")
+CTES["d_costed"] = CTES["d_costed"].replace("FROM routed", "FROM d_routed")
+CTES["d_weeks"] = CTES["d_weeks"].replace("FROM reg", "FROM d_reg WHERE dc IS NOT NULL")
+CTES["d_shared"] = """
+SELECT c.*, COALESCE(w.topside_total, 0) AS topside_total, COALESCE(w.topside_stops, 0) AS topside_stops,
+  CASE WHEN first_of_week = 1 AND w.topside_stops > 0 THEN w.topside_total / w.topside_stops ELSE 0 END AS topside_share
+FROM d_costed c LEFT JOIN d_weeks w ON c.week_key = w.week_key"""
+again("d_", "alloc", shared="d_shared")
+
+
 def with_tables(body: str) -> str:
     """``body`` preceded by the tables it uses, directly or through others."""
     used: set[str] = set()

@@ -70,6 +70,25 @@ def scorecard(
     return sc.score_markets(sc.benchmark_bands(markets, thresholds), keys, thresholds)
 
 
+def scorecard_from_charges(
+    charges: DataFrame,
+    customers: DataFrame,
+    geography_table: DataFrame,
+    shipment_table: DataFrame,
+    density_table: DataFrame,
+    benchmarks: DataFrame,
+    order_cols: Sequence[str],
+    keys: Sequence[str],
+    thresholds: sc.Thresholds = sc.Thresholds(),
+    drivers: Sequence[str] = rollups.DRIVERS,
+) -> DataFrame:
+    """The whole dataflow: charge rows with their job keys -> customers -> cost per stop ->
+    normalized cost -> benchmark -> market groups -> scored markets."""
+    rows = allocated_costs(lookups.join_customers(charges, customers), order_cols)
+    rows = normalized_rows(rows, geography_table, shipment_table, density_table)
+    return scorecard(lookups.join_benchmark(rows, benchmarks), keys, thresholds, drivers)
+
+
 def modeled_scorecard(
     rows: DataFrame,
     keys: Sequence[str],
