@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dockledger.functions import columns as fx
@@ -20,6 +21,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Rows drawn per tree: part of the method, not a cap on what is scored.
 SAMPLE_ROWS = 256
 MIN_ROWS, MIN_FEATURES = 20, 3
+# What an unusual market shows in.
 ANOMALY_FEATURES = [
     "actual_median_cps",
     "pred_p50",
@@ -42,6 +44,13 @@ def expected_depth(n: np.ndarray) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, depth))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers spread evenly (the SplitMix64 finalizer)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def _grow(points: np.ndarray, rng: np.random.Generator) -> dict[str, list]:
     """Random splits until points are alone, equal or deep enough."""
     nodes: dict[str, list] = {"feature": [], "threshold": [], "left": [], "right": [], "size": []}
@@ -86,32 +95,40 @@ def isolation_score(
 ) -> DataFrame:
     """``anomaly_score`` in (0, 1), higher for rows that are easy to isolate.
 
-    Each tree draws its rows by hash, trees are grown in parallel, and the forest
-    (at most ``trees * 511`` nodes) is sent to the tasks that score the rows. With
-    fewer than 20 rows or 3 features the score is null.
+    Each tree draws the rows with the smallest of its own hashes: every task reads its
+    rows once and offers, for all trees, those below a threshold. Trees are grown in
+    parallel, and the forest (at most ``trees * 511`` nodes) is sent to the tasks that
+    score the rows. With fewer than 20 rows or 3 features the score is null.
     """
     present = [c for c in features if c in df.columns]
     if len(present) < MIN_FEATURES:
         return df.withColumn("anomaly_score", F.lit(None).cast("double"))
     rows = _filled(df, present)
     total = rows.agg(F.count(F.lit(1))).scalar()
-    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    draw = F.xxhash64(*[F.col(k) for k in keys], F.col("tree"), F.lit(seed))
-    position = F.pmod(draw, F.lit(1 << 40)) / F.lit(float(1 << 40))
-    drawn = (
-        rows.withColumn("__n", total)
-        .select(*keys, "__vec", "__n", tree)
-        .withColumn("__draw", draw)
-        # somewhat more than needed passes the threshold, then the exact number is kept
-        .filter((position * F.col("__n") <= SAMPLE_ROWS * 1.5) & (F.col("__n") >= MIN_ROWS))
-        .withColumn("__rank", F.row_number().over(Window.partitionBy("tree").orderBy("__draw", *keys)))
-        .filter(F.col("__rank") <= SAMPLE_ROWS)
-        .select("tree", F.col("__vec").alias("vec"))
-    )
+    offered = rows.select(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)).alias("hash"), total.alias("n"), F.col("__vec").alias("vec"))
+
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each tree's draw for each row; somewhat more rows than it needs pass, so that
+        a tree meets about as many rows as it keeps, however large the table is."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1)[0].as_py()
+            if n < MIN_ROWS:
+                continue
+            most = np.uint64(min(1.0, SAMPLE_ROWS * 1.5 / n) * (2.0**53))
+            for t in range(trees):
+                draw = _mixed(own ^ _mixed(np.array([t + 1], dtype=np.uint64))) >> np.uint64(11)
+                at = np.flatnonzero(draw <= most)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(draw[at].astype(np.int64)), batch.column(2).take(pa.array(at))], names=["tree", "draw", "vec"])
+
+    drawn = offered.mapInArrow(offer, "tree int, draw long, vec array<double>")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["tree"].iloc[0])
-        points = np.array(sorted(map(tuple, pdf["vec"])), dtype="float64")
+        kept = sorted(zip(pdf["draw"], map(tuple, pdf["vec"])))[:SAMPLE_ROWS]
+        points = np.array(sorted(v for _, v in kept), dtype="float64")
         nodes = _grow(points, np.random.default_rng([seed, t]))
         return pd.DataFrame([{"tree": t, **nodes, "drawn": len(points)}])
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dockledger.functions import columns as fx
 from dockledger.functions.stats import join_back
+from dockledger.session import cut_lineage
 
 ROUTE_DAY = ["route_id", "origin", "fill_dc", "route_date"]
 COORDS = ["dest_lat", "dest_lon"]
@@ -29,43 +30,40 @@ def route_stops(shipments: DataFrame, since: str | None = None) -> DataFrame:
     ).distinct()
 
 
+def _sequenced(stops: DataFrame, chunk: int) -> DataFrame:
+    """Stops with ``__at``, ascending in the order of their route-day, and their run:
+    ``__part`` and ``__run``, at most ``chunk`` neighbours of one range partition."""
+    order = [*ROUTE_DAY, F.col("__num").isNull(), "__num", "stop_id", *COORDS]
+    ranged = stops.withColumn("__num", fx.numeric_text("stop_id"))
+    ranged = ranged.repartitionByRange(*order).sortWithinPartitions(*order).drop("__num")
+    placed = cut_lineage(ranged.withColumn("__at", F.monotonically_increasing_id()))
+    local = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumns({"__part": F.shiftrightunsigned("__at", 33), "__run": F.floor(local / chunk)})
+
+
 def previous_stop(stops: DataFrame, chunk: int = 1000) -> DataFrame:
     """Coordinates of the previous stop on the route-day, else the origin's.
 
-    Stops are ordered by numeric id, then text; ids that are no numbers come
-    last. Each route-day is cut into runs of neighbouring ids, so a very long one
-    is spread over tasks: inside a run the previous row is a plain lag, and the
-    first row of a run continues from the last stop of the run before it. Text ids
-    are cut by the three characters after what all of the route-day begin with.
+    Stops are ordered by numeric id, then text; ids that are no numbers come last. They
+    are range-partitioned in that order by sampled split points and cut into runs of
+    neighbours, so a very long route-day is spread over tasks whatever its ids look
+    like: inside a run the previous row is a plain lag, and the first row of a run
+    continues from the last stop of the run before it.
     """
-    number = fx.numeric_text("stop_id")
-    text = F.when(number.isNull(), F.col("stop_id"))
-    shared = "size(filter(sequence(1, least(length(__low), length(__high))), i -> substring(__low, 1, i) = substring(__high, 1, i)))"
-    named = stops.filter(number.isNull()).groupBy(*ROUTE_DAY).agg(F.min("stop_id").alias("__low"), F.max("stop_id").alias("__high"))
-    skip = named.select(*ROUTE_DAY, F.expr(f"IF(least(length(__low), length(__high)) = 0, 0, {shared})").alias("__skip"))
-    stops = join_back(stops, skip, ROUTE_DAY).withColumns(
-        {
-            "__num": number,
-            "__run_num": F.floor(number / chunk),
-            "__run_text": F.substring(text, F.col("__skip") + 1, F.lit(3)),
-        }
-    ).drop("__skip")
-    run = [*ROUTE_DAY, "__run_num", "__run_text"]
-    order: list[Column] = [F.asc_nulls_last("__num"), F.asc("stop_id"), *[F.asc_nulls_last(c) for c in COORDS]]
-    within = Window.partitionBy(*run).orderBy(*order)
-    # nulls last, as in the window order
-    rank = F.struct(F.col("__num").isNull(), "__num", "stop_id", *COORDS)
-    ends = stops.groupBy(*run).agg(F.max_by(F.struct(*COORDS), rank).alias("__end"))
-    across = Window.partitionBy(*ROUTE_DAY).orderBy(F.asc_nulls_last("__run_num"), F.asc("__run_text"))
+    rows = _sequenced(stops, chunk)
+    run = [*ROUTE_DAY, "__part", "__run"]
+    ends = rows.groupBy(*run).agg(F.max_by(F.struct(*COORDS), "__at").alias("__end"))
+    across = Window.partitionBy(*ROUTE_DAY).orderBy("__part", "__run")
     ends = ends.withColumn("__before", F.lag("__end").over(across)).drop("__end")
-    rows = join_back(stops.withColumn("__lag", F.lag(F.struct(*COORDS)).over(within)), ends, run)
+    within = Window.partitionBy(*run).orderBy("__at")
+    rows = join_back(rows.withColumn("__lag", F.lag(F.struct(*COORDS)).over(within)), ends, run)
     previous = F.coalesce("__lag", "__before")
     return rows.withColumns(
         {
             "prev_lat": F.coalesce(previous["dest_lat"], F.col("origin_lat")),
             "prev_lon": F.coalesce(previous["dest_lon"], F.col("origin_lon")),
         }
-    ).drop("__num", "__run_num", "__run_text", "__lag", "__before")
+    ).drop("__at", "__part", "__run", "__lag", "__before")
 
 
 def leg_miles(sequenced: DataFrame) -> DataFrame:

@@ -249,3 +249,13 @@ def test_class_narrative(spark):
 def test_one_part_of_a_period_filters(spark):
     df = spark.createDataFrame([(2025, 1), (2026, 1), (2026, 2)], "year int, month int")
     assert prepare.filter_period_dc_type(df, year=2026).count() == 2 and prepare.filter_period_dc_type(df, month=1).count() == 2
+
+
+def test_no_run_is_longer_than_asked_whatever_the_ids(spark):
+    """Twenty thousand ids with one beginning and a single other one."""
+    ids = [f"STOP-{i:06d}" for i in range(20_000)] + ["X1"]
+    stops = spark.createDataFrame([("R", s, "O", "F", None, float(i), 0.0, -1.0, -1.0) for i, s in enumerate(ids)], "route_id string, stop_id string, origin string, fill_dc string, route_date date, dest_lat double, dest_lon double, origin_lat double, origin_lon double")
+    runs = geography._sequenced(stops, 1000).groupBy(*geography.ROUTE_DAY, "__part", "__run").count()
+    assert runs.agg(F.max("count")).first()[0] <= 1000 and runs.count() >= 20
+    got = {r["stop_id"]: r["prev_lat"] for r in geography.previous_stop(stops).collect()}
+    assert got == {s: float(i - 1) for i, s in enumerate(ids)}
