@@ -62,6 +62,16 @@ def text_counts(text: str | None, features: int) -> np.ndarray:
     return out
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs."""
+    most = counts.max()
+    return counts.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype=f"<u{len(raw) // n}").astype(np.float32)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     length = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
@@ -107,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, how: Voting = Voting(), target: str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [text_counts(t.as_py(), how.features).astype("<u4").tobytes() for t in batch.column(2)]
+            counts = [packed(text_counts(t.as_py(), how.features)) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.binary())], schema=schema)
 
     sample = labelled(docs, labels, target, how.sample_rows).select("doc_id", "label", "text")
@@ -121,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, how: Voting = Voting(), target: str
     def blocks() -> Iterator[np.ndarray]:
         """The sample in parts, so that the driver never holds it as floats."""
         for i in range(0, len(raw), BLOCK):
-            yield np.stack([np.frombuffer(c, dtype="<u4") for c in raw[i : i + BLOCK]]).astype(np.float32)
+            yield np.stack([unpacked(c, how.features + STYLE) for c in raw[i : i + BLOCK]])
 
     found = sum((b > 0).sum(axis=0) for b in blocks())
     idf = np.log((1 + len(raw)) / (1 + found)).astype(np.float32) + 1.0
