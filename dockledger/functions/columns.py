@@ -130,6 +130,20 @@ def unread_times(c: str | Column, formats: Sequence[str] = TIME_FORMATS) -> Colu
     return F.count_if((text != "") & parse_time(c, formats).isNull())
 
 
+# The same with the day first.
+DAY_FIRST_FORMATS = tuple(f.replace("M/d/", "d/M/") for f in TIME_FORMATS)
+
+
+def time_orders(c: str | Column) -> Column:
+    """Aggregate: 1 if month-first (and ISO) formats read every value that is not blank,
+    plus 2 if day-first ones do. A bitwise and over rows, so it combines anywhere."""
+    text = F.trim(col(c).cast("string"))
+    reads = sum(
+        (F.when(parse_time(c, formats).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, formats in enumerate((TIME_FORMATS, DAY_FIRST_FORMATS))), F.lit(0)
+    )
+    return F.coalesce(F.bit_and(F.when(text != "", reads)), F.lit(1))
+
+
 def strip_zone(c: str | Column) -> Column:
     """Drop a trailing zone token such as `` MST``."""
     return F.regexp_replace(col(c), r"\s+[A-Z]{2,4}$", "")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dockledger.functions import columns as fx
+from dockledger.functions.stats import scalars
 
 # Canonical name -> accepted input names, first present wins. Give
 # ``conform_schema`` a mapping of your own for other headers.
@@ -150,6 +151,16 @@ def period_columns(df: DataFrame, ts: str = "delivered_at") -> DataFrame:
     )
 
 
+def uniform_times(df: DataFrame, *columns: str) -> DataFrame:
+    """Text columns to timestamps, each in one order of day and month for all its rows:
+    month first unless only day first reads every value. A column that neither reads in
+    full is read month first, and what that does not read is null.
+
+    The order is a scalar subquery over the column, known before any row is parsed."""
+    orders = scalars(df, **{c: fx.time_orders(c) for c in columns})
+    return df.withColumns({c: F.when(orders[c] == 2, fx.parse_time(c, fx.DAY_FIRST_FORMATS)).otherwise(fx.parse_time(c)) for c in columns})
+
+
 def prepare_scored(df: DataFrame) -> DataFrame:
     """Raw slim extract -> typed table with market name and paid flags."""
     out = conform_schema(df, SCORED_INPUT_NAMES, required=["xdock", "cost_per_stop"])

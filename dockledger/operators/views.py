@@ -202,7 +202,8 @@ def _percent(c: str) -> Column:
 
 
 def row_narrative(scored: DataFrame) -> DataFrame:
-    """Explanation sentences of each group, as one text."""
+    """Explanation sentences of each group, as one text. The sentences are fixed
+    values."""
     signal = F.concat(F.lit("Signal: "), F.col("classification"), F.lit(" with "), F.col("confidence"), F.lit(" confidence."))
     basis = F.coalesce(
         F.concat(F.lit(" based on "), F.format_number("paid_records", 0), F.lit(" records with CPS.")), F.lit(".")

@@ -233,6 +233,26 @@ def period_columns(spark: SparkSession, sf: str) -> DataFrame:
     return prepare.period_columns(b.messy_text(spark, sf), "day_text")
 
 
+@query(
+    "uniform_times",
+    f"""SELECT {KEYS.replace(' ', ', ')}, CASE WHEN l_orderkey % 7 <> 0 THEN STRFTIME(l_shipdate, '%Y%m%d') END AS day_first,
+    CASE WHEN l_orderkey % 9 <> 0 THEN STRFTIME(l_shipdate, '%Y%m%d') END AS month_first,
+    STRFTIME(l_shipdate, '%Y%m%d') AS early_days FROM lineitem WHERE EXTRACT(DAY FROM l_shipdate) <= 12 OR l_linenumber > 1""",
+    KEYS + " day_first month_first early_days",
+)
+def uniform_times(spark: SparkSession, sf: str) -> DataFrame:
+    """One column written day first, one month first, one in ISO."""
+    rows = b.table(spark, sf, "lineitem").filter("day(l_shipdate) <= 12 OR l_linenumber > 1")
+    written = rows.select(
+        *b.ORDER_COLS,
+        F.expr("IF(l_orderkey % 7 = 0, ' ', date_format(l_shipdate, 'dd/MM/yyyy HH:mm'))").alias("day_first"),
+        F.expr("IF(l_orderkey % 9 = 0, NULL, date_format(l_shipdate, 'M/d/yyyy'))").alias("month_first"),
+        F.expr("date_format(l_shipdate, 'yyyy-MM-dd')").alias("early_days"),
+    )
+    names = ["day_first", "month_first", "early_days"]
+    return prepare.uniform_times(written, *names).withColumns({c: F.date_format(c, "yyyyMMdd") for c in names})
+
+
 @query(
     "strip_tz_suffix",
     "SELECT *, SUBSTR(eta_text, 1, 19) AS stripped, STRFTIME(CAST(SUBSTR(eta_text, 1, 19) AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS parsed FROM messy",

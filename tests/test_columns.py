@@ -101,3 +101,13 @@ def test_written_times(spark):
     got = [r[0] and r[0].strftime("%Y-%m-%d %H:%M") for r in df.select(fx.parse_time("t")).collect()]
     assert got == ["2026-05-14 08:30", "2026-05-01 00:00", "2026-05-01 14:05", "2026-05-14 08:30", None, None, None, None, None]
     assert df.agg(fx.unread_times("t")).first()[0] == 3
+
+
+def test_one_order_of_day_and_month_for_a_column(spark):
+    rows = [("05/04/2026", "05/04/2026", "05/04/2026", None), ("31/12/2026 07:30", "12/31/2026", "06/04/2026", " "), (" ", None, "13/13/2026", ""), (None, "2026-05-06", "x", None)]
+    df = spark.createDataFrame(rows, "day_first string, month_first string, neither string, blank string")
+    out = prepare.uniform_times(df, *df.columns).collect()
+    days = [[None if v is None else v.strftime("%m-%d") for v in r] for r in out]
+    assert [d[0] for d in days] == ["04-05", "12-31", None, None]
+    assert [d[1] for d in days] == ["05-04", "12-31", None, "05-06"]
+    assert [d[2] for d in days] == ["05-04", "06-04", None, None] and all(d[3] is None for d in days)
