@@ -18,6 +18,9 @@ share is concentrated about J.
    its own kind, so a block gives fewer links than it has rows. These links are verified
    too. Jaccard distance is a metric, so a class that is x from the head needs no
    comparison with those nearer to it than x - 0.2. So heads save work but lose no link.
+   A family beyond one block is first dealt out to the rarest shingles of its members,
+   where that makes fewer copies of sets (see ``rarest_shared``), and then cut by set
+   size: only classes whose sizes allow a link meet.
 4. Components by alternating large-star and small-star steps over the links.
 
 With 48 bands of 6 coordinates a pair at the threshold of 0.8 shares no band with
@@ -41,7 +44,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dockledger.llm.common import mix, shingle_hashes, word_bytes, word_hashes
@@ -150,7 +153,9 @@ def verify(pairs: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
     return ordered.mapInArrow(run, "head long, node long, distance double, linked boolean")
 
 
+# Rows and hashes of a block; a task holds two of them.
 BLOCK = 1024
+BLOCK_HASHES = 1 << 20
 
 
 def spanning_links(rows: list[tuple], percent: int) -> tuple[list[int], list[int]]:
@@ -200,35 +205,109 @@ def spanning_links(rows: list[tuple], percent: int) -> tuple[list[int], list[int
     return found
 
 
+def _blocks_of(count: Column, hashes: Column) -> Column:
+    return F.ceil(F.greatest(count / BLOCK, hashes / BLOCK_HASHES)).cast("int")
+
+
+def rarest_shared(members: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
+    """``fam``, ``head``, ``node``, ``root``, ``n``: the members of each family dealt out
+    to their rarest shingles, a sub-family each.
+
+    Two sets of n and m elements can be linked only if they share ``percent`` % of n and
+    of m, hence one of the n - ceil(n * percent / 100) + 1 elements that come first in any
+    common order. The order is by how many members of the family have an element; those
+    that only one has count, but lead to nobody. So texts whose own parts exceed the
+    share drop out here, however much of a template they have in common."""
+    schema = pa.schema([("head", pa.int64()), ("node", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [text_set(t.as_py(), how.shingle).view(np.int64) for t in batch.column(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, schema.field("shingles").type)], schema=schema)
+
+    whole = members.join(texts, "node").select("head", "node", "root", "n", "text").mapInArrow(run, "head long, node long, root long, n long, shingles array<long>")
+    each = cut_lineage(whole).withColumn("shingle", F.explode("shingles")).drop("shingles")
+    common = each.groupBy("head", "shingle").agg(F.count("*").alias("c")).filter("c > 1")
+    own = Window.partitionBy("head", "node")  # the shingles of one text
+    place = F.row_number().over(own.orderBy("c", "shingle")) + F.col("n") - F.count("*").over(own)
+    first = F.col("n") - F.ceil(F.col("n") * how.percent / F.lit(100)) + 1
+    placed = each.join(common, ["head", "shingle"]).withColumn("_place", place).filter(F.col("_place") <= first)
+    return placed.select(F.xxhash64("head", "shingle").alias("fam"), "head", "node", "root", "n")
+
+
+def to_compare(members: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
+    """Families (``fam``) within which all pairs are to be compared: ``members`` as they
+    are, or, where that makes fewer copies of sets, the sub-families of a large one."""
+    apart = [F.count("*").alias("_c"), F.sum("n").alias("_s"), F.min("root").alias("_a"), F.max("root").alias("_b")]
+    sizes = cut_lineage(members.groupBy("head").agg(*apart).filter("_a <> _b").withColumn("_k", _blocks_of(F.col("_c"), F.col("_s"))))
+    whole = members.select(F.col("head").alias("fam"), "head", "node", "root", "n")
+    if sizes.filter("_k > 1").isEmpty():
+        return whole.join(sizes.select("head"), "head", "leftsemi").drop("head")
+    large = members.join(sizes.filter("_k > 1").select("head"), "head", "leftsemi")
+    parts = cut_lineage(rarest_shared(large, texts, how))
+    kept = parts.groupBy("fam").agg(F.min("head").alias("head"), *apart).filter("_a <> _b").withColumn("_copies", F.col("_c") * _blocks_of(F.col("_c"), F.col("_s")))
+    kept = cut_lineage(kept.select("fam", "head", "_copies"))
+    cost = kept.groupBy("head").agg(F.sum("_copies").alias("_parts"))
+    judged = sizes.join(cost, "head", "left").withColumn("_split", (F.col("_k") > 1) & (F.coalesce("_parts", F.lit(0)) < F.col("_c") * F.col("_k")))
+    judged = cut_lineage(judged.select("head", "_split"))
+    split = parts.join(judged.filter("_split").select("head"), "head", "leftsemi").join(kept.select("fam"), "fam", "leftsemi")
+    return whole.join(judged.filter("NOT _split").select("head"), "head", "leftsemi").unionByName(split).drop("head").distinct()
+
+
+def block_sides(families: DataFrame, how: Similarity) -> DataFrame:
+    """``fam``, ``g``, ``step``, ``i``, ``j``, ``side``, ``node``, ``root``, ``n``: each member
+    once for each pair of blocks that it takes part in.
+
+    A family that exceeds a block, in rows or in hashes, is cut by set size first: a class
+    of sizes spans the ratio that a link allows, so members meet their own class and the
+    next (``step``), and classes are cut into blocks."""
+    bound = _blocks_of(F.count("*"), F.sum("n"))
+    ratio = float(np.log(100 / how.percent * (1 + 1e-9)))
+    level = F.when(F.col("_k") > 1, F.floor(F.log(F.col("n").cast("double")) / ratio)).otherwise(0).cast("long")
+    rows = families.join(families.groupBy("fam").agg(bound.alias("_k")), "fam").withColumn("g", level)
+    rows = cut_lineage(rows.drop("_k"))
+    blocks = rows.groupBy("fam", "g").agg(bound.alias("k"))
+    above = blocks.select("fam", (F.col("g") - 1).alias("g"), F.col("k").alias("up"))
+    below = blocks.select("fam", (F.col("g") + 1).alias("g"), F.col("k").alias("down"))
+    around = blocks.join(above, ["fam", "g"], "left").join(below, ["fam", "g"], "left")
+    placed = rows.join(around, ["fam", "g"]).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    own = "transform(sequence(0, k - 1), o -> struct(g, 0 AS step, least(_own, o) AS i, greatest(_own, o) AS j, if(_own <= o, 0, 1) AS side))"
+    up = "transform(sequence(0, up - 1), o -> struct(g, 1 AS step, _own AS i, o AS j, 0 AS side))"
+    down = "transform(sequence(0, down - 1), o -> struct(g - 1 AS g, 1 AS step, o AS i, _own AS j, 1 AS side))"
+    none = f"filter({own}, x -> false)"
+    return placed.selectExpr("fam", "node", "root", "n", f"inline(concat({own}, coalesce({up}, {none}), coalesce({down}, {none})))")
+
+
 def alike(members: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
     """Pairs (``head``, ``node``) of one family that are likely to be linked and join
     different components. ``members``: ``head``, ``node``, ``root``, ``n``.
 
-    A family with more than ``BLOCK`` members is cut into blocks, and each pair of blocks
-    is compared by itself. Rows come sorted, so a task holds one pair of blocks."""
-    sizes = members.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_k"), F.min("root").alias("_a"), F.max("root").alias("_b"))
-    several = members.join(sizes.filter("_a <> _b").drop("_a", "_b"), "head").join(texts, "node")
-    kept = pa.schema([("head", pa.int64()), ("_k", pa.int32()), ("node", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("set", pa.binary())])
+    Each pair of blocks is compared by itself. Rows come sorted, so a task holds one pair
+    of blocks."""
+    sides = cut_lineage(block_sides(to_compare(members, texts, how), how))
+    kept = pa.schema([("node", pa.int64()), ("set", pa.binary())])
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique((text_set(t.as_py(), how.shingle) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch.column(5)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found, pa.binary())], schema=kept)
+            found = [np.unique((text_set(t.as_py(), how.shingle) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], schema=kept)
 
-    rows = several.select("head", "_k", "node", "root", "n", "text").mapInArrow(with_sets, "head long, _k int, node long, root long, n long, set binary")
-    own = F.pmod(F.xxhash64("node"), F.col("_k")).cast("int")
-    placed = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    sides = placed.select("head", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), F.when(F.col("_own") <= F.col("_other"), 0).otherwise(1).alias("side"), "node", "root", "n", "set")
+    hashed = texts.join(sides.select("node"), "node", "leftsemi").select("node", "text").mapInArrow(with_sets, "node long, set binary")
+    key = ["fam", "g", "step", "i", "j"]
+    rows = sides.join(cut_lineage(hashed), "node").select(*key, "side", "node", "root", "n", "set")
     schema = pa.schema([("head", pa.int64()), ("node", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        for _, group in groupby(each, key=lambda r: r[:3]):
-            found = spanning_links([r[3:] for r in group], how.percent)
+        for (_, _, step, i, j), group in groupby(each, key=lambda r: r[:5]):
+            pair = [r[5:] for r in group]
+            if (step or i != j) and not (pair[0][0] == 0 and pair[-1][0] == 1):
+                continue
+            found = spanning_links(pair, how.percent)
             if found[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], schema=schema)
 
-    ordered = sides.repartition("head", "i", "j").sortWithinPartitions("head", "i", "j", "side", "node")
+    ordered = rows.repartition(*key).sortWithinPartitions(*key, "side", "node")
     return ordered.mapInArrow(run, "head long, node long").distinct()
 
 

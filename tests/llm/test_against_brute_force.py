@@ -224,3 +224,48 @@ def test_pipeline(spark):
         ends = [0, *np.cumsum([n for _, n in sorted(parts)]).tolist()]
         assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 1024
     assert len(rows) and max(Counter((r.doc_id, r.piece) for r in rows).values()) <= 2
+
+
+def templated(count: int, common: int, own: int) -> dict[int, str]:
+    """Texts of one template with parts of their own, a few of them with a near copy."""
+    made = {}
+    for i in range(count):
+        words = [f"t{k}" for k in range(common)] + [f"d{i}x{k}" for k in range(own)]
+        made[2 * i] = " ".join(words)
+        if i % 50 == 0:
+            made[2 * i + 1] = " ".join([*words[:-1], "z"])
+    return made
+
+
+@pytest.mark.parametrize("own", [12, 20])
+def test_template_family_compares_few_pairs(spark, monkeypatch, own):
+    """Texts that share a template, but not four fifths: their own parts tell them apart
+    before sets are copied; near copies are still found."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    made = templated(400, 40, own)
+    docs = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.components(docs, near_dedup.Similarity(shingle=2)).collect()}
+    assert got == components(made, 2, 80)
+    members = spark.createDataFrame([(0, i, i, 39 + own) for i in made], "head long, node long, root long, n long")
+    texts = spark.createDataFrame(list(made.items()), "node long, text string")
+    how = near_dedup.Similarity(shingle=2)
+    assert near_dedup.to_compare(members, texts, how).select("node").distinct().count() <= 2 * 8
+    pairs = {tuple(sorted(r)) for r in near_dedup.alike(members, texts, how).collect()}
+    assert pairs == {(i - 1, i) for i in made if i % 2}
+
+
+def test_sizes_that_exclude_a_link_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rows = [(1, i, i, n) for i, n in enumerate([40, 50, 51, 62, 63, 64, 80, 100, 101, 125, 8, 10])]
+    families = spark.createDataFrame(rows, "fam long, node long, root long, n long")
+    sides = near_dedup.block_sides(families, near_dedup.Similarity()).collect()
+    met = {}
+    for r in sides:
+        met.setdefault((r.fam, r.g, r.step, r.i, r.j), []).append(r)
+    together = {(a.node, b.node) for g in met.values() for a in g for b in g if a.node < b.node}
+    size = {node: n for _, node, _, n in rows}
+    for a in size:
+        for b in size:
+            if a < b and 100 * min(size[a], size[b]) >= 80 * max(size[a], size[b]):
+                assert (a, b) in together
+    assert not {(0, 7), (10, 9), (0, 9)} & together
