@@ -130,8 +130,37 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tup
     return ordered.withColumns(weights).groupBy(*keys).agg(*parts)
 
 
+def with_before(df: DataFrame, keys: Sequence[str], order: str, weight: Column, name: str = "before") -> DataFrame:
+    """Adds to each row the sum of ``weight`` over the rows of its group that come before
+    it in ``order``, whose values differ within a group.
+
+    The rows are range-partitioned and written once, so a group of any size lies in
+    consecutive partitions; sums run within each, and what the partitions before hold of
+    the group is added. Only those sums, one a partition and group, meet in one task.
+    """
+    by = [F.col(k) for k in (*keys, order)]
+    ranged = cut_lineage(df.withColumn("__w", weight).repartitionByRange(*by).withColumn("__part", F.spark_partition_id()))
+    sums = ranged.groupBy(*keys, "__part").agg(F.sum("__w").alias("__s"))
+    earlier = Window.partitionBy(F.lit(0), *keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "__part", F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__offset"))
+    within = Window.partitionBy("__part", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    running = ranged.withColumn(name, F.coalesce(F.sum("__w").over(within), F.lit(0)))
+    return join_back(running, offsets, [*keys, "__part"]).withColumn(name, F.col(name) + F.col("__offset")).drop("__w", "__part", "__offset")
+
+
+def average_ranks(df: DataFrame, value: str, keys: Sequence[str], name: str) -> DataFrame:
+    """Adds the rank of ``value`` in its group with ties averaged, for groups of any
+    size. Equal values are counted before they are ordered, so a hot value is one row;
+    nulls come first and tie with each other."""
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    placed = with_before(counts, keys, value, F.col("__n"), name)
+    ranks = placed.select(*keys, value, (F.col(name) + (F.col("__n") + 1) / F.lit(2.0)).alias(name))
+    return join_back(df, ranks, [*keys, value])
+
+
 def average_rank(value: str, keys: Sequence[str]) -> Column:
-    """Rank with ties averaged, over tables of one row per market."""
+    """The same as a window column, where a group is some rows: one per market and
+    period. ``average_ranks`` takes groups of any size."""
     ordered = Window.partitionBy(*keys).orderBy(value)
     ties = Window.partitionBy(*keys, value)
     return F.rank().over(ordered) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0)

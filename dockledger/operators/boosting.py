@@ -15,11 +15,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockledger.functions import columns as fx
-from dockledger.functions.stats import join_back, scalars
+from dockledger.functions.stats import join_back, scalars, with_before
 from dockledger.operators import histogram_trees as ht
 from dockledger.session import cut_lineage
 
@@ -76,8 +76,8 @@ def fit_encoder(train: DataFrame, numeric: Sequence[str], categorical: Sequence[
         seen = train.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("__value")).agg(F.count(F.lit(1)).alias("n"))
         # ties go to the alphabetically first value; one row per category
         encoder.modes[c] = seen.agg(F.min_by("__value", F.struct(-F.col("n"), "__value"))).scalar()
-        numbered = F.row_number().over(Window.orderBy("__value")) - 1
-        encoder.codes[c] = seen.select("__value", numbered.cast("double").alias(f"__code_{c}"))
+        numbered = with_before(seen.select("__value"), [], "__value", F.lit(1))
+        encoder.codes[c] = numbered.select("__value", F.col("before").cast("double").alias(f"__code_{c}"))
     return encoder
 
 

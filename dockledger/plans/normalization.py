@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockledger.functions import columns as fx
-from dockledger.functions.stats import average_rank, group_quantiles, group_transform, join_back, scalars
+from dockledger.functions.stats import average_ranks, group_quantiles, group_transform, join_back, scalars
 from dockledger.operators import geography, lookups, multipliers, rollups
 from dockledger.plans import bindings as b
 from dockledger.plans import pipelines
@@ -434,7 +434,7 @@ def group_quantile_transform(spark: SparkSession, sf: str) -> DataFrame:
 )
 def average_rank_query(spark: SparkSession, sf: str) -> DataFrame:
     docks = b.delivery_events(spark, sf).groupBy("dc", "year", "month").agg((F.count(F.lit(1)) % 7).alias("route_days"))
-    return docks.withColumn("avg_rank", average_rank("route_days", ["year", "month"]))
+    return average_ranks(docks, "route_days", ["year", "month"], "avg_rank")
 
 
 # ---- exploration ------------------------------------------------------------

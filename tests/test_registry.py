@@ -9,7 +9,7 @@ import __spark_entry__ as entry_points
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-CHECKED = ["cost_per_stop", "drop_topside_rows", "dock_monthly_cost", "geography_multiplier", "winsor_monthly", "driver_medians", "classification", "rank_stability", "top_similar_pairs"]
+CHECKED = ["average_rank", "impute_encode", "cost_per_stop", "drop_topside_rows", "dock_monthly_cost", "geography_multiplier", "winsor_monthly", "driver_medians", "classification", "rank_stability", "top_similar_pairs"]
 
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 

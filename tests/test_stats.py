@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dockledger.functions import stats
-from dockledger.functions.stats import average_rank, describe_columns, group_quantiles, group_transform
+from dockledger.functions.stats import average_rank, average_ranks, describe_columns, group_quantiles, group_transform, with_before
 
 
 def frame(spark, seed, n=4000):
@@ -75,6 +75,37 @@ def test_average_rank(spark):
     assert ranks == [1.0, 2.5, 2.5, 4.0]
 
 
+def test_average_ranks_of_a_group_in_many_partitions(spark, monkeypatch):
+    """One group holds most rows, its values lie in several partitions, ties span rows."""
+    r = np.random.default_rng(4)
+    pdf = pd.DataFrame({"id": range(5000), "g": np.where(np.arange(5000) % 50 == 0, "small", "hot"), "v": r.integers(0, 1200, 5000).astype(float)})
+    pdf.loc[pdf.index % 97 == 0, "v"] = None
+    pdf.loc[pdf.index % 211 == 0, "g"] = None
+    seen, plain = [], stats.join_back
+
+    def noted(df, *rest):
+        seen.append(df)
+        return plain(df, *rest)
+
+    monkeypatch.setattr(stats, "join_back", noted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.createDataFrame([tuple(None if x != x else x for x in t) for t in pdf.itertuples(index=False)], "id int, g string, v double")
+        got = {x["id"]: x["r"] for x in average_ranks(rows, "v", ["g"], "r").collect()}
+        parts = seen[0].filter("g = 'hot'").select("__part").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = dict(zip(pdf["id"], pdf.groupby("g", dropna=False)["v"].rank(method="average", na_option="top"), strict=True))
+    assert got == want and parts > 2
+
+
+def test_running_sums_without_a_group(spark):
+    rows = spark.createDataFrame([("b", 3), ("a", 2), ("d", 5), ("c", 4)], "k string, n int")
+    got = {x["k"]: x["before"] for x in with_before(rows, [], "k", F.col("n")).collect()}
+    assert got == {"a": 0, "b": 2, "c": 5, "d": 9}
+    assert with_before(rows.limit(0), [], "k", F.col("n")).count() == 0
+
+
 def test_describe_columns(spark):
     pdf = pd.DataFrame({"a": [1.0, 2.0, 3.0, 10.0, None], "b": [5, 5, 5, 5, 5]})
     got = {r["column"]: r for r in describe_columns(spark.createDataFrame(pdf), ["a", "b"]).collect()}
