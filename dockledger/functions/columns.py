@@ -117,11 +117,28 @@ def job_key_part(c: str | Column, index: int) -> Column:
 TIME_FORMATS = ("M/d/yyyy h:mm:ss a", "M/d/yyyy H:mm:ss", "M/d/yyyy h:mm a", "M/d/yyyy H:mm", "M/d/yyyy")
 
 
+def _written_time(text: Column, formats: Sequence[str]) -> Column:
+    """Text to timestamp by the first format that reads it. Only a format whose shape the
+    text has is tried: the colons, and AM or PM at the end. A try in vain costs far more
+    than the test."""
+    month, day = r"0*(?:[1-9]|1[0-2])/", r"0*(?:[1-9]|[12]\d|3[01])/"
+    tries: dict[str, list[Column]] = {}
+    for f in formats:
+        start = month + day if f.startswith("M/d/") else day + month
+        shape = r"[^:]*" + r":[^:]*" * f.count(":") + ("[mM]$" if f.endswith("a") else r"\d$")
+        tries.setdefault(start, []).append(F.when(text.rlike(f"^{shape}"), F.try_to_timestamp(text, F.lit(f))))
+    return F.coalesce(*[F.when(text.rlike(f"^{start}"), F.coalesce(*own)) for start, own in tries.items()])
+
+
+def _iso_time(text: Column) -> Column:
+    return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("timestamp"))
+
+
 def parse_time(c: str | Column, formats: Sequence[str] = TIME_FORMATS) -> Column:
-    """Text to timestamp, null when unreadable. A bare year is no time."""
+    """Text to timestamp, null when unreadable. A bare year is no time. ``formats`` all
+    begin with ``M/d/`` or ``d/M/``."""
     text = F.trim(col(c).cast("string"))
-    iso = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("timestamp"))
-    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    return F.coalesce(_iso_time(text), _written_time(text, formats))
 
 
 def unread_times(c: str | Column, formats: Sequence[str] = TIME_FORMATS) -> Column:
@@ -138,9 +155,9 @@ def time_orders(c: str | Column) -> Column:
     """Aggregate: 1 if month-first (and ISO) formats read every value that is not blank,
     plus 2 if day-first ones do. A bitwise and over rows, so it combines anywhere."""
     text = F.trim(col(c).cast("string"))
-    reads = sum(
-        (F.when(parse_time(c, formats).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, formats in enumerate((TIME_FORMATS, DAY_FIRST_FORMATS))), F.lit(0)
-    )
+    orders = (TIME_FORMATS, DAY_FIRST_FORMATS)
+    reads = sum((F.when(_written_time(text, formats).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, formats in enumerate(orders)), F.lit(0))
+    reads = F.when(_iso_time(text).isNotNull(), F.lit(3)).otherwise(reads)
     return F.coalesce(F.bit_and(F.when(text != "", reads)), F.lit(1))
 
 

@@ -111,3 +111,13 @@ def test_one_order_of_day_and_month_for_a_column(spark):
     assert [d[0] for d in days] == ["04-05", "12-31", None, None]
     assert [d[1] for d in days] == ["05-04", "12-31", None, "05-06"]
     assert [d[2] for d in days] == ["05-04", "06-04", None, None] and all(d[3] is None for d in days)
+
+
+def test_only_formats_of_the_text_s_shape_are_tried(spark):
+    """Each format keeps reading what it read; others are not tried in vain."""
+    read = {"5/4/2026 1:02:03 PM": "13:02:03", "5/4/2026 13:02:03": "13:02:03", "05/04/2026 1:02 am": "01:02:00", "5/4/2026 13:02": "13:02:00", " 5/4/2026 ": "00:00:00"}
+    df = spark.createDataFrame([(t,) for t in (*read, "13/4/2026", "5/32/2026", "5/4/2026 25:00", "5/4", "0/4/2026")], "t string")
+    got = {r["t"]: r["p"] and r["p"].strftime("%m-%d %H:%M:%S") for r in df.select("t", fx.parse_time("t").alias("p")).collect()}
+    assert got == {t: f"05-04 {read[t]}" if t in read else None for t in got}
+    plan = df.select(fx.parse_time("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") + plan.count("rlike") >= 6
