@@ -1,20 +1,21 @@
 """Spreading route charges and weekly surcharges over stops.
 
 "First row" means first in load order over all charge types. Spark has no row order, so
-``order_cols`` names columns that order the rows. The charge rows are numbered and
-written once. Narrow rows (number, order, keys, charge) are range-partitioned by the
-order and numbered again, so that the place of a row in load order is one whole number,
-unique even among rows that are equal in every column. "First row of a stop" is then the
-least number of the stop; with the kind of the charge in its lowest bits it also says
-what the first row charges. Such minima and sums are hash aggregates that combine before
-the shuffle: a route or week that holds a large part of all rows is one row per task.
-What they yield is joined to the narrow rows, whose hot keys can be split, and those
-once to the charge rows.
+``order_cols`` names columns that order the rows. The charge rows are range-partitioned
+by them, numbered and written once, so that the place of a row in load order is one whole
+number, unique even among rows that are equal in every column. "First row of a stop" is
+then the least number of the stop; with the kind of the charge in its lowest bits it also
+says what the first row charges. Such minima and sums are hash aggregates that combine
+before the shuffle: a route or week that holds a large part of all rows is one row per
+task. A row is the first of something if its place is one of these minima, so the charge
+rows are joined once, by their unique place, to the places that are; what holds for a
+whole route, week or month is a small table beside it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,10 @@ def _with_keys(events: DataFrame) -> DataFrame:
     return events if "stop_key" in events.columns else route_stop_keys(events)
 
 
+def _with_route_key(events: DataFrame) -> DataFrame:
+    return events if "stop_key" in events.columns else route_stop_keys(events).drop("stop_key")
+
+
 def with_week_key(events: DataFrame) -> DataFrame:
     return events.withColumn("week_key", fx.week_key("dc", "delivered_at"))
 
@@ -55,23 +60,27 @@ def _is_kind(place: str, *types: str) -> Column:
 
 
 def numbered(events: DataFrame) -> DataFrame:
-    """Charge rows with ``__row``, written once so that the numbers stay."""
-    return cut_lineage(events.withColumn("__row", F.monotonically_increasing_id()))
-
-
-def placed(rows: DataFrame, order_cols: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Narrow rows with ``__place``, ascending in load order."""
-    narrow = rows.select("__row", *dict.fromkeys(["charge_type", *order_cols, *columns]))
-    ordered = narrow.repartitionByRange(*order_cols, "__row").sortWithinPartitions(*order_cols, "__row")
+    """Charge rows with ``__row``, which orders rows that are equal in load order."""
+    return events.withColumn("__row", F.monotonically_increasing_id())
+
+
+def placed(
+    rows: DataFrame, order_cols: Sequence[str], columns: Sequence[str] | None = None, derive: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """Numbered rows, of them ``columns``, with ``__place``, ascending in load order;
+    written once so that the places stay. What ``derive`` adds is not shuffled."""
+    kept = [c for c in rows.columns if c != "__row"] if columns is None else list(dict.fromkeys(["charge_type", *columns]))
+    needed = rows.select("__row", *dict.fromkeys([*order_cols, *kept]))
+    ordered = needed.repartitionByRange(*order_cols, "__row").sortWithinPartitions(*order_cols, "__row")
     kind = F.coalesce(*[F.when(_charge(t), F.lit(k)) for t, k in KINDS.items()], F.lit(0))
     place = F.monotonically_increasing_id() * 8 + kind
-    # order columns have served unless they are keys as well
-    kept = [c for c in narrow.columns if c in (*columns, "__row", "charge_type")]
-    return cut_lineage(ordered.withColumn("__place", place).select(*kept, "__place"))
+    chosen = ordered.withColumn("__place", place).select(*kept, "__place")
+    return cut_lineage(derive(chosen) if derive else chosen)
 
 
-ROUTE_COLUMNS = ["route_key", "delivery_seq", "stop_key", "fill_dc", "year", "month", "total_rate"]
+ROUTE_COLUMNS = ["route_key", "delivery_seq", "fill_dc", "year", "month", "total_rate"]
 WEEK_COLUMNS = ["week_key", "stop_id", "topside_cost"]
+MONTH = ["fill_dc", "year", "month"]
 
 
 def sequence_stats(narrow: DataFrame, scope: str = "all") -> DataFrame:
@@ -90,12 +99,30 @@ def sequence_stats(narrow: DataFrame, scope: str = "all") -> DataFrame:
     return stats.withColumns({"stop_key": stop_key(), "delivery_head": F.when(delivers, F.col("delivery_head"))})
 
 
-def route_flags(narrow: DataFrame, scope: str = "all") -> DataFrame:
-    """C1-C3 and the stop counts of C9 for each ``__row``."""
-    sequences = cut_lineage(sequence_stats(narrow, scope))
-    stops = sequences.groupBy("route_key", "stop_key").agg(
+# What a marked place is the first of.
+MARKS = {"first_of_stop": 1, "delivery_stop": 2, "first_of_week": 4}
+
+
+def _marked(places: DataFrame, column: str, name: str) -> DataFrame:
+    found = places.filter(F.col(column).isNotNull())
+    return found.select(F.col(column).alias("__place"), F.lit(MARKS[name]).alias("mark"))
+
+
+def _flagged(rows: DataFrame, marks: Sequence[DataFrame], names: Sequence[str]) -> DataFrame:
+    """``rows`` with 0/1 columns ``names``, by one join on the place."""
+    one = reduce(DataFrame.unionByName, marks).groupBy("__place").agg(F.bit_or("mark").alias("__marks"))
+    bits = F.coalesce("__marks", F.lit(0))
+    joined = join_back(rows, one, ["__place"], null_safe=False)
+    return joined.withColumns({n: (bits.bitwiseAND(F.lit(MARKS[n])) > 0).cast("int") for n in names}).drop("__marks")
+
+
+def route_marks(rows: DataFrame, scope: str = "all") -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """C1-C3 and the stop counts of C9: marked places, routes, months."""
+    sequences = cut_lineage(sequence_stats(rows, scope))
+    # rows without a service day share the null route; their stop is still ordered
+    stops = cut_lineage(sequences.groupBy("route_key", "stop_key").agg(
         F.min("head").alias("head"), F.sum("rc_units").alias("rc_units"), F.count("delivery_head").alias("deliveries")
-    )
+    ))
     routes = (
         stops.filter(F.col("route_key").isNotNull())
         .groupBy("route_key")
@@ -105,31 +132,37 @@ def route_flags(narrow: DataFrame, scope: str = "all") -> DataFrame:
             F.sum("deliveries").alias("route_stop_count"),
         )
     )
-    per_stop = join_back(stops.select("route_key", "stop_key", F.col("head").alias("stop_head")), routes, ["route_key"])
-    # rows without a service day share the null route; their stop is still ordered
-    per_sequence = join_back(sequences.select("route_key", "delivery_seq", "stop_key", "delivery_head"), per_stop.drop("route_key"), ["stop_key"]).drop("stop_key")
-    place = F.col("__place")
-    rows = join_back(narrow.select("__row", "__place", "route_key", "delivery_seq", "fill_dc", "year", "month"), per_sequence, ["route_key", "delivery_seq"])
-    flagged = cut_lineage(
-        rows.select(
-            "__row", "fill_dc", "year", "month", "route_stop_count",
-            F.coalesce("rc_total", F.lit(0.0)).alias("rc_total"),
-            F.coalesce("fm_count", F.lit(0)).alias("fm_count"),
-            fx.is_true(place == F.col("stop_head")).cast("int").alias("first_of_stop"),
-            fx.is_true(place == F.col("delivery_head")).cast("int").alias("delivery_stop"),
-        )
-    )
-    month = ["fill_dc", "year", "month"]
-    months = flagged.filter("delivery_stop = 1").dropna(subset=month).groupBy(*month).agg(F.count(F.lit(1)).alias("fill_dc_stop_count"))
+    heads = sequences.select(F.col("delivery_head").alias("__place"))
+    delivered = rows.select("__place", *MONTH).join(heads, "__place", "left_semi").dropna(subset=MONTH)
+    months = delivered.groupBy(*MONTH).agg(F.count(F.lit(1)).alias("fill_dc_stop_count"))
+    marks = [_marked(stops, "head", "first_of_stop"), _marked(sequences, "delivery_head", "delivery_stop")]
+    return marks, cut_lineage(routes), cut_lineage(months)
+
+
+def _with_routes(rows: DataFrame, routes: DataFrame, months: DataFrame) -> DataFrame:
+    """What holds for the whole route and month, on each row."""
     known = F.col("fill_dc").isNotNull() & F.col("year").isNotNull()
-    joined = join_back(flagged, months, month, null_safe=False)
-    return joined.withColumn("fill_dc_stop_count", F.when(known, F.coalesce("fill_dc_stop_count", F.lit(0)))).drop(*month)
+    joined = join_back(join_back(rows, routes, ["route_key"], null_safe=False), months, MONTH, null_safe=False)
+    return joined.withColumns(
+        {
+            "rc_total": F.coalesce("rc_total", F.lit(0.0)),
+            "fm_count": F.coalesce("fm_count", F.lit(0)),
+            "fill_dc_stop_count": F.when(known, F.coalesce("fill_dc_stop_count", F.lit(0))),
+        }
+    )
+
+
+def _named_stops(rows: DataFrame) -> DataFrame:
+    """The stop key is formed last, as only the reader of the rows may want it."""
+    return rows if "stop_key" in rows.columns else rows.withColumn("stop_key", stop_key())
 
 
 def flag_stops(events: DataFrame, order_cols: Sequence[str], scope: str = "all") -> DataFrame:
     """C1-C3 and the stop counts of C9 on each row."""
-    rows = numbered(_with_keys(events))
-    return join_back(rows, route_flags(placed(rows, order_cols, ROUTE_COLUMNS), scope), ["__row"], null_safe=False).drop("__row")
+    rows = placed(numbered(events), order_cols, derive=_with_route_key)
+    marks, routes, months = route_marks(rows, scope)
+    flagged = _flagged(rows, marks, ["first_of_stop", "delivery_stop"])
+    return _named_stops(_with_routes(flagged, routes, months)).drop("__place")
 
 
 def route_cost(rate: str = "total_rate", overflow: str = "leg_total_cost") -> Column:
@@ -180,34 +213,39 @@ def week_stats(events: DataFrame, scope: str = "all", first: Column | None = Non
     return stops, weeks
 
 
-def week_flags(narrow: DataFrame, scope: str = "all") -> DataFrame:
-    """C5-C7 for each ``__row``."""
-    stops, weeks = week_stats(narrow, scope, F.col("__place"))
-    per_stop = join_back(stops.select("week_key", "stop_id", "week_first"), weeks, ["week_key"])
-    rows = join_back(narrow.select("__row", "__place", "week_key", "stop_id"), per_stop, ["week_key", "stop_id"])
-    first = fx.is_true(_is_kind("__place", *DELIVERY_CHARGES) & (F.col("__place") == F.col("week_first")))
+def week_marks(rows: DataFrame, scope: str = "all") -> tuple[list[DataFrame], DataFrame]:
+    """Marked places, weeks."""
+    stops, weeks = week_stats(rows, scope, F.col("__place"))
+    delivers = stops.filter(_is_kind("week_first", *DELIVERY_CHARGES))
+    return [_marked(delivers, "week_first", "first_of_week")], cut_lineage(weeks)
+
+
+def _with_weeks(rows: DataFrame, weeks: DataFrame) -> DataFrame:
+    """The week's surcharge on each row, and the share of it."""
     share = F.when(F.col("topside_stops") > 0, F.col("topside_total") / F.col("topside_stops")).otherwise(0.0)
-    return rows.select(
-        "__row",
-        first.cast("int").alias("first_of_week"),
-        F.coalesce("topside_total", F.lit(0.0)).alias("topside_total"),
-        F.coalesce("topside_stops", F.lit(0)).alias("topside_stops"),
-        F.when(first, share).otherwise(0.0).alias("topside_share"),
+    return join_back(rows, weeks, ["week_key"], null_safe=False).withColumns(
+        {
+            "topside_total": F.coalesce("topside_total", F.lit(0.0)),
+            "topside_stops": F.coalesce("topside_stops", F.lit(0)),
+            "topside_share": F.when(F.col("first_of_week") == 1, share).otherwise(0.0),
+        }
     )
 
 
 def topside_share(events: DataFrame, order_cols: Sequence[str], scope: str = "all") -> DataFrame:
     """Each row with its share of the week's surcharge."""
-    rows = numbered(with_week_key(events))
-    return join_back(rows, week_flags(placed(rows, order_cols, WEEK_COLUMNS), scope), ["__row"], null_safe=False).drop("__row")
+    rows = placed(numbered(events), order_cols, derive=with_week_key)
+    marks, weeks = week_marks(rows, scope)
+    return _with_weeks(_flagged(rows, marks, ["first_of_week"]), weeks).drop("__place")
 
 
 def flag_all(events: DataFrame, order_cols: Sequence[str], scope: str = "all") -> DataFrame:
     """``flag_stops`` and ``topside_share`` in one: one numbering, one join back."""
-    rows = numbered(with_week_key(_with_keys(events)))
-    narrow = placed(rows, order_cols, ROUTE_COLUMNS + WEEK_COLUMNS)
-    flags = join_back(route_flags(narrow, scope), week_flags(narrow, scope), ["__row"], null_safe=False)
-    return join_back(rows, flags, ["__row"], null_safe=False).drop("__row")
+    rows = placed(numbered(events), order_cols, derive=lambda rows: with_week_key(_with_route_key(rows)))
+    of_stops, routes, months = route_marks(rows, scope)
+    of_weeks, weeks = week_marks(rows, scope)
+    flagged = _flagged(rows, of_stops + of_weeks, list(MARKS))
+    return _named_stops(_with_weeks(_with_routes(flagged, routes, months), weeks)).drop("__place")
 
 
 def drop_topside_rows(events: DataFrame) -> DataFrame:

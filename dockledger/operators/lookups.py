@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from dockledger.functions import columns as fx
 from dockledger.functions.stats import join_back
 from dockledger.operators.prepare import split_job_key
+from dockledger.session import cut_lineage
 
 CUSTOMER_KEYS = {"job_dc": "fill_dc_id", "job_customer": "account_id", "job_route": "route_no", "job_stop": "stop_no"}
 
@@ -51,8 +52,9 @@ def join_multiplier(
     rows: DataFrame, multipliers: DataFrame, value: str, dock: str = "xdock", null_safe: bool = False
 ) -> DataFrame:
     """Inner join of a dock-month multiplier; rows of docks without one
-    vanish (``dropped_markets`` reports them)."""
-    right = multipliers.select(fx.normalize_key(dock).alias("__dock"), "year", "month", value)
+    vanish (``dropped_markets`` reports them). The multipliers are written first, so that
+    Spark knows their size before it decides whether the rows have to be shuffled."""
+    right = cut_lineage(multipliers.select(fx.normalize_key(dock).alias("__dock"), "year", "month", value))
     left = rows.withColumn("__dock", fx.normalize_key("dc"))
     return equi_join(left, right, ["__dock", "year", "month"], "inner", null_safe).drop("__dock")
 
@@ -65,8 +67,10 @@ def dropped_markets(rows: DataFrame, multipliers: DataFrame, dock: str = "xdock"
 
 
 def join_benchmark(rows: DataFrame, benchmarks: DataFrame, null_safe: bool = False) -> DataFrame:
-    """Benchmark costs of the DC-month, null where there are none."""
-    return equi_join(rows, benchmarks.withColumnRenamed("distribution_center", "dc"), ["dc", "year", "month"], "left", null_safe)
+    """Benchmark costs of the DC-month, null where there are none. They are written
+    first, as the multipliers are."""
+    right = cut_lineage(benchmarks.withColumnRenamed("distribution_center", "dc"))
+    return equi_join(rows, right, ["dc", "year", "month"], "left", null_safe)
 
 
 def carrier_codes(events: DataFrame) -> DataFrame:
@@ -78,7 +82,7 @@ def carrier_codes(events: DataFrame) -> DataFrame:
 
 def add_dock_code(telemetry: DataFrame, codes: DataFrame) -> DataFrame:
     """Telemetry rows with carrier code and dock code, null if either is unknown."""
-    named = codes.select(F.col("carrier_name").alias("courier_name"), F.col("carrier_cd").alias("scac"))
+    named = cut_lineage(codes.select(F.col("carrier_name").alias("courier_name"), F.col("carrier_cd").alias("scac")))
     joined = equi_join(telemetry, named, ["courier_name"])
     return joined.withColumn("xdock", fx.dock_code("x_dock", "scac"))
 

@@ -7,24 +7,36 @@ as SQL for the cross-check.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dockledger.session import spread
+
 ORDER_COLS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+# Columns of charge rows that neither the allocation nor the cost rollups read.
+BESIDE_COST = [
+    "carrier_cd", "carrier_name", "base_cost", "leg_base_cost", "leg_fuel_cost", "leg_misc_cost",
+    "tote_count", "route_count", "stop_count", "route_tote_count",
+]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _docks(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers with route, fill DC, dock and dock carrier."""
-    nation = table(spark, sf, "nation")
-    joined = table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+def lines(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    """Order lines (or ``rows`` made of them) with route, fill DC, dock and dock carrier of
+    their supplier. Two joins with plain tables, whose size Spark knows beforehand; texts
+    are formed after all joins."""
+    suppliers = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    found = (table(spark, sf, "lineitem") if rows is None else rows).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    joined = found.join(table(spark, sf, "nation").select("n_nationkey", "n_regionkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
     carrier = F.concat(F.lit("C"), (F.col("s_nationkey") % 6).cast("string"))
     place = F.concat(F.lit("XD_"), F.col("n_regionkey").cast("string"), F.lit("_"), F.col("n_name"))
     return joined.select(
-        "s_suppkey",
+        *[c for c in found.columns if c != "s_nationkey"],
         F.col("s_nationkey").alias("nation"),
         F.concat(F.lit("R"), F.col("s_nationkey").cast("string")).alias("route_id"),
         F.col("n_regionkey").cast("string").alias("fill_dc"),
@@ -35,17 +47,15 @@ def _docks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def lines(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").join(_docks(spark, sf), F.col("l_suppkey") == F.col("s_suppkey"))
-
-
-def delivery_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Charge rows. Service day is the month's first, so that routes have many stops."""
+def delivery_events(spark: SparkSession, sf: str, rows: DataFrame | None = None, more: Sequence[str] = ()) -> DataFrame:
+    """Charge rows. Service day is the month's first, so that routes have many stops.
+    ``rows`` are order lines joined with something, of which ``more`` stays."""
     flag = F.concat("l_returnflag", "l_linestatus")
     total = F.col("l_extendedprice") * (1 - F.col("l_discount")) / 1000
     carrier_no = (F.col("l_suppkey") % 6).cast("string")
-    return lines(spark, sf).select(
+    return lines(spark, sf, rows).select(
         *ORDER_COLS,
+        *more,
         F.when(flag == "RF", "RC").when(flag == "RO", "TS").when(flag == "NO", "OV").otherwise("FM").alias("charge_type"),
         F.when(F.col("l_tax") < 0.07, "REG").otherwise("STAT").alias("delivery_type"),
         "route_id",
@@ -74,15 +84,27 @@ def delivery_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def events_with_distance(spark: SparkSession, sf: str) -> DataFrame:
+def _lines_with_size(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part").select("p_partkey", "p_size")
-    joined = delivery_events(spark, sf).join(part, F.col("stop_id") == F.col("p_partkey"), "left")
-    return joined.withColumn("distance", F.col("tote_count") * (1 + F.col("p_size"))).drop("p_partkey", "p_size")
+    return table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"), "left").drop("p_partkey")
 
 
-def _order_customers(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    return orders.join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+def _distance(events: DataFrame) -> DataFrame:
+    return events.withColumn("distance", F.col("tote_count") * (1 + F.col("p_size"))).drop("p_size")
+
+
+def events_with_distance(spark: SparkSession, sf: str) -> DataFrame:
+    return _distance(delivery_events(spark, sf, _lines_with_size(spark, sf), ["p_size"]))
+
+
+def _lines_of_customers(spark: SparkSession, sf: str, columns: Sequence[str], of_customer: Sequence[str] = ()) -> DataFrame:
+    """Order lines with the customer of their order, joined while rows are narrow and
+    spread, as texts are added to them."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    known = table(spark, sf, "customer").select("c_custkey", *of_customer)
+    of_order = orders.join(known, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey")
+    rows = table(spark, sf, "lineitem").select("l_orderkey", *columns)
+    return spread(rows, "l_orderkey").join(of_order, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 def dirty_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,11 +128,13 @@ def dirty_events(spark: SparkSession, sf: str) -> DataFrame:
     return rows.unionByName(rows.filter(key % 5 == 0))
 
 
-def job_events(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
+def job_events(spark: SparkSession, sf: str, distance: bool = False) -> DataFrame:
     """Charge rows with the compound job key instead of customer columns."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    events = delivery_events(spark, sf) if events is None else events
-    joined = events.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = _lines_with_size(spark, sf) if distance else table(spark, sf, "lineitem")
+    rows = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+    joined = delivery_events(spark, sf, rows, ["o_custkey", *(["p_size"] if distance else [])])
+    joined = _distance(joined) if distance else joined
     job = F.concat_ws(
         "-", "fill_dc", F.concat(F.lower("route_id"), F.lit(" ")), F.col("delivery_seq").cast("string"),
         F.col("o_custkey").cast("string"), F.date_format("delivered_at", "yyyy-MM-dd"),
@@ -118,12 +142,13 @@ def job_events(spark: SparkSession, sf: str, events: DataFrame | None = None) ->
     # every 101st order came without a job key, every 97th with a short one
     short = F.concat_ws("-", "fill_dc", "route_id")
     key = F.when(F.col("l_orderkey") % 101 == 0, None).when(F.col("l_orderkey") % 97 == 0, short).otherwise(job)
-    return joined.withColumn("job_id", key).drop("o_orderkey", "o_custkey")
+    return joined.withColumn("job_id", key).drop("o_custkey")
 
 
 def customers(spark: SparkSession, sf: str) -> DataFrame:
     """Account, route and stop per customer; some accounts are missing, some twice."""
-    joined = lines(spark, sf).join(_order_customers(spark, sf), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = _lines_of_customers(spark, sf, ["l_suppkey", "l_linenumber"], ["c_mktsegment", "c_name"])
+    joined = lines(spark, sf, rows)
     found = joined.filter(F.col("c_custkey") % 10 != 3).select(
         F.col("fill_dc").alias("fill_dc_id"),
         F.concat(F.lit(" "), F.col("c_custkey").cast("string")).alias("account_id"),
@@ -138,7 +163,7 @@ def customers(spark: SparkSession, sf: str) -> DataFrame:
 
 def geo_shipments(spark: SparkSession, sf: str) -> DataFrame:
     """Stops with coordinates; every fifth nation ships from a plant, no crossdock."""
-    joined = lines(spark, sf).join(_order_customers(spark, sf), F.col("l_orderkey") == F.col("o_orderkey"))
+    joined = lines(spark, sf, _lines_of_customers(spark, sf, ["l_suppkey", "l_shipdate"]))
     stop = F.col("c_custkey").cast("string")
     return joined.select(
         "route_id",

@@ -24,7 +24,7 @@ from dockledger.plans.scorecards import KEYS, THRESHOLDS
 )
 def pipeline_scorecard(spark: SparkSession, sf: str) -> DataFrame:
     """Charge rows -> customers -> allocation -> multipliers -> benchmark -> groups -> scores."""
-    charges = b.job_events(spark, sf, b.events_with_distance(spark, sf))
+    charges = b.job_events(spark, sf, distance=True)
     return pipelines.scorecard_from_charges(
         charges, b.customers(spark, sf), n.geography_table(spark, sf), n.shipment_table(spark, sf), n.density_table(spark, sf),
         b.benchmarks(spark, sf), [*b.ORDER_COLS, "customer_name"], KEYS, THRESHOLDS, SCORE_DRIVERS,
@@ -35,7 +35,7 @@ def pipeline_scorecard(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dirty(spark: SparkSession, sf: str) -> DataFrame:
-    return prepare.filter_codes(b.dirty_events(spark, sf))
+    return prepare.filter_codes(b.dirty_events(spark, sf).drop(*b.BESIDE_COST))
 
 
 def _plain_cost(c: str = "cost_per_stop") -> Column:

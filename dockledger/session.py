@@ -77,6 +77,13 @@ def _release_at_exit() -> None:
         release_tables(active)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` hashed by ``columns`` over all of the session's shuffle partitions. Adaptive
+    execution merges partitions by the bytes they read, and leaves these alone: for steps
+    that form much wider rows in memory than they read."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to a new folder in the shared checkpoint storage and read it
     back.

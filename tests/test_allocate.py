@@ -140,3 +140,18 @@ def test_charge_rows_are_hashed_not_sorted(events):
     for stats in (allocate.sequence_stats(narrow), narrow.groupBy("week_key", "stop_id").agg(F.min("__place"), F.max(F.col("charge_type") == "FM"))):
         plan = stats._jdf.queryExecution().sparkPlan().toString()
         assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_charge_rows_are_joined_once_by_their_place(events):
+    """Whatever holds for a route, week or month is a small table that was written before."""
+    plan = allocate.flag_all(events, ["n"])._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") <= 1 and plan.count("BroadcastHashJoin") >= 3
+
+
+def test_stop_key_and_flags_of_rows_that_tie(spark):
+    """Rows equal in load order: each stop, sequence and week still has one first row."""
+    data = [(1, "A", MON, "1", "FM", "s1", 10.0, None)] * 3 + [(1, "A", MON, "2", "OV", "s2", 5.0, None)] * 2
+    out = allocate.flag_all(rows(spark, data), ["n"]).collect()
+    for flag in ("first_of_stop", "delivery_stop", "first_of_week"):
+        assert sorted((r["stop_key"], r[flag]) for r in out if r[flag]) == [("A|D1|20260504|1", 1), ("A|D1|20260504|2", 1)]
+    assert {r["route_stop_count"] for r in out} == {2} and {r["fill_dc_stop_count"] for r in out} == {2}
