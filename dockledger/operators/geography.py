@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dockledger.functions import columns as fx
 from dockledger.functions.stats import join_back
-from dockledger.session import cut_lineage
+from dockledger.session import cut_lineage, spread
 
 ROUTE_DAY = ["route_id", "origin", "fill_dc", "route_date"]
 COORDS = ["dest_lat", "dest_lon"]
@@ -51,13 +51,16 @@ def previous_stop(stops: DataFrame, chunk: int = 1000) -> DataFrame:
     continues from the last stop of the run before it.
     """
     rows = _sequenced(stops, chunk)
-    run = [*ROUTE_DAY, "__part", "__run"]
-    ends = rows.groupBy(*run).agg(F.max_by(F.struct(*COORDS), "__at").alias("__end"))
+    ends = rows.groupBy(*ROUTE_DAY, "__part", "__run").agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"))
     across = Window.partitionBy(*ROUTE_DAY).orderBy("__part", "__run")
-    ends = ends.withColumn("__before", F.lag("__end").over(across)).drop("__end")
-    within = Window.partitionBy(*run).orderBy("__at")
-    rows = join_back(rows.withColumn("__lag", F.lag(F.struct(*COORDS)).over(within)), ends, run)
-    previous = F.coalesce("__lag", "__before")
+    before = cut_lineage(ends.select("__first", F.lag("__last").over(across).alias("__at")).dropna())
+    # few rows, one a run: their size is known when the stops are joined
+    starts = rows.select("__at", F.struct(*COORDS).alias("__before")).join(before, "__at")
+    starts = cut_lineage(starts.select(F.col("__first").alias("__at"), "__before"))
+    last = F.lag(F.struct(F.struct(*ROUTE_DAY).alias("day"), F.struct(*COORDS).alias("at"))).over(Window.partitionBy("__part", "__run").orderBy("__at"))
+    rows = join_back(spread(rows, "__part", "__run").withColumn("__lag", last), starts, ["__at"], null_safe=False)
+    same_day = F.col("__lag")["day"].eqNullSafe(F.struct(*ROUTE_DAY))
+    previous = F.coalesce(F.when(same_day, F.col("__lag")["at"]), "__before")
     return rows.withColumns(
         {
             "prev_lat": F.coalesce(previous["dest_lat"], F.col("origin_lat")),

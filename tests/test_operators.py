@@ -259,3 +259,20 @@ def test_no_run_is_longer_than_asked_whatever_the_ids(spark):
     assert runs.agg(F.max("count")).first()[0] <= 1000 and runs.count() >= 20
     got = {r["stop_id"]: r["prev_lat"] for r in geography.previous_stop(stops).collect()}
     assert got == {s: float(i - 1) for i, s in enumerate(ids)}
+
+
+def test_stops_are_spread_and_joined_to_written_tables(spark):
+    """The lag runs on as many partitions as the session names, which stay apart; run starts are a written table."""
+    stops = spark.createDataFrame([("R", str(i), "O", "F", None, float(i), 0.0, -1.0, -1.0) for i in range(50)], "route_id string, stop_id string, origin string, fill_dc string, route_date date, dest_lat double, dest_lon double, origin_lat double, origin_lon double")
+    out = geography.previous_stop(stops, 10)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {r["stop_id"]: r["prev_lat"] for r in out.collect()} == {str(i): float(i - 1) for i in range(50)}
+
+
+def test_multipliers_are_written_before_rows_meet_them(spark):
+    """Their size is known then, so the rows are not shuffled for them."""
+    rows = spark.createDataFrame([("D", 2026, 5, 1.0)], "dc string, year int, month int, cost double")
+    table = rows.groupBy(F.col("dc").alias("xdock"), "year", "month").agg(F.max("cost").alias("m"))
+    plan = lookups.join_multiplier(rows, table, "m")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Aggregate" not in plan
