@@ -81,6 +81,11 @@ def placed(
 ROUTE_COLUMNS = ["route_key", "delivery_seq", "fill_dc", "year", "month", "total_rate"]
 WEEK_COLUMNS = ["week_key", "stop_id", "topside_cost"]
 MONTH = ["fill_dc", "year", "month"]
+# The columns of charge rows that the allocation reads.
+INPUTS = [
+    "charge_type", "route_id", "dc", "service_date", "delivered_at", "delivery_seq", "stop_id", *MONTH,
+    "total_rate", "topside_cost", "leg_total_cost",
+]
 
 
 def sequence_stats(narrow: DataFrame, scope: str = "all") -> DataFrame:

@@ -86,7 +86,10 @@ def scorecard_from_charges(
 ) -> DataFrame:
     """The whole dataflow: charge rows with their job keys -> customers -> cost per stop ->
     normalized cost -> benchmark -> market groups -> scored markets."""
-    rows = allocated_costs(lookups.join_customers(charges, customers), order_cols)
+    # the allocation writes and shuffles its rows: what no later step reads stays behind
+    needed = {*order_cols, *keys, *drivers, *allocate.INPUTS, "delivery_type"}
+    joined = lookups.join_customers(charges, customers)
+    rows = allocated_costs(joined.select([c for c in joined.columns if c in needed]), order_cols)
     rows = normalized_rows(rows, geography_table, shipment_table, density_table)
     return scorecard(lookups.join_benchmark(rows, benchmarks), keys, thresholds, drivers)
 

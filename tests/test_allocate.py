@@ -155,3 +155,9 @@ def test_stop_key_and_flags_of_rows_that_tie(spark):
     for flag in ("first_of_stop", "delivery_stop", "first_of_week"):
         assert sorted((r["stop_key"], r[flag]) for r in out if r[flag]) == [("A|D1|20260504|1", 1), ("A|D1|20260504|2", 1)]
     assert {r["route_stop_count"] for r in out} == {2} and {r["fill_dc_stop_count"] for r in out} == {2}
+
+
+def test_inputs_are_all_the_allocation_reads(events):
+    """Rows cut down to them and the order cost what whole rows cost."""
+    narrow = events.select("n", *[c for c in events.columns if c in allocate.INPUTS])
+    assert costs(allocate.allocate_costs(narrow, ["n"])) == costs(allocate.allocate_costs(events, ["n"]))
