@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dockledger.functions import columns as fx
 from dockledger.functions.stats import join_back
-from dockledger.session import cut_lineage, spread
+from dockledger.session import cut_lineage, partitions_of, spread
 
 ROUTE_DAY = ["route_id", "origin", "fill_dc", "route_date"]
 COORDS = ["dest_lat", "dest_lon"]
@@ -32,10 +34,14 @@ def route_stops(shipments: DataFrame, since: str | None = None) -> DataFrame:
 
 def _sequenced(stops: DataFrame, chunk: int) -> DataFrame:
     """Stops with ``__at``, ascending in the order of their route-day, and their run:
-    ``__part`` and ``__run``, at most ``chunk`` neighbours of one range partition."""
+    ``__part`` and ``__run``, at most ``chunk`` neighbours of one range partition. They are
+    written first: sampling split points would form them again, and their number gives
+    that of the range partitions, which adaptive execution then does not merge."""
     order = [*ROUTE_DAY, F.col("__num").isNull(), "__num", "stop_id", *COORDS]
-    ranged = stops.withColumn("__num", fx.numeric_text("stop_id"))
-    ranged = ranged.repartitionByRange(*order).sortWithinPartitions(*order).drop("__num")
+    kept = cut_lineage(stops)
+    ranged = kept.withColumn("__num", fx.numeric_text("stop_id"))
+    ranged = ranged.repartitionByRange(partitions_of(kept.sparkSession, kept.count()), *order)
+    ranged = ranged.sortWithinPartitions(*order).drop("__num")
     placed = cut_lineage(ranged.withColumn("__at", F.monotonically_increasing_id()))
     local = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     return placed.withColumns({"__part": F.shiftrightunsigned("__at", 33), "__run": F.floor(local / chunk)})
@@ -50,23 +56,28 @@ def previous_stop(stops: DataFrame, chunk: int = 1000) -> DataFrame:
     like: inside a run the previous row is a plain lag, and the first row of a run
     continues from the last stop of the run before it.
     """
-    rows = _sequenced(stops, chunk)
-    ends = rows.groupBy(*ROUTE_DAY, "__part", "__run").agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"))
-    across = Window.partitionBy(*ROUTE_DAY).orderBy("__part", "__run")
-    before = cut_lineage(ends.select("__first", F.lag("__last").over(across).alias("__at")).dropna())
-    # few rows, one a run: their size is known when the stops are joined
-    starts = rows.select("__at", F.struct(*COORDS).alias("__before")).join(before, "__at")
-    starts = cut_lineage(starts.select(F.col("__first").alias("__at"), "__before"))
-    last = F.lag(F.struct(F.struct(*ROUTE_DAY).alias("day"), F.struct(*COORDS).alias("at"))).over(Window.partitionBy("__part", "__run").orderBy("__at"))
-    rows = join_back(spread(rows, "__part", "__run").withColumn("__lag", last), starts, ["__at"], null_safe=False)
-    same_day = F.col("__lag")["day"].eqNullSafe(F.struct(*ROUTE_DAY))
-    previous = F.coalesce(F.when(same_day, F.col("__lag")["at"]), "__before")
+    rows, run = _sequenced(stops, chunk), ["__part", "__run"]
+    ends = rows.groupBy(*ROUTE_DAY, *run).agg(*[F.max_by(c, "__at").alias(c) for c in COORDS])
+    across = Window.partitionBy(*ROUTE_DAY).orderBy(*run)
+    before = {c: f"__before_{c}" for c in COORDS}
+    # only the first route-day of a run goes on from an earlier one: at most one row a run
+    starts = cut_lineage(ends.select(*run, *[F.lag(c).over(across).alias(b) for c, b in before.items()]).dropna("all", subset=[*before.values()]))
+    # a lag of plain columns widens no row that is sorted, and the join needs the rows as the lag leaves them
+    last = {c: f"__last_{c}" for c in [*ROUTE_DAY, *COORDS, "__at"]}
+    within = Window.partitionBy(*run).orderBy("__at")
+    rows = spread(rows, *run, rows=rows.count()).withColumns({name: F.lag(c).over(within) for c, name in last.items()})
+    rows = join_back(rows, starts, run, null_safe=False)
+    same_day = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(last[c])) for c in ROUTE_DAY])
+
+    def previous(c: str) -> Column:
+        return F.when(F.col(last["__at"]).isNull(), F.col(before[c])).when(same_day, F.col(last[c]))
+
     return rows.withColumns(
         {
-            "prev_lat": F.coalesce(previous["dest_lat"], F.col("origin_lat")),
-            "prev_lon": F.coalesce(previous["dest_lon"], F.col("origin_lon")),
+            "prev_lat": F.coalesce(previous("dest_lat"), F.col("origin_lat")),
+            "prev_lon": F.coalesce(previous("dest_lon"), F.col("origin_lon")),
         }
-    ).drop("__at", "__part", "__run", "__lag", "__before")
+    ).drop("__at", *run, *last.values(), *before.values())
 
 
 def leg_miles(sequenced: DataFrame) -> DataFrame:

@@ -100,11 +100,12 @@ def events_with_distance(spark: SparkSession, sf: str) -> DataFrame:
 def _lines_of_customers(spark: SparkSession, sf: str, columns: Sequence[str], of_customer: Sequence[str] = ()) -> DataFrame:
     """Order lines with the customer of their order, joined while rows are narrow and
     spread, as texts are added to them."""
+    given = table(spark, sf, "lineitem")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     known = table(spark, sf, "customer").select("c_custkey", *of_customer)
     of_order = orders.join(known, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey")
-    rows = table(spark, sf, "lineitem").select("l_orderkey", *columns)
-    return spread(rows, "l_orderkey").join(of_order, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = given.select("l_orderkey", *columns)
+    return spread(rows, "l_orderkey", rows=given.count()).join(of_order, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 def dirty_events(spark: SparkSession, sf: str) -> DataFrame:

@@ -77,11 +77,17 @@ def _release_at_exit() -> None:
         release_tables(active)
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """``df`` hashed by ``columns`` over all of the session's shuffle partitions. Adaptive
-    execution merges partitions by the bytes they read, and leaves these alone: for steps
-    that form much wider rows in memory than they read."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+def partitions_of(spark: SparkSession, rows: int, each: int = 250_000) -> int:
+    """The session's shuffle partitions, or more, if one would get more than ``each`` of
+    ``rows`` rows: a session's number need not grow with its tables."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
+def spread(df: DataFrame, *columns: str, rows: int = 0) -> DataFrame:
+    """``df`` hashed by ``columns`` over all of the session's shuffle partitions, or as many
+    as ``rows`` rows need. Adaptive execution merges partitions by the bytes they read, and
+    leaves these alone: for steps that form much wider rows in memory than they read."""
+    return df.repartition(partitions_of(df.sparkSession, rows), *columns)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

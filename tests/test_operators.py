@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dockledger.operators import geography, lookups, multipliers, prepare, profiles, rollups, views
 from dockledger.operators import scoring as sc
+from dockledger.session import partitions_of
 
 
 # ---- joins ------------------------------------------------------------------
@@ -276,3 +277,31 @@ def test_multipliers_are_written_before_rows_meet_them(spark):
     table = rows.groupBy(F.col("dc").alias("xdock"), "year", "month").agg(F.max("cost").alias("m"))
     plan = lookups.join_multiplier(rows, table, "m")._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan and "Aggregate" not in plan
+
+
+STOPS = "route_id string, stop_id string, origin string, fill_dc string, route_date date, dest_lat double, dest_lon double, origin_lat double, origin_lon double"
+
+
+def test_run_starts_meet_the_rows_as_the_lag_leaves_them(spark):
+    """However large the table of run starts is, rows are neither shuffled nor sorted again for it."""
+    stops = spark.createDataFrame([("R", str(i), "O", None, None, float(i), None if i % 10 == 9 else 0.0, -1.0, -2.0) for i in range(50)], STOPS)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = geography.previous_stop(stops, 10)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r["stop_id"]: (r["prev_lat"], r["prev_lon"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # one of the rows, one of the run starts
+    assert plan.count("Exchange") == 2 and plan.count("Sort [") == 2 and "struct(" not in plan
+    assert got == {str(i): (float(i - 1), -2.0 if i % 10 == 0 else 0.0) for i in range(50)}
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    """More rows than the session's partitions should hold go to more of them."""
+    assert partitions_of(spark, 0) == partitions_of(spark, 750_000) == 3 and partitions_of(spark, 750_001) == 4
+    monkeypatch.setattr(geography, "partitions_of", lambda session, rows: partitions_of(session, rows, 10))
+    stops = spark.createDataFrame([("R", f"{i:03d}", "O", "F", None, float(i), 0.0, -1.0, -1.0) for i in range(200)], STOPS)
+    parts = geography._sequenced(stops, 1000).groupBy("__part").count()
+    assert parts.count() > 10 and parts.agg(F.max("count")).first()[0] < 40
+    assert {r["stop_id"]: r["prev_lat"] for r in geography.previous_stop(stops).collect()} == {f"{i:03d}": float(i - 1) for i in range(200)}
