@@ -26,12 +26,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _supplied(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
+    suppliers = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    return rows.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+
+
 def lines(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
     """Order lines (or ``rows`` made of them) with route, fill DC, dock and dock carrier of
     their supplier. Two joins with plain tables, whose size Spark knows beforehand; texts
     are formed after all joins."""
-    suppliers = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
-    found = (table(spark, sf, "lineitem") if rows is None else rows).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    found = table(spark, sf, "lineitem") if rows is None else rows
+    found = found if "s_nationkey" in found.columns else _supplied(spark, sf, found)
     joined = found.join(table(spark, sf, "nation").select("n_nationkey", "n_regionkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
     carrier = F.concat(F.lit("C"), (F.col("s_nationkey") % 6).cast("string"))
     place = F.concat(F.lit("XD_"), F.col("n_regionkey").cast("string"), F.lit("_"), F.col("n_name"))
@@ -98,13 +103,14 @@ def events_with_distance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _lines_of_customers(spark: SparkSession, sf: str, columns: Sequence[str], of_customer: Sequence[str] = ()) -> DataFrame:
-    """Order lines with the customer of their order, joined while rows are narrow and
-    spread, as texts are added to them."""
+    """Order lines with their supplier and the customer of their order, joined while rows
+    are narrow and spread, as texts are added to them: that is the last shuffle, since a
+    supplier table beyond the broadcast limit would have them merged again."""
     given = table(spark, sf, "lineitem")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     known = table(spark, sf, "customer").select("c_custkey", *of_customer)
     of_order = orders.join(known, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey")
-    rows = given.select("l_orderkey", *columns)
+    rows = _supplied(spark, sf, given.select("l_orderkey", *columns))
     return spread(rows, "l_orderkey", rows=given.count()).join(of_order, F.col("l_orderkey") == F.col("o_orderkey"))
 
 

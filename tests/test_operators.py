@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dockledger.operators import geography, lookups, multipliers, prepare, profiles, rollups, views
 from dockledger.operators import scoring as sc
+from dockledger.plans import bindings
 from dockledger.session import partitions_of
 
 
@@ -305,3 +306,27 @@ def test_partitions_follow_the_rows(spark, monkeypatch):
     parts = geography._sequenced(stops, 1000).groupBy("__part").count()
     assert parts.count() > 10 and parts.agg(F.max("count")).first()[0] < 40
     assert {r["stop_id"]: r["prev_lat"] for r in geography.previous_stop(stops).collect()} == {f"{i:03d}": float(i - 1) for i in range(200)}
+
+
+def test_shipments_stay_spread_when_texts_are_added(spark, tmp_path):
+    """A supplier table beyond the broadcast limit is joined before the rows are spread, not after."""
+    day = "TIMESTAMP '1997-03-05 00:00:00'"
+    given = {
+        "lineitem": f"SELECT id AS l_orderkey, id % 4 AS l_suppkey, {day} AS l_shipdate FROM range(40)",
+        "orders": "SELECT id AS o_orderkey, id % 5 + 1 AS o_custkey FROM range(30)",
+        "customer": "SELECT id + 1 AS c_custkey FROM range(5)",
+        "supplier": "SELECT id AS s_suppkey, id AS s_nationkey FROM range(3) UNION ALL SELECT 1, 0",
+        "nation": "SELECT id AS n_nationkey, 7L AS n_regionkey, concat('N', id) AS n_name FROM range(3)",
+    }
+    for name, text in given.items():
+        spark.sql(text).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = bindings.geo_shipments(spark, str(tmp_path))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        got = rows.groupBy("route_id", "origin").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.index("REPARTITION_BY_NUM") < plan.index("hashpartitioning(l_suppkey")
+    # supplier 1 comes twice, supplier 3 is unknown
+    assert {tuple(r) for r in got} == {("R0", "PLANT_N0", 16), ("R1", "XD_7_N1", 8), ("R2", "XD_7_N2", 7)}
