@@ -119,16 +119,19 @@ def _apart(a: str, b: str) -> Column:
 
 def segment_links(found: DataFrame, how: Fingerprints) -> DataFrame:
     """``a``, ``b`` for fingerprints ``fp`` that meet in a segment's table and are
-    near on all bits; ``b`` is null once or more where ``a`` looks up a dense entry."""
+    near on all bits; ``b`` is null once or more where ``a`` looks up a dense entry.
+
+    Spark takes an exploded table to be as small as what it was made of, and would collect
+    and broadcast it; the joins are therefore merge joins by name."""
     fp = F.col("fp")
     searched = [(i, r) for i, r in enumerate(how.radii()) if r >= 0]
     entries = found.select(F.explode(F.array(*[F.struct(F.lit(i).alias("segment"), _segment(fp, i, how).alias("key")) for i, _ in searched])).alias("e"), fp.alias("b")).select("e.*", "b")
     sizes = entries.groupBy("segment", "key").agg(F.count("*").alias("n"))
-    listed = entries.join(sizes.filter(F.col("n") <= how.dense).drop("n"), ["segment", "key"])
+    listed = entries.hint("merge").join(sizes.filter(F.col("n") <= how.dense).drop("n"), ["segment", "key"])
     dense = sizes.filter(F.col("n") > how.dense).select("segment", "key", F.lit(None).cast("long").alias("b"))
     # a dense entry is met from both sides, as its whole neighbourhood changes its way
     probes = found.select(F.explode(F.concat(*[_probes(fp, i, r, how) for i, r in searched])).alias("p"), fp.alias("a")).select("p.*", "a")
-    met = probes.join(listed.unionByName(dense), ["segment", "key"])
+    met = probes.hint("merge").join(listed.unionByName(dense), ["segment", "key"])
     near = F.col("b").isNull() | (F.col("up") & (F.col("a") != F.col("b")) & (_apart("a", "b") <= how.distance))
     return met.filter(near).select("a", "b")
 
@@ -144,7 +147,7 @@ def centre_links(found: DataFrame, how: Fingerprints) -> DataFrame:
 
     rows = spread(outer).repartition("centre")
     least = (rows if inner == outer else spread(inner)).groupBy("centre").agg(F.min("a").alias("b"))
-    return rows.join(least, "centre").filter((F.col("a") != F.col("b")) & (_apart("a", "b") <= how.distance)).select("a", "b").distinct()
+    return rows.hint("merge").join(least, "centre").filter((F.col("a") != F.col("b")) & (_apart("a", "b") <= how.distance)).select("a", "b").distinct()
 
 
 def components(docs: DataFrame, how: Fingerprints = Fingerprints()) -> DataFrame:

@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from dockledger.llm import divergence, merkle, simhash
+from dockledger.session import cut_lineage
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row int, tree string, fp long, idx string, term string, key string"
 LONG = " ".join(f"W{i % 9973}" for i in range(60_000))
@@ -211,6 +212,15 @@ def test_links_of_a_dense_group_stay_linear(spark):
 # ---- source divergence ------------------------------------------------------
 
 
+def test_exploded_tables_are_not_broadcast(spark):
+    """What they are made of is far below the broadcast limit, they need not be."""
+    table = cut_lineage(spark.range(2000).select(F.xxhash64("id").alias("fp")))
+    for found in (simhash.segment_links(table, simhash.Fingerprints()), simhash.centre_links(table, simhash.Fingerprints())):
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def plain_divergence(rows, min_docs=30, top=50):
     found = []
     for _, text, lang, source, *_ in rows:
