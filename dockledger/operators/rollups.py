@@ -293,8 +293,10 @@ def market_groups(
     """A17-A19 in one table (J8); a group without paid rows keeps its counts."""
     present = [c for c in drivers if c in rows.columns]
     wanted = {n: (cost, p) for n, p in QUANTILES.items()} | {f"median_{c}": (c, 0.5) for c in present}
+    # written once: both the counts and the quantiles read the rows
+    rows = cut_lineage(rows.select(*dict.fromkeys([*keys, cost, *present])))
     # a driver without any value still gets its (null) column
-    return join_back(market_counts(rows, keys, cost), group_quantiles(_paid(rows, cost), keys, wanted), keys)
+    return join_back(market_counts(rows, keys, cost), group_quantiles(_paid(rows, cost), keys, wanted, written=True), keys)
 
 
 CROSSDOCK_COSTS = ["cost_per_stop", "normalized_cost", "benchmark_conservative", "benchmark_aggressive"]

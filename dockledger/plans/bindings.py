@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockledger.session import spread
+from dockledger.session import cut_lineage, spread
 
 ORDER_COLS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 # Columns of charge rows that neither the allocation nor the cost rollups read.
@@ -140,6 +140,8 @@ def job_events(spark: SparkSession, sf: str, distance: bool = False) -> DataFram
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     rows = _lines_with_size(spark, sf) if distance else table(spark, sf, "lineitem")
     rows = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+    # two joins of all order lines: written, so that their shuffles do not last through what follows
+    rows = cut_lineage(rows) if distance else rows
     joined = delivery_events(spark, sf, rows, ["o_custkey", *(["p_size"] if distance else [])])
     joined = _distance(joined) if distance else joined
     job = F.concat_ws(

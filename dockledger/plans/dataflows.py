@@ -13,6 +13,7 @@ from dockledger.plans import pipelines
 from dockledger.plans.bindings_sql import SCORE_DRIVERS, mavg
 from dockledger.plans.registry import query
 from dockledger.plans.scorecards import KEYS, THRESHOLDS
+from dockledger.session import settled
 
 
 @query(
@@ -23,10 +24,14 @@ from dockledger.plans.scorecards import KEYS, THRESHOLDS
     "benchmark_sensitivity_abs_pct combined_sensitivity_abs_pct median_benchmark_conservative aggressive_gap_pct",
 )
 def pipeline_scorecard(spark: SparkSession, sf: str) -> DataFrame:
-    """Charge rows -> customers -> allocation -> multipliers -> benchmark -> groups -> scores."""
+    """Charge rows -> customers -> allocation -> multipliers -> benchmark -> groups -> scores.
+
+    The tables of one row per dock and month come first, so that what they were made of is
+    gone before the charge rows take their room."""
+    geography, shipments, density = (settled(spark, lambda: made(spark, sf)) for made in (n.geography_table, n.shipment_table, n.density_table))
     charges = b.job_events(spark, sf, distance=True)
     return pipelines.scorecard_from_charges(
-        charges, b.customers(spark, sf), n.geography_table(spark, sf), n.shipment_table(spark, sf), n.density_table(spark, sf),
+        charges, b.customers(spark, sf), geography, shipments, density,
         b.benchmarks(spark, sf), [*b.ORDER_COLS, "customer_name"], KEYS, THRESHOLDS, SCORE_DRIVERS,
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dockledger.functions import columns as fx
 from dockledger.operators import allocate, boosting, geography, lookups, multipliers, prepare, rollups
 from dockledger.operators import scoring as sc
-from dockledger.session import cut_lineage
+from dockledger.session import cut_lineage, settled
 
 
 def allocated_costs(events: DataFrame, order_cols: Sequence[str], scope: str = "all") -> DataFrame:
@@ -88,8 +88,14 @@ def scorecard_from_charges(
     normalized cost -> benchmark -> market groups -> scored markets."""
     # the allocation writes and shuffles its rows: what no later step reads stays behind
     needed = {*order_cols, *keys, *drivers, *allocate.INPUTS, "delivery_type"}
-    joined = lookups.join_customers(charges, customers)
-    rows = allocated_costs(joined.select([c for c in joined.columns if c in needed]), order_cols)
+
+    def with_customers() -> DataFrame:
+        """Written, as are the customers: the shuffles of one step are gone before the next
+        begins, and the sampling of load order does not join everything again."""
+        joined = lookups.join_customers(charges, cut_lineage(customers))
+        return prepare.filter_codes(joined.select([c for c in joined.columns if c in needed]))
+
+    rows = allocated_costs(settled(charges.sparkSession, with_customers), order_cols)
     rows = normalized_rows(rows, geography_table, shipment_table, density_table)
     return scorecard(lookups.join_benchmark(rows, benchmarks), keys, thresholds, drivers)
 

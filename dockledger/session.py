@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,11 +65,12 @@ def release_tables(spark: SparkSession) -> int:
     """Remove the intermediate tables this process wrote, once no DataFrame that reads
     them is needed any more; runs at exit too, if the session still lives. Returns how
     many were removed."""
-    jvm, gone = spark._jvm, 0
-    while _WRITTEN:
-        place = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        gone += place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    return gone
+    return sum([_remove(spark, _WRITTEN.pop()) for _ in range(len(_WRITTEN))])
+
+
+def _remove(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 @atexit.register
@@ -90,14 +93,46 @@ def spread(df: DataFrame, *columns: str, rows: int = 0) -> DataFrame:
     return df.repartition(partitions_of(df.sparkSession, rows), *columns)
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a statement go when it ends. Without this they stay until the
+    driver happens to collect its garbage, which a large table does not bring about."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``build`` gives, written; what it wrote on the way is removed.
+    Nothing but its result may go on to read those tables."""
+    first = len(_WRITTEN)
+    out = cut_lineage(build())
+    passed = _WRITTEN[first:-1]
+    del _WRITTEN[first:-1]
+    for path in passed:
+        _remove(spark, path)
+    return out
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to a new folder in the shared checkpoint storage and read it
     back.
 
     Meant for reduced tables that several later steps read: the steps above run
     once, whatever columns the later steps prune, lost executors do not repeat
-    them, and the known file size lets Spark decide on broadcasts.
+    them, and the known file size lets Spark decide on broadcasts. The shuffle files of
+    those steps go at once.
     """
     path = scratch_path(df.sparkSession)
-    df.write.parquet(path)
+    with _shuffles_removed(df.sparkSession):
+        df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -330,3 +330,12 @@ def test_shipments_stay_spread_when_texts_are_added(spark, tmp_path):
     assert plan.index("REPARTITION_BY_NUM") < plan.index("hashpartitioning(l_suppkey")
     # supplier 1 comes twice, supplier 3 is unknown
     assert {tuple(r) for r in got} == {("R0", "PLANT_N0", 16), ("R1", "XD_7_N1", 8), ("R2", "XD_7_N2", 7)}
+
+
+def test_scorecard_steps_read_written_rows(spark, monkeypatch, tmp_path):
+    """Counts and quantiles of market groups read rows that were written once."""
+    met = []
+    monkeypatch.setattr(rollups, "market_counts", lambda rows, *a, of=rollups.market_counts: (met.append(rows), of(rows, *a))[1])
+    df = spark.range(40).selectExpr("concat('D', id % 2) AS xdock", "CAST(id AS DOUBLE) AS cost_per_stop")
+    assert {r["records"] for r in rollups.market_groups(df, ["xdock"], []).collect()} == {20}
+    assert "FileScan parquet" in met[0]._jdf.queryExecution().executedPlan().toString()

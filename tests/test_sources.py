@@ -1,5 +1,9 @@
+import os
+import time
+
 import pytest
 
+from dockledger import session
 from dockledger.sources import readers, writers
 
 
@@ -55,3 +59,37 @@ def test_intermediate_tables_need_a_shared_folder_and_are_removed(spark, monkeyp
 
     assert kept.count() == 5 and os.path.isdir(path)
     assert session.release_tables(spark) == 1 and not os.path.exists(path)
+
+
+def test_shuffle_files_go_with_the_statement(spark):
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    folders = [f.getPath() for f in env.blockManager().diskBlockManager().localDirs()]
+
+    def shuffled():
+        return {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+
+    before = spark.conf.get(session.SHUFFLE_CLEANUP)
+    there = shuffled()
+    out = session.cut_lineage(spark.range(1000).repartition(3, "id"))
+    end = time.time() + 20
+    while shuffled() - there and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffled() - there
+    assert out.count() == 1000 and spark.conf.get(session.SHUFFLE_CLEANUP) == before
+
+
+def test_settled_keeps_only_its_result(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(session, "_WRITTEN", written)
+    earlier = session.cut_lineage(spark.range(3))
+    passed = []
+
+    def build():
+        first = session.cut_lineage(earlier.selectExpr("id * 2 AS id"))
+        passed.extend(written[1:])
+        return first.filter("id > 0")
+
+    out = session.settled(spark, build)
+    assert len(written) == 2 and passed[0] not in written
+    assert not os.path.exists(passed[0].removeprefix("file:"))
+    assert sorted(r["id"] for r in out.collect()) == [2, 4] and earlier.count() == 3
