@@ -151,3 +151,12 @@ def test_isolation_finds_planted_outliers(spark):
 def test_isolation_needs_enough_rows(spark):
     df = spark.createDataFrame([(i, 1.0, 2.0, 3.0) for i in range(5)], "id int, a double, b double, c double")
     assert anomaly.isolation_score(df, ["id"], ["a", "b", "c"]).first()["anomaly_score"] is None
+
+
+def test_codes_do_not_shuffle_the_rows(spark, training):
+    """Spark knows the size of the codes' tables, so rows of any number stay where they are."""
+    train = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("a", 3.0)], "kind string, size double")
+    encoder = boosting.fit_encoder(train, ["size"], ["kind"])
+    coded = encoder.apply(train)
+    assert "SortMergeJoin" not in coded._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["kind"], r["x_kind"]) for r in coded.collect()) == [("a", 0.0), ("a", 0.0), ("b", 1.0)]
